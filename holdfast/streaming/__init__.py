@@ -1,0 +1,4 @@
+"""Deliberately empty: the workload is batch only, so no streaming operator is offered.
+
+The batch operators take the cutoff as a parameter and can be scheduled per day.
+"""
