@@ -350,7 +350,7 @@ CTES: dict[str, str] = {
         f"({w}) * (s.scaled_{f} - b.b_{f}) AS shap FROM scaled s CROSS JOIN bg b JOIN enc r ON r.user_id = s.user_id"
         for f, w in CHALLENGER.coefficients.items()
     ),
-    "phi_means": "SELECT feature, avg(abs(shap)) AS mean_abs, avg(shap) AS mean_signed FROM phi GROUP BY feature",
+    "phi_means": "SELECT feature, avg(abs(shap)) AS mean_abs, avg(shap) AS mean_signed FROM phi WHERE is_test GROUP BY feature",
     "drivers": f"""
         SELECT *, {_driver_text('feature', 'feature_value', 'shap')} AS text
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(shap) DESC, feature) AS rk FROM phi)

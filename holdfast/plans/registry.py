@@ -326,17 +326,17 @@ def additivity_audit(w):
 
 @query
 def global_importance(w):
-    return _round(explain.global_importance(w.attributed), "mean_abs_shap")
+    return _round(explain.global_importance(_test(w.attributed)), "mean_abs_shap")
 
 
 @query
 def importance_chart(w):
-    return _round(explain.chart_rows(explain.global_importance(w.attributed)), "mean_abs_shap")
+    return _round(explain.chart_rows(explain.global_importance(_test(w.attributed))), "mean_abs_shap")
 
 
 @query
 def signed_importance(w):
-    return _round(explain.signed_importance(w.attributed), "mean_abs_shap", "mean_signed_shap")
+    return _round(explain.signed_importance(_test(w.attributed)), "mean_abs_shap", "mean_signed_shap")
 
 
 @query
@@ -666,12 +666,12 @@ def tree_shap_values(w):
 
 @query
 def tree_importance(w):
-    return explain.global_importance(w.tree_attributed)
+    return explain.global_importance(_test(w.tree_attributed))
 
 
 @query
 def tree_signed_importance(w):
-    return explain.signed_importance(w.tree_attributed)
+    return explain.signed_importance(_test(w.tree_attributed))
 
 
 @query
