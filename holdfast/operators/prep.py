@@ -52,14 +52,14 @@ def _ranks_around_middle(n: int) -> tuple[int, int]:
     return (n + 1) // 2, n // 2 + 1
 
 
-def medians(df: DataFrame, columns=NUMERIC_FEATURES, accuracy: int = 10000) -> DataFrame:
+def medians(df: DataFrame, columns=NUMERIC_FEATURES, accuracy: int = 10000, margin: float | None = None) -> DataFrame:
     """Exact medians (feature, non_null, median), NULLs ignored.
 
     A quantile sketch first brackets each median; then only distinct values inside the bracket
     are counted and ranked. If a bracket should miss, that column is ranked in full.
     """
     as_double = {c: F.col(c).cast("double") for c in columns}
-    margin = 4.0 / accuracy
+    margin = min(0.5, 4.0 / accuracy) if margin is None else margin
     edges = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
     sketch = df.agg(*(
         F.struct(
