@@ -28,26 +28,49 @@ def direction(phi: Column) -> Column:
     return F.when(phi > 0, UP).otherwise(DOWN)
 
 
-def _effect(way: Column | str, phi: Column) -> Column:
-    way = F.lit(way) if isinstance(way, str) else way
-    return F.concat(F.lit(" [risk "), way, F.lit(" "), signed_text(phi), F.lit("]"))
+# patterns over (shown value, signed attribution, feature name)
+_EFFECT = {UP: f" [risk {UP} %2$s]", DOWN: f" [risk {DOWN} %2$s]"}
+_GENERIC = {way: "%3$s = %1$s" + effect for way, effect in _EFFECT.items()}
+
+
+def _patterns() -> dict[str, str]:
+    found = {}
+    for name, (_, rising, falling) in DRIVER_TEXTS.items():
+        for way, (lead, tail) in ((UP, rising), (DOWN, falling)):
+            found[name + way] = (lead + "\0" + tail).replace("%", "%%").replace("\0", "%1$s") + _EFFECT[way]
+    return found
+
+
+def _of_form(form: str) -> list[str]:
+    return [name for name, (f, _, _) in DRIVER_TEXTS.items() if f == form]
+
+
+def _generic(phi: Column) -> Column:
+    return F.when(phi > 0, _GENERIC[UP]).otherwise(_GENERIC[DOWN])
+
+
+def _plain_value(value: Column) -> Column:
+    return F.coalesce(money_text(value), F.lit("unknown"))
 
 
 def driver_text(feature: Column, value: Column, phi: Column) -> Column:
-    """Sentence for (feature, value, attribution). A NULL gap is always worded as raising risk."""
-    exact = value.cast("decimal(18,4)")
-    formats = {"count": count_text(exact), "pct": pct_text(exact)}
-    text = F.when((feature == GAP_FEATURE) & value.isNull(), F.concat(F.lit(GAP_UNKNOWN), _effect(UP, phi)))
-    for name, (form, rising, falling) in DRIVER_TEXTS.items():
-        shown = formats[form]
-        sentence = F.when(phi > 0, F.concat(F.lit(rising[0]), shown, F.lit(rising[1]))).otherwise(
-            F.concat(F.lit(falling[0]), shown, F.lit(falling[1]))
-        )
-        text = text.when(feature == name, F.concat(sentence, _effect(direction(phi), phi)))
-    return text.otherwise(short_text(feature, value, phi))
+    """Sentence for (feature, value, attribution). A NULL gap is always worded as raising risk.
+
+    One constant lookup and one format call: the expression stays small enough to be compiled.
+    """
+    lookup = F.create_map(*(F.lit(x) for pair in _patterns().items() for x in pair))
+    pattern = (
+        F.when((feature == GAP_FEATURE) & value.isNull(), GAP_UNKNOWN + _EFFECT[UP])
+        .otherwise(F.coalesce(F.try_element_at(lookup, F.concat(feature, direction(phi))), _generic(phi)))
+    )
+    shown = (
+        F.when(feature.isin(_of_form("count")), count_text(value))
+        .when(feature.isin(_of_form("pct")), pct_text(value))
+        .otherwise(_plain_value(value))
+    )
+    return F.printf(pattern, shown, signed_text(phi), feature)
 
 
 def short_text(feature: Column, value: Column, phi: Column) -> Column:
     """Generic sentence, used for features without their own wording and for late-filled drivers."""
-    shown = F.coalesce(money_text(value.cast("decimal(18,4)")), F.lit("unknown"))
-    return F.concat(feature, F.lit(" = "), shown, _effect(direction(phi), phi))
+    return F.printf(_generic(phi), _plain_value(value), signed_text(phi), feature)

@@ -92,17 +92,14 @@ def rule_check(
     cap = discount_cap(value, policy)
     risky = eligible(probability, policy)
     over = discount > cap
-    threshold = pct_text(F.lit(policy.risk_threshold) * 100)
-    reason = (
-        F.when(~risky, F.concat(
-            F.lit("Risk "), share_text(probability), F.lit("% is under the "), threshold,
-            F.lit("% threshold, so no discount is offered.")))
-        .when(over, F.concat(
-            F.lit("Asked for "), pct_text(discount), F.lit("% but lifetime value "), money_text(value),
-            F.lit(" allows at most "), pct_text(cap), F.lit("%.")))
-        .otherwise(F.concat(
-            action, F.lit(": "), pct_text(discount), F.lit("% is inside the limit of "), pct_text(cap),
-            F.lit("%.")))
+    # over (risk, discount, cap, lifetime value, action); our own wording
+    pattern = (
+        F.when(~risky, f"Risk %1$s%% is under the {policy.risk_threshold * 100:.1f}%% threshold, so no discount is offered.")
+        .when(over, "Asked for %2$s%% but lifetime value %4$s allows at most %3$s%%.")
+        .otherwise("%5$s: %2$s%% is inside the limit of %3$s%%.")
+    )
+    reason = F.printf(
+        pattern, share_text(probability), pct_text(discount), cap.cast("string"), money_text(value), action
     )
     return F.struct(
         (risky & ~over).alias("approved"),
@@ -157,20 +154,20 @@ MESSAGES = (
 
 def retention_message(driver: Column, name: Column | None = None, offer: Column | None = None) -> Column:
     """Struct (template_category, subject_line, message_body); a NULL offer adds no offer sentence."""
-    parts = {"template_category": None, "subject_line": None, "text": None}
-    for drivers, category, subject, text in MESSAGES[:-1]:
+    category = None
+    for drivers, name_of, _, _ in MESSAGES[:-1]:
         hit = driver.isin(*drivers)
-        for key, value in zip(parts, (category, subject, text)):
-            parts[key] = F.when(hit, value) if parts[key] is None else parts[key].when(hit, value)
-    for key, value in zip(parts, MESSAGES[-1][1:]):
-        parts[key] = parts[key].otherwise(value)
+        category = F.when(hit, name_of) if category is None else category.when(hit, name_of)
+    category = category.otherwise(MESSAGES[-1][1])
+
+    def of_category(position: int) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for m in MESSAGES for x in (m[1], m[position]))), category)
+
     offer_text = F.lit("") if offer is None else F.coalesce(
         F.concat(F.lit(" Our offer to you: "), offer, F.lit(".")), F.lit("")
     )
     who = F.lit("Valued Customer") if name is None else name
-    body = F.concat(F.lit("Hello "), who, F.lit(", "), parts["text"], F.lit("."), offer_text)
+    body = F.concat(F.lit("Hello "), who, F.lit(", "), of_category(3), F.lit("."), offer_text)
     return F.struct(
-        parts["template_category"].alias("template_category"),
-        parts["subject_line"].alias("subject_line"),
-        body.alias("message_body"),
+        category.alias("template_category"), of_category(2).alias("subject_line"), body.alias("message_body")
     )

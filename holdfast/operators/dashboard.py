@@ -29,28 +29,24 @@ def flatten_drivers(df: DataFrame) -> DataFrame:
     return df.select("*", *flat)
 
 
-def dashboard_frame(features: DataFrame, scores: DataFrame | None = None, computed: DataFrame | None = None,
-                    precomputed: DataFrame | None = None, policy: RetentionPolicy = POLICY) -> DataFrame:
-    """Features with probability, three drivers and risk tier, for every user.
+def dashboard_frame(frame: DataFrame, precomputed: DataFrame | None = None,
+                    policy: RetentionPolicy = POLICY) -> DataFrame:
+    """Every user with features, probability, three drivers and risk tier.
 
-    `computed` holds flat drivers for all users; where `precomputed` has a user, its drivers win.
-    Without scores the label stands in for the probability.
+    `frame` is the feature table, scored or not, with `drivers` or without; the label stands in for
+    a missing probability. Where `precomputed` has a user, its drivers win over those in the frame.
     """
-    frame = features
-    if scores is None:
+    if "churn_probability" not in frame.columns:
         frame = frame.withColumn("churn_probability", F.col(LABEL).cast("double"))
-    else:
-        frame = frame.join(scores.select("user_id", "churn_probability"), "user_id")
-    if precomputed is not None:
-        frame = frame.join(precomputed.select("user_id", *DRIVER_COLUMNS), "user_id", "left")
-    if computed is not None:
-        fresh = computed.select("user_id", F.struct(*DRIVER_COLUMNS).alias("fresh"))
-        known = F.col("driver_1_feature").isNotNull() if precomputed is not None else F.lit(False)
-        frame = frame.join(fresh, "user_id", "left").withColumns({
-            c: F.when(known, F.col(c)).otherwise(F.col(f"fresh.{c}")) if precomputed is not None else F.col(f"fresh.{c}")
-            for c in DRIVER_COLUMNS
-        }).drop("fresh")
+    if "drivers" in frame.columns:
+        frame = flatten_drivers(frame).drop("drivers")
     frame = with_missing_columns(frame, {c: "double" if c.endswith("shap") else "string" for c in DRIVER_COLUMNS})
+    if precomputed is not None:
+        stored = precomputed.select("user_id", F.struct(*DRIVER_COLUMNS).alias("stored"))
+        known = F.col("stored.driver_1_feature").isNotNull()
+        frame = frame.join(stored, "user_id", "left").withColumns({
+            c: F.when(known, F.col(f"stored.{c}")).otherwise(F.col(c)) for c in DRIVER_COLUMNS
+        }).drop("stored")
     return frame.withColumn("risk_tier", risk_tier(F.col("churn_probability"), policy))
 
 
@@ -126,16 +122,18 @@ def lookup(frame: DataFrame, requests: DataFrame) -> DataFrame:
 
     `requests` has request_id and user_text; blanks around the number are ignored.
     """
-    parsed = requests.select(
-        "request_id", "user_text", F.expr("try_cast(trim(user_text) as bigint)").alias("wanted_id")
-    )
+    parsed = requests.select("request_id", F.expr("try_cast(trim(user_text) as bigint)").alias("wanted_id"))
     cards = frame.select(
-        F.col("user_id").alias("wanted_id"), "risk_tier", "plan_tier", "churn_probability", F.lit(True).alias("hit")
-    )
-    outcome = F.when(F.col("wanted_id").isNull(), "invalid").when(F.col("hit"), "found").otherwise("not_found")
-    return parsed.join(cards, "wanted_id", "left").select(
-        "request_id", "wanted_id", outcome.alias("outcome"), "risk_tier", "plan_tier", "churn_probability"
+        F.col("user_id").alias("wanted_id"), "risk_tier", "plan_tier", "churn_probability",
+        F.lit("found").alias("outcome"),
     )
+    answer = ("request_id", "wanted_id", "outcome", "risk_tier", "plan_tier", "churn_probability")
+    answered = parsed.filter("wanted_id is not null").join(cards, "wanted_id", "left").withColumn(
+        "outcome", F.coalesce("outcome", F.lit("not_found"))
+    ).select(*answer)
+    # unreadable input has no key to be matched on and must not pile up in one join partition
+    invalid = parsed.filter("wanted_id is null").withColumn("outcome", F.lit("invalid"))
+    return answered.unionByName(invalid, allowMissingColumns=True)
 
 
 def risk_payload(frame: DataFrame) -> DataFrame:

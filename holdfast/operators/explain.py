@@ -67,27 +67,46 @@ def signed_importance(attributed: DataFrame, named=NAMED_DIAGNOSTICS) -> DataFra
     return means.withColumn("net_direction", push).orderBy(F.desc("mean_abs_shap"), "feature")
 
 
-def with_top_drivers(attributed: DataFrame, k: int = 3, features=FEATURES, text=driver_text) -> DataFrame:
-    """Adds `drivers`: the k strongest features of the row, strongest first, ties by name.
-
-    The candidates are sorted as an array inside the row, so nothing is shuffled.
-    """
+def _strongest(k: int, features) -> Column:
     candidates = F.array(*(
         F.struct(
             (-F.abs(PHI + f)).alias("order"), F.lit(f).alias("feature"),
             F.col(f).cast("double").alias("feature_value"), F.col(PHI + f).alias("shap_value"),
         ) for f in features
     ))
+    return F.slice(F.sort_array(candidates), 1, k)
+
+
+def driver_rows(attributed: DataFrame, k: int = 3, features=FEATURES, text=driver_text) -> DataFrame:
+    """The k strongest features of every user as rows with their rank."""
+    rows = attributed.select("user_id", F.posexplode(_strongest(k, features)).alias("position", "driver"))
+    rows = rows.select("user_id", (F.col("position") + 1).alias("driver_rank"), "driver.*").drop("order")
+    feature, value, phi = F.col("feature"), F.col("feature_value"), F.col("shap_value")
+    return rows.select(
+        "*", direction(phi).alias("direction"), text(feature, value, phi).alias("explanation")
+    )
 
+
+def with_top_drivers(attributed: DataFrame, k: int = 3, features=FEATURES, text=driver_text) -> DataFrame:
+    """Adds `drivers`: the k strongest features of the row, strongest first, ties by name.
+
+    The candidates are sorted as an array inside the row, so nothing is shuffled. Without a `text`
+    function the entries carry no sentence.
+    """
     def describe(d: Column) -> Column:
+        feature, value, phi = d["feature"], d["feature_value"], d["shap_value"]
+        sentence = [text(feature, value, phi).alias("explanation")] if text else []
         return F.struct(
-            d["feature"].alias("feature"), d["feature_value"].alias("feature_value"),
-            d["shap_value"].alias("shap_value"), direction(d["shap_value"]).alias("direction"),
-            text(d["feature"], d["feature_value"], d["shap_value"]).alias("explanation"),
+            feature.alias("feature"), value.alias("feature_value"), phi.alias("shap_value"),
+            direction(phi).alias("direction"), *sentence,
         )
 
-    top = F.slice(F.sort_array(candidates), 1, k)
-    return attributed.withColumn("drivers", F.transform(top, describe))
+    return attributed.withColumn("drivers", F.transform(_strongest(k, features), describe))
+
+
+def ranked_drivers(attributed: DataFrame, k: int = 3, features=FEATURES) -> DataFrame:
+    """`with_top_drivers` without sentences, for consumers that only need the ranking."""
+    return with_top_drivers(attributed, k, features, text=None)
 
 
 def with_short_drivers(attributed: DataFrame, k: int = 3, features=FEATURES) -> DataFrame:

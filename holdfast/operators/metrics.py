@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.sql import DataFrame, Window, functions as F
 
 from holdfast.functions.numbers import ratio
 from holdfast.schemas import LABEL
@@ -34,34 +35,31 @@ def classification_metrics(confusion: DataFrame) -> DataFrame:
     )
 
 
-def _score_bucket(score: Column) -> Column:
-    """Coarse, order-preserving bucket of a probability, even in log-odds.
-
-    Log-odds keep apart the many scores a model packs close to 0 and 1.
-    """
-    odds = F.when(score <= 0, F.lit(-800.0)).when(score >= 1, F.lit(800.0)).otherwise(F.ln(score / (1 - score)))
-    return F.floor(odds * 64)
-
-
-def roc_auc(scored: DataFrame, probability: str = "churn_probability", label: str = LABEL) -> DataFrame:
+def roc_auc(scored: DataFrame, probability: str = "churn_probability", label: str = LABEL,
+            buckets: int = 256) -> DataFrame:
     """Exact area under the ROC curve, tied scores counted half. NULL when a class is absent.
 
-    Rows collapse to distinct scores first. The negatives below a score are then a prefix sum
-    in two levels: over score buckets (a bounded number) and inside each bucket, so no step
-    orders all scores in one task.
+    Rows collapse to distinct scores first, so a score shared by many rows weighs as one. The
+    negatives below a score are then a prefix sum in two levels, over quantile ranges of the score
+    and inside each range. The ranges are fitted to the data, so none holds much more than its
+    share, and where they lie does not change the result.
     """
-    by_score = scored.groupBy(F.col(probability).alias("score")).agg(
+    scores = scored.select(F.col(probability).alias("score"), label)
+    ranges = QuantileDiscretizer(
+        numBuckets=buckets, inputCol="score", outputCol="bucket", relativeError=0.25 / buckets
+    ).fit(scores)
+    by_score = ranges.transform(scores.groupBy("score").agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    ).withColumn("bucket", _score_bucket(F.col("score")))
+    ))
     in_bucket = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = by_score.withColumn("below", F.coalesce(F.sum("neg").over(in_bucket), F.lit(0)))
-    # wins of positives against negatives of the same bucket, with ties as a half
+    below = F.coalesce(F.sum("neg").over(in_bucket), F.lit(0))
+    # wins of positives against negatives of the same range, with ties as a half
     won = F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2)
-    buckets = pairs.groupBy("bucket").agg(
+    per_bucket = by_score.withColumn("below", below).groupBy("bucket").agg(
         F.sum(won).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
-    lower = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = buckets.withColumn("lower_neg", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
+    lower = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ranked = per_bucket.withColumn("lower_neg", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
     pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     total = F.sum(F.col("won") + F.col("pos").cast("double") * F.col("lower_neg"))
     return ranked.agg(F.when((pos > 0) & (neg > 0), total / (pos * neg)).alias("roc_auc"))

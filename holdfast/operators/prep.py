@@ -140,15 +140,18 @@ class Preprocessor:
     def impute(self, encoded: DataFrame) -> DataFrame:
         return fill_with(encoded, {c: v for c, v in self.medians.items() if v is not None})
 
-    def scale(self, imputed: DataFrame, prefix: str = "scaled_") -> DataFrame:
-        """Adds (x - mean) / deviation per feature; a constant feature is only centred."""
-        return imputed.select("*", *(
-            ((F.col(c).cast("double") - self.means[c]) / (self.deviations[c] or 1.0)).alias(prefix + c)
-            for c in self.means
-        ))
+    def transform(self, encoded: DataFrame, prefix: str = "scaled_") -> DataFrame:
+        """Adds (x - mean) / deviation per feature, NULLs imputed; the features themselves stay as they are.
+
+        A constant feature is only centred.
+        """
+        def filled(c):
+            x, middle = F.col(c).cast("double"), self.medians.get(c)
+            return x if middle is None else F.coalesce(x, F.lit(middle))
 
-    def transform(self, encoded: DataFrame) -> DataFrame:
-        return self.scale(self.impute(encoded))
+        return encoded.select("*", *(
+            ((filled(c) - self.means[c]) / (self.deviations[c] or 1.0)).alias(prefix + c) for c in self.means
+        ))
 
 
 def fit_preprocessor(train: DataFrame) -> Preprocessor:

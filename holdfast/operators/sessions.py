@@ -56,12 +56,12 @@ def attach_session_id(activity: DataFrame, ts: str = "event_timestamp", gap_hour
     return keyed.join(slot_ids, ["user_id", "slot"], "left").drop("slot")
 
 
-def lag_starts(sessions: DataFrame, cutoff=None, slice_width: str = "1 day") -> DataFrame:
+def lag_starts(sessions: DataFrame, cutoff=None, slice_width: str = "1 hour") -> DataFrame:
     """Sessions with `prev_session_start`, i.e. LAG(session_start) per user in start order.
 
-    The lag is taken inside (user, day) slices; only a slice's first row looks back, to
+    The lag is taken inside (user, hour) slices; only a slice's first row looks back, to
     the last start of the user's previous non-empty slice. The per-user window therefore
-    runs over days, not over sessions.
+    runs over hours, not over sessions.
     """
     rows = sessions if cutoff is None else sessions.filter(F.col("session_start") < ntz(cutoff))
     rows = rows.select(

@@ -342,11 +342,7 @@ def signed_importance(w):
 @query
 def top_drivers(w):
     """Three drivers of every user as rows."""
-    return w.explained.select("user_id", F.posexplode("drivers").alias("position", "driver")).select(
-        "user_id", (F.col("position") + 1).alias("driver_rank"), F.col("driver.feature").alias("feature"),
-        _r6(F.col("driver.feature_value")).alias("feature_value"), _r6(F.col("driver.shap_value")).alias("shap_value"),
-        F.col("driver.direction").alias("direction"), F.col("driver.explanation").alias("explanation"),
-    )
+    return _round(explain.driver_rows(w.attributed), "feature_value", "shap_value")
 
 
 @query
@@ -369,13 +365,8 @@ def highest_risk_user(w):
     return _round(explain.highest_risk_user(flat), "driver_1_shap", "driver_2_shap", "driver_3_shap")
 
 
-def _computed_drivers(w):
-    short = explain.with_short_drivers(w.attributed)
-    return dashboard.flatten_drivers(short.select("user_id", "drivers")).drop("drivers")
-
-
 def _dashboard(w):
-    return dashboard.dashboard_frame(w.features, w.scored, _computed_drivers(w), explain.flat_records(w.records))
+    return dashboard.dashboard_frame(explain.with_short_drivers(w.attributed), explain.flat_records(w.records))
 
 
 @query
@@ -389,7 +380,7 @@ def filled_drivers(w):
 def _profiles(w):
     """All users with score, strongest driver and, for most, an explicit discount request."""
     turn = F.col("user_id") % 8
-    return w.explained.select(
+    return w.ranked.select(
         "user_id", F.round("churn_probability", 4).alias("churn_probability"), "plan_tier",
         F.col("monthly_fee").cast("decimal(8,2)").alias("monthly_fee"),
         F.col("drivers")[0]["feature"].alias("driver_1_feature"),
@@ -438,10 +429,10 @@ def strategy(w):
 def retention_message(w):
     """A message per user and top-three driver, so that every template occurs; odd users get an offer."""
     offer = F.when(F.col("user_id") % 2 == 1, F.lit("10% discount"))
-    message = P.retention_message(F.col("driver.feature"), F.lit("customer"), offer)
-    return w.explained.select("user_id", F.posexplode("drivers").alias("position", "driver")).select(
-        "user_id", F.col("driver.feature").alias("feature"), message.alias("message")
-    ).select("user_id", "feature", "message.*")
+    message = P.retention_message(F.col("feature"), F.lit("customer"), offer)
+    return explain.driver_rows(w.attributed).select("user_id", "feature", message.alias("message")).select(
+        "user_id", "feature", "message.*"
+    )
 
 
 @query
@@ -533,7 +524,7 @@ def executive_kpis(w):
 
 @query
 def kpi_fallback(w):
-    return dashboard.kpi_fallback(dashboard.dashboard_frame(w.features, w.scored))
+    return dashboard.kpi_fallback(dashboard.dashboard_frame(w.scored))
 
 
 @query
@@ -559,7 +550,7 @@ def user_lookup(w):
         F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
         .otherwise(F.concat(F.lit("  "), F.col("o_orderkey").cast("string"), F.lit(" "))).alias("user_text"),
     )
-    return _round(dashboard.lookup(dashboard.dashboard_frame(w.features, w.scored), requests), "churn_probability")
+    return _round(dashboard.lookup(dashboard.dashboard_frame(w.scored), requests), "churn_probability")
 
 
 @query

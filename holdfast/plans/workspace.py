@@ -56,7 +56,7 @@ class Workspace:
 
     @property
     def scaled(self) -> DataFrame:
-        return self.preprocessor.scale(models.tree_input(self.encoded, self.preprocessor))
+        return self.preprocessor.transform(self.encoded)
 
     @property
     def scored(self) -> DataFrame:
@@ -77,13 +77,17 @@ class Workspace:
 
     @property
     def attributed(self) -> DataFrame:
-        """Linear attributions next to the raw (unimputed) feature values."""
-        return models.restore_gap(explain.linear_attributions(self.scored, CHALLENGER, self.background))
+        return explain.linear_attributions(self.scored, CHALLENGER, self.background)
 
     @property
     def explained(self) -> DataFrame:
         return explain.with_top_drivers(self.attributed)
 
+    @property
+    def ranked(self) -> DataFrame:
+        """All users with their drivers, without sentences."""
+        return explain.ranked_drivers(self.attributed)
+
     @property
     def records(self) -> DataFrame:
         """Explanation records of the test users."""

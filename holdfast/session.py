@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "hold
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
+    builder = builder.config("spark.driver.memory", "8g")  # in local mode the driver does all the work
     spark = builder.config("spark.sql.shuffle.partitions", str(partitions)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

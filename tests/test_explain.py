@@ -98,16 +98,14 @@ def test_highest_risk_user_prefers_the_lowest_id(spark):
     assert explain.highest_risk_user(df).collect() == [(1, 0.9)]
 
 
-def test_dashboard_fills_missing_drivers(spark, scored, attributed, records):
-    features = scored.select("user_id", "churn_label")
+def test_dashboard_fills_missing_drivers(attributed, records, scored):
     short = explain.with_short_drivers(attributed, 3, NAMES)
-    computed = dashboard.flatten_drivers(short.select("user_id", "drivers")).drop("drivers")
     stored = explain.flat_records(records).filter("user_id < 3").withColumn("driver_1_text", F.lit("stored"))
-    rows = {r["user_id"]: r for r in dashboard.dashboard_frame(features, scored, computed, stored).collect()}
+    rows = {r["user_id"]: r for r in dashboard.dashboard_frame(short, stored).collect()}
     assert len(rows) == 12
     assert {u for u, r in rows.items() if r["driver_1_text"] == "stored"} == {0, 1, 2}
     assert all(r["driver_1_feature"] is not None for r in rows.values())
-    plain = dashboard.dashboard_frame(features)
+    plain = dashboard.dashboard_frame(scored.select("user_id", "churn_label"))
     assert {(r["churn_probability"], r["driver_1_feature"], r["risk_tier"]) for r in plain.collect()} == {
         (0.0, None, "Low Risk"), (1.0, None, "High Risk")}
 
