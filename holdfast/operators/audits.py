@@ -105,34 +105,44 @@ def recount_audit(features: DataFrame, tables: ActivityTables, spec: FeatureSpec
     return wide.select(F.inline(F.array(*(F.col(m) for m in RECOUNTED))))
 
 
-def constraint_audit(tables: ActivityTables) -> DataFrame:
-    """(table_name, rule, violations) for keys, references and NOT NULL columns."""
+def constraint_audit(tables: ActivityTables, event_sessions: DataFrame | None = None) -> DataFrame:
+    """(table_name, rule, violations) for keys, references and NOT NULL columns.
+
+    `event_sessions` supplies the events' session ids where the events table itself lacks them.
+    """
     frames = dict(tables.items())
+    if event_sessions is None and "session_id" in frames["events"].columns:
+        event_sessions = frames["events"]
     checks = []
-    for name, df in frames.items():
-        key = PRIMARY_KEYS[name]
-        repeated = df.groupBy(key).count().filter("count > 1")
-        checks.append(repeated.agg(
-            F.lit(name).alias("table_name"), F.lit(f"unique {key}").alias("rule"), F.count("*").alias("violations")
+
+    def report(name, rule, rows):
+        checks.append(rows.agg(
+            F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), F.count("*").alias("violations")
         ))
-        columns = [c for c in RAW_SCHEMAS[name].names if c in df.columns]
+
+    def not_null(name, df, columns):
         wide = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
         checks.append(wide.select(F.inline(F.array(*(
             F.struct(
                 F.lit(name).alias("table_name"), F.lit(f"not null {c}").alias("rule"), F.col(c).alias("violations")
             ) for c in columns
         )))))
-    references = [(n, "users", "user_id") for n in frames if n != "users"]
-    if "session_id" in frames["events"].columns:
-        references.append(("events", "sessions", "session_id"))
-    for name, parent, column in references:
+
+    def reference(name, df, parent, column):
         # distinct keys first: a parent lookup per key, not per row
-        keys = frames[name].select(column).filter(F.col(column).isNotNull()).distinct()
-        orphans = keys.join(frames[parent].select(column), column, "left_anti")
-        checks.append(orphans.agg(
-            F.lit(name).alias("table_name"), F.lit(f"{column} in {parent}").alias("rule"),
-            F.count("*").alias("violations"),
-        ))
+        keys = df.select(column).filter(F.col(column).isNotNull()).distinct()
+        report(name, f"{column} in {parent}", keys.join(frames[parent].select(column), column, "left_anti"))
+
+    for name, df in frames.items():
+        key = PRIMARY_KEYS[name]
+        report(name, f"unique {key}", df.groupBy(key).count().filter("count > 1"))
+        not_null(name, df, [c for c in RAW_SCHEMAS[name].names if c in df.columns])
+        if name != "users":
+            reference(name, df, "users", "user_id")
+    if event_sessions is not None:
+        if "session_id" not in frames["events"].columns:
+            not_null("events", event_sessions, ["session_id"])
+        reference("events", event_sessions, "sessions", "session_id")
     return _union(checks)
 
 

@@ -15,7 +15,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from holdfast.operators.explain import PHI
 from holdfast.operators.models import GAP, GAP_MISSING, TREE_FEATURES, TREE_LOG_ODDS, load_model, save_model
@@ -63,7 +63,7 @@ def leaf_table(leaves: list[Leaf]) -> LeafTable:
     return LeafTable(tuple((leaf, _pattern_table(leaf)) for leaf in leaves if leaf.features), base)
 
 
-def _tree_leaves(nodes: dict[int, Row], weight: float) -> list[Leaf]:
+def _tree_leaves(nodes: dict, weight: float) -> list[Leaf]:
     """Leaves of one tree; repeated splits on a feature narrow one interval."""
     found, pending = [], [(0, {})]
     while pending:
@@ -84,6 +84,28 @@ def _tree_leaves(nodes: dict[int, Row], weight: float) -> list[Leaf]:
     return found
 
 
+def leaves_of(trees, features=TREE_FEATURES) -> LeafTable:
+    """Leaf table of hand-written trees: splits (feature, cut, left, right) over leaves (value, rows)."""
+    found = []
+    for tree in trees:
+        nodes: dict[int, dict] = {}
+
+        def add(node) -> int:
+            number = len(nodes)
+            nodes[number] = entry = {"prediction": 0.0, "left": -1, "right": -1, "feature": -1, "cut": None}
+            if len(node) == 2:
+                entry["prediction"], entry["cover"] = node[0] / TREE_LOG_ODDS, node[1]
+            else:
+                entry["feature"], entry["cut"] = features.index(node[0]), node[1]
+                entry["left"], entry["right"] = add(node[2]), add(node[3])
+                entry["cover"] = nodes[entry["left"]]["cover"] + nodes[entry["right"]]["cover"]
+            return number
+
+        add(tree)
+        found += _tree_leaves(nodes, 1.0)
+    return leaf_table(found)
+
+
 def read_leaves(spark: SparkSession, model: PipelineModel) -> LeafTable:
     """Leaf table of a trained tree model, from its saved form; bounded by trees times leaves."""
     path = scratch_path(spark, "gbt")
@@ -102,7 +124,7 @@ def read_saved_leaves(spark: SparkSession, path: str) -> LeafTable:
         node["split"]["featureIndex"].alias("feature"),
         F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"),
     ).collect()
-    trees: dict[int, dict[int, Row]] = {}
+    trees: dict[int, dict] = {}
     for r in rows:
         trees.setdefault(r["treeID"], {})[r["id"]] = r
     leaves = [leaf for t, nodes in trees.items() for leaf in _tree_leaves(nodes, weights[t])]

@@ -12,7 +12,7 @@ from holdfast.functions.drivers import DOWN, DRIVER_TEXTS, GAP_FEATURE, GAP_UNKN
 from holdfast.functions.policy import ADOPTION_DRIVERS, FRICTION_DRIVERS, INACTIVITY_DRIVERS, MESSAGES
 from holdfast.operators.audits import MEAN_FEATURES, PROFILE_FEATURES
 from holdfast.operators.explain import NAMED_DIAGNOSTICS
-from holdfast.plans.fixed_model import BASELINE, CHALLENGER
+from holdfast.plans.fixed_model import BASELINE, CHALLENGER, TREES
 from holdfast.schemas import FEATURES, NUMERIC_FEATURES, ONE_HOT_FEATURES
 
 DAY = 86400000000
@@ -230,6 +230,61 @@ def _summary_cte(impact: str) -> str:
               FROM {impact})"""
 
 
+def _double(x: float) -> str:
+    """Literal in exponent form, which SQL reads as DOUBLE and not as DECIMAL."""
+    return f"({x!r}e0)"
+
+
+def _rows(tree) -> float:
+    return tree[1] if len(tree) == 2 else _rows(tree[2]) + _rows(tree[3])
+
+
+def _tree_score(tree) -> str:
+    if len(tree) == 2:
+        return _double(tree[0])
+    feature, cut, low, high = tree
+    return f"(CASE WHEN {feature} <= {cut} THEN {_tree_score(low)} ELSE {_tree_score(high)} END)"
+
+
+def _tree_base(tree) -> float:
+    if len(tree) == 2:
+        return tree[0]
+    n = _rows(tree)
+    return (_rows(tree[2]) * _tree_base(tree[2]) + _rows(tree[3]) * _tree_base(tree[3])) / n
+
+
+def _tree_paths(tree, path=()):
+    """(leaf value, {feature: (conditions, share of rows)}) per leaf."""
+    if len(tree) == 2:
+        merged = {}
+        for feature, condition, share in path:
+            conditions, so_far = merged.get(feature, ([], 1.0))
+            merged[feature] = (conditions + [condition], so_far * share)
+        yield tree[0], merged
+        return
+    feature, cut, low, high = tree
+    for child, sign in ((low, "<="), (high, ">")):
+        step = (feature, f"{feature} {sign} {cut}", _rows(child) / _rows(tree))
+        yield from _tree_paths(child, path + (step,))
+
+
+def _tree_phi(feature: str) -> str:
+    """Shapley value in closed form for three players; a missing player always agrees and adds nothing."""
+    terms = ["0e0"]
+    for tree in TREES:
+        for value, path in _tree_paths(tree):
+            if feature not in path:
+                continue
+            agrees = {f: f"(CASE WHEN {' AND '.join(c)} THEN 1e0 ELSE 0e0 END)" for f, (c, _) in path.items()}
+            others = [(agrees[f], _double(path[f][1])) for f in path if f != feature]
+            (o1, z1), (o2, z2) = others + [("1.0", 1.0)] * (2 - len(others))
+            terms.append(
+                f"{_double(value)} * ({agrees[feature]} - {_double(path[feature][1])}) * ({z1} * {z2} / 3e0"
+                f" + {o1} * {z2} / 6e0 + {z1} * {o2} / 6e0 + {o1} * {o2} / 3e0)"
+            )
+    return " + ".join(terms)
+
+
 SUMMARY_COLUMNS = (
     "total_users_analyzed", "eligible_high_risk_users_targeted", "users_not_targeted_safe",
     "total_ltv_of_targeted_users", "total_expected_value_saved", "total_intervention_cost", "total_net_impact",
@@ -333,6 +388,8 @@ CTES: dict[str, str] = {
         [f"coalesce(CAST(s.{c} AS DOUBLE), m.{c}) AS {c}" for c in NUMERIC_FEATURES]
         + [f"CAST(s.{c} AS DOUBLE) AS {c}" for c in ONE_HOT_FEATURES]
     ) + " FROM split s CROSS JOIN med m",
+    "timp": "SELECT i.*, CASE WHEN s.avg_session_gap_days IS NULL THEN 1 ELSE 0 END AS gap_missing "
+            "FROM imp i JOIN split s ON s.user_id = i.user_id",
     "stats": "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in FEATURES)
              + " FROM imp WHERE NOT is_test",
     "scaled": "SELECT user_id, plan_tier, churn_label, is_test, " + ", ".join(
@@ -614,6 +671,11 @@ def _build() -> dict[str, str]:
         "local_explanations": f"SELECT {RECORD_OUT} FROM records",
         "highest_risk_user": f"SELECT {RECORD_OUT} FROM records ORDER BY churn_probability DESC, user_id LIMIT 1",
         "filled_drivers": f"""SELECT user_id, driver_1_feature, {_r6('driver_1_shap')} AS driver_1_shap, driver_1_text FROM dash""",
+        "tree_shap_fixed": " UNION ALL ".join(
+            f"SELECT user_id, '{f}' AS feature, {_r6('v')} AS shap_value FROM (SELECT user_id, CAST({_tree_phi(f)} AS DOUBLE) AS v FROM timp)"
+            for f in FEATURES + ("gap_missing",)),
+        "tree_margin_fixed": f"""SELECT user_id, round({sum(_tree_base(t) for t in TREES)}, 6) AS base_value, {_r6('v')} AS margin
+            FROM (SELECT user_id, CAST({' + '.join(_tree_score(t) for t in TREES)} AS DOUBLE) AS v FROM timp)""",
         "ltv": "SELECT user_id, CAST(monthly_fee * 12 AS DOUBLE) AS ltv FROM fs",
         "discount_caps": f"""SELECT plan_tier, count(*) AS users, CAST(min(ltv) AS DOUBLE) AS lowest_ltv,
             CAST(max(ltv) AS DOUBLE) AS highest_ltv, CAST(min(cap) AS DOUBLE) AS lowest_cap, CAST(max(cap) AS DOUBLE) AS highest_cap

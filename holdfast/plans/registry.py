@@ -11,7 +11,7 @@ from holdfast.operators import (
     audits, dashboard, explain, features as feat, impact, metrics, models, prep, retention, sessions, tree_shap,
 )
 from holdfast.operators.features import build_features
-from holdfast.plans.fixed_model import CHALLENGER
+from holdfast.plans.fixed_model import TREES
 from holdfast.plans.workspace import Workspace, workspace
 from holdfast.schemas import FEATURES, NUMERIC_FEATURES, RAW_SCHEMAS
 from holdfast.session import scratch_path
@@ -175,7 +175,8 @@ def recount_audit(w):
 
 @query
 def constraint_audit(w):
-    return audits.constraint_audit(load_driver_tables(w.spark, w.sf_dir, with_session_ids=True))
+    tagged = load_driver_tables(w.spark, w.sf_dir, with_session_ids=True).events
+    return audits.constraint_audit(w.tables, tagged)
 
 
 @query
@@ -375,6 +376,29 @@ def filled_drivers(w):
     return _round(_dashboard(w).select("user_id", "driver_1_feature", "driver_1_shap", "driver_1_text"), "driver_1_shap")
 
 
+def _fixed_trees(w):
+    table = tree_shap.leaves_of(TREES)
+    return table, tree_shap.tree_attributions(models.tree_input(w.encoded, w.preprocessor), table)
+
+
+@query
+def tree_shap_fixed(w):
+    """Attributions of the fixed trees, one row per user and input."""
+    _, attributed = _fixed_trees(w)
+    return attributed.select("user_id", F.inline(F.array(*(
+        F.struct(F.lit(f).alias("feature"), _r6(F.col(explain.PHI + f)).alias("shap_value"))
+        for f in models.TREE_FEATURES
+    ))))
+
+
+@query
+def tree_margin_fixed(w):
+    """Base value plus attributions of the fixed trees, which must be their score."""
+    table, attributed = _fixed_trees(w)
+    total = sum((F.col(explain.PHI + f) for f in models.TREE_FEATURES), F.lit(table.base_value))
+    return attributed.select("user_id", _r6(F.lit(table.base_value)).alias("base_value"), _r6(total).alias("margin"))
+
+
 # ---- retention and impact ------------------------------------------------------------
 
 def _profiles(w):
