@@ -29,7 +29,7 @@ def _slots(activity: DataFrame, ts: str, gap_hours: int) -> DataFrame:
 
 
 def session_key(user: Column, start: Column) -> Column:
-    return F.concat_ws("-", user.cast("string"), F.date_format(start, "yyyyMMddHHmmssSSSSSS"))
+    return F.concat_ws("-", user.cast("string"), start.cast("string"))
 
 
 def sessionize(activity: DataFrame, ts: str = "event_timestamp", gap_hours: int = 6) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from holdfast.operators.explain import PHI
 from holdfast.operators.models import GAP, GAP_MISSING, TREE_FEATURES, TREE_LOG_ODDS, load_model, save_model
-from holdfast.session import scratch_path
+from holdfast.session import scratch_path, ship_package
 
 
 @dataclass(frozen=True)
@@ -145,6 +145,7 @@ def attribute(x: np.ndarray, table: LeafTable) -> np.ndarray:
 
 def tree_attributions(df: DataFrame, table: LeafTable, features=TREE_FEATURES) -> DataFrame:
     """Adds phi_<feature> (log-odds) to every row; narrow, and only the features visit Python."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(table)
     names = [PHI + f for f in features]
 

@@ -351,7 +351,7 @@ CTES: dict[str, str] = {
         SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no
         FROM a_marks""",
     "a_sessions": """
-        SELECT user_id || '-' || strftime(min(ts), '%Y%m%d%H%M%S%f') AS session_id, user_id,
+        SELECT user_id || '-' || CAST(min(ts) AS VARCHAR) AS session_id, user_id,
                min(ts) AS session_start, max(ts) AS session_end,
                CASE user_id % 3 WHEN 0 THEN 'Desktop' WHEN 1 THEN 'Mobile' ELSE 'Tablet' END AS device_type
         FROM a_numbered GROUP BY user_id, no""",
@@ -469,9 +469,6 @@ def _with(final: str) -> str:
     return f"WITH {', '.join(used)} {final}" if used else final
 
 
-STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
-
-
 def _filter_profile(name: str, table: str, ts: str) -> str:
     return f"""SELECT '{name}' AS table_name, count(*) FILTER (WHERE {ts} < {CUTOFF}) AS observed_rows,
         count(*) FILTER (WHERE {ts} >= {CUTOFF}) AS future_rows,
@@ -488,7 +485,7 @@ def _constraints() -> str:
         "support_tickets": ("a_tickets", "ticket_id", ("ticket_id", "user_id", "created_at", "category", "status")),
     }
     session_of = """(SELECT n.event_id, n.user_id, n.ts AS event_timestamp, e.event_type AS event_name,
-        n.user_id || '-' || strftime(min(n.ts) OVER (PARTITION BY n.user_id, n.no), '%Y%m%d%H%M%S%f') AS session_id
+        n.user_id || '-' || CAST(min(n.ts) OVER (PARTITION BY n.user_id, n.no) AS VARCHAR) AS session_id
         FROM a_numbered n JOIN events e ON e.event_id = n.event_id)"""
     parts = []
     for name, (cte, key, columns) in tables.items():
@@ -573,10 +570,10 @@ def _build() -> dict[str, str]:
                    count(*) AS users, CAST(min(session_drop_pct) AS DOUBLE) AS lowest,
                    CAST(max(session_drop_pct) AS DOUBLE) AS highest
             FROM fs GROUP BY 1""",
-        "sessions_table": f"""SELECT session_id, user_id, device_type, strftime(session_start, {STAMP}) AS started,
-            strftime(session_end, {STAMP}) AS ended FROM a_sessions""",
+        "sessions_table": f"""SELECT session_id, user_id, device_type, CAST(session_start AS VARCHAR) AS started,
+            CAST(session_end AS VARCHAR) AS ended FROM a_sessions""",
         "lag_sessions": f"""SELECT session_id, user_id,
-            strftime(lag(session_start) OVER (PARTITION BY user_id ORDER BY session_start), {STAMP}) AS prev_start
+            CAST(lag(session_start) OVER (PARTITION BY user_id ORDER BY session_start) AS VARCHAR) AS prev_start
             FROM a_sessions WHERE session_start < {CUTOFF}""",
         "lag_gap": "SELECT user_id, avg_session_gap_days FROM sf WHERE avg_session_gap_days IS NOT NULL",
         "telescoped_gap": f"""SELECT user_id, CASE WHEN count(*) > 1 THEN

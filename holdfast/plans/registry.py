@@ -102,15 +102,15 @@ def session_drop_branches(w):
 @query
 def sessions_table(w):
     return w.tables.sessions.select(
-        "session_id", "user_id", "device_type", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started"),
-        F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ended"),
+        "session_id", "user_id", "device_type", F.col("session_start").cast("string").alias("started"),
+        F.col("session_end").cast("string").alias("ended"),
     )
 
 
 @query
 def lag_sessions(w):
     lagged = sessions.lag_starts(w.tables.sessions, w.spec.cutoff)
-    return lagged.select("session_id", "user_id", F.date_format("prev_session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("prev_start"))
+    return lagged.select("session_id", "user_id", F.col("prev_session_start").cast("string").alias("prev_start"))
 
 
 @query
@@ -486,7 +486,7 @@ def latest_checks(w):
 
 @query
 def action_log(w):
-    return retention.action_log(_decisions(w), CUTOFF).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return retention.action_log(_decisions(w), CUTOFF).withColumn("timestamp", F.col("timestamp").cast("string"))
 
 
 @query

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +48,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """New path under the shared folder, unique to this application and call."""
     app = spark.sparkContext.applicationId
     return f"{shared_dir(spark)}/holdfast/{app}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='holdfast-')}/holdfast", "zip", package.parent, package.name
+        )
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
