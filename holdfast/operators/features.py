@@ -45,8 +45,11 @@ def before(column: str, spec: FeatureSpec) -> Column:
     return F.col(column) < ntz(spec.cutoff)
 
 
-def session_aggregate(sessions: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Everything the feature table needs of `sessions`, label half included, in one scan and one shuffle."""
+def session_aggregate(sessions: DataFrame, spec: FeatureSpec, *extra: Column) -> DataFrame:
+    """Everything the feature table needs of `sessions`, label half included, in one scan and one shuffle.
+
+    `extra` aggregates ride along.
+    """
     start = F.col("session_start")
     seen = before("session_start", spec)
     return sessions.groupBy("user_id").agg(
@@ -57,6 +60,7 @@ def session_aggregate(sessions: DataFrame, spec: FeatureSpec) -> DataFrame:
         F.count_if((start >= ntz(spec.previous_from)) & (start < ntz(spec.recent_from))).alias("previous"),
         F.sum(F.when(seen, F.col("session_end") - start)).alias("time_in_session"),
         F.count_if(~seen).alias("later_sessions"),
+        *extra,
     )
 
 
@@ -134,7 +138,11 @@ def build_features(tables: ActivityTables, spec: FeatureSpec) -> DataFrame:
         support_features(tables.support_tickets, spec),
     ):
         joined = joined.join(side, "user_id", "left")
+    return assemble(joined, spec)
+
 
+def assemble(joined: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Feature table from users carrying the per-user aggregates; absent activity becomes defaults."""
     session = session_columns(spec)
 
     def zero(column: Column | str) -> Column:

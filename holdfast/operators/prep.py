@@ -48,69 +48,66 @@ def stratified_split(df: DataFrame, test_frac: float = 0.20, seed: int = 42, lab
     )
 
 
-def _ranks_around_middle(n: int) -> tuple[int, int]:
-    return (n + 1) // 2, n // 2 + 1
+# shares of the rows a median bracket may reach to either side, narrowest first; the last spans all values
+BRACKETS = (0.0004, 0.02, 0.2, 0.5)
 
 
-def medians(df: DataFrame, columns=NUMERIC_FEATURES, accuracy: int = 10000, margin: float | None = None) -> DataFrame:
+def medians(df: DataFrame, columns=NUMERIC_FEATURES, accuracy: int = 10000, brackets=BRACKETS) -> DataFrame:
     """Exact medians (feature, non_null, median), NULLs ignored.
 
-    A quantile sketch first brackets each median; then only distinct values inside the bracket
-    are counted and ranked. If a bracket should miss, that column is ranked in full.
+    One pass sketches quantiles, a second counts the rows below and inside nested brackets around
+    each median. Only distinct values inside the narrowest bracket that provably holds the median
+    are then counted and ranked: for many rows a sliver of them, for few rows perhaps all.
     """
     as_double = {c: F.col(c).cast("double") for c in columns}
-    margin = min(0.5, 4.0 / accuracy) if margin is None else margin
-    edges = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
+    shares = [0.5 - b for b in brackets] + [0.5 + b for b in brackets]
     sketch = df.agg(*(
         F.struct(
-            F.count(x).alias("n"), F.percentile_approx(x, edges, accuracy).alias("edges")
+            F.count(x).alias("n"), F.percentile_approx(x, F.array(*map(F.lit, shares)), accuracy).alias("edges")
         ).alias(c) for c, x in as_double.items()
     )).first()
-    bounds = {}
-    for c in columns:
-        n, found = sketch[c]["n"], sketch[c]["edges"]
-        if n:
-            bounds[c] = (n, *found)
+    edges = {
+        c: list(zip(sketch[c]["edges"][:len(brackets)], sketch[c]["edges"][len(brackets):]))
+        for c in columns if sketch[c]["n"]
+    }
+    nothing = df.sparkSession.createDataFrame(
+        [(c, 0, None) for c in columns if c not in edges], "feature string, non_null bigint, median double"
+    )
+    if not edges:
+        return nothing
 
-    below_counts = df.agg(*(
-        F.struct(
-            F.count_if(as_double[c] < lo).alias("below"),
-            F.count_if(as_double[c] <= hi).alias("through"),
-        ).alias(c) for c, (_, lo, hi) in bounds.items()
-    )).first() if bounds else {}
-    plans = []
-    for c, (n, lo, hi) in bounds.items():
-        first, second = _ranks_around_middle(n)
-        below, through = below_counts[c]
-        if not below < first <= second <= through:
-            lo, hi, below = float("-inf"), float("inf"), 0
-        plans.append((c, n, lo, hi, below, first, second))
-
-    values = df.select(F.inline(F.array(*(
-        F.struct(
+    counted = df.agg(*(
+        F.array(*(
+            F.struct(F.count_if(as_double[c] < lo).alias("below"), F.count_if(as_double[c] <= hi).alias("through"))
+            for lo, hi in pairs
+        )).alias(c) for c, pairs in edges.items()
+    )).first()
+    candidates = []
+    for c, pairs in edges.items():
+        n = sketch[c]["n"]
+        first, second = (n + 1) // 2, n // 2 + 1  # the middle ranks, equal when n is odd
+        (lo, hi), below = next(
+            (pair, found["below"]) for pair, found in zip(pairs, counted[c])
+            if found["below"] < first and second <= found["through"]
+        )
+        candidates.append(F.struct(
             F.lit(c).alias("feature"), F.lit(n).cast("bigint").alias("non_null"),
             F.lit(below).cast("bigint").alias("below"), F.lit(first).cast("bigint").alias("first"),
             F.lit(second).cast("bigint").alias("second"),
             F.when(as_double[c].between(lo, hi), as_double[c]).alias("value"),
-        ) for c, n, lo, hi, below, first, second in plans
-    )))) if plans else None
-    empty = [c for c in columns if c not in bounds]
-    nothing = df.sparkSession.createDataFrame(
-        [(c, 0, None) for c in empty], "feature string, non_null bigint, median double"
-    )
-    if values is None:
-        return nothing
-    grouped = values.filter(F.col("value").isNotNull()).groupBy(
+        ))
+    grouped = df.select(F.inline(F.array(*candidates))).filter(F.col("value").isNotNull()).groupBy(
         "feature", "non_null", "below", "first", "second", "value"
     ).agg(F.count("*").alias("n"))
     through = F.col("below") + F.sum("n").over(Window.partitionBy("feature").orderBy("value"))
     ranked = grouped.withColumn("through", through)
-    holds_first = (F.col("through") >= F.col("first")) & (F.col("through") - F.col("n") < F.col("first"))
-    holds_second = (F.col("through") >= F.col("second")) & (F.col("through") - F.col("n") < F.col("second"))
-    middle = ranked.groupBy("feature", "non_null").agg((
-        (F.max(F.when(holds_first, F.col("value"))) + F.max(F.when(holds_second, F.col("value")))) / 2
-    ).alias("median"))
-    return middle.unionByName(nothing) if empty else middle
+
+    def at_rank(rank: str):
+        holds = (F.col("through") >= F.col(rank)) & (F.col("through") - F.col("n") < F.col(rank))
+        return F.max(F.when(holds, F.col("value")))
+
+    middle = ranked.groupBy("feature", "non_null").agg(((at_rank("first") + at_rank("second")) / 2).alias("median"))
+    return middle.unionByName(nothing) if len(edges) < len(columns) else middle
 
 
 def fill_with(df: DataFrame, values: dict[str, float]) -> DataFrame:

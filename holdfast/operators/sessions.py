@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from holdfast.functions.numbers import ntz, seconds
 
 
-def _slots(activity: DataFrame, ts: str, gap_hours: int) -> DataFrame:
+def session_slots(activity: DataFrame, ts: str, gap_hours: int, *extra: Column) -> DataFrame:
     """One row per user and occupied time slot, numbered by the session it belongs to.
 
     A slot is exactly one gap wide, so all rows of a user inside it are closer than the
@@ -20,7 +20,7 @@ def _slots(activity: DataFrame, ts: str, gap_hours: int) -> DataFrame:
     user then holds at most (history / gap) rows, however many events they produced.
     """
     slots = activity.groupBy("user_id", F.window(ts, f"{gap_hours} hours").start.alias("slot")).agg(
-        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")
+        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), *extra
     )
     in_order = Window.partitionBy("user_id").orderBy("slot")
     previous = F.lag("last_ts").over(in_order)
@@ -35,7 +35,7 @@ def session_key(user: Column, start: Column) -> Column:
 def sessionize(activity: DataFrame, ts: str = "event_timestamp", gap_hours: int = 6) -> DataFrame:
     """Sessions (session_id, user_id, session_start, session_end); a pause >= the gap starts a new one."""
     spans = (
-        _slots(activity, ts, gap_hours)
+        session_slots(activity, ts, gap_hours)
         .groupBy("user_id", "session_no")
         .agg(F.min("first_ts").alias("session_start"), F.max("last_ts").alias("session_end"))
     )
@@ -48,7 +48,7 @@ def sessionize(activity: DataFrame, ts: str = "event_timestamp", gap_hours: int
 def attach_session_id(activity: DataFrame, ts: str = "event_timestamp", gap_hours: int = 6) -> DataFrame:
     """Activity rows with the id of their session; joined per user and slot, so one user spreads out."""
     whole = Window.partitionBy("user_id", "session_no")
-    slot_ids = _slots(activity, ts, gap_hours).select(
+    slot_ids = session_slots(activity, ts, gap_hours).select(
         "user_id", "slot",
         session_key(F.col("user_id"), F.min("first_ts").over(whole)).alias("session_id"),
     )

@@ -554,6 +554,7 @@ def _build() -> dict[str, str]:
     rows_test = "scored_test"
     sql = {
         "feature_store": f"SELECT {_feature_out()} FROM fs",
+        "feature_store_one_scan": f"SELECT {_feature_out()} FROM fs",
         "feature_store_7d": f"SELECT {_feature_out()} FROM fs_7d",
         "filter_profile": " UNION ALL ".join(_filter_profile(*x) for x in (
             ("sessions", "a_sessions", "session_start"), ("events", "a_events", "event_timestamp"),

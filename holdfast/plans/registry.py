@@ -16,7 +16,7 @@ from holdfast.plans.workspace import Workspace, workspace
 from holdfast.schemas import FEATURES, NUMERIC_FEATURES, RAW_SCHEMAS
 from holdfast.session import scratch_path
 from holdfast.sources import readers, writers
-from holdfast.sources.driver_tables import CUTOFF, driver_spec, load_driver_tables
+from holdfast.sources.driver_tables import CUTOFF, driver_spec, features_from_log, load_driver_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -60,6 +60,12 @@ def feature_store_7d(w):
     return build_features(w.tables, driver_spec(window_days=7))
 
 
+@query
+def feature_store_one_scan(w):
+    """The same table from a single scan of the event log."""
+    return features_from_log(w.spark, w.sf_dir, w.spec)
+
+
 @query
 def filter_profile(w):
     return feat.filter_profile(w.tables, w.spec)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from holdfast.functions.numbers import ntz
-from holdfast.operators.features import FeatureSpec
-from holdfast.operators.sessions import attach_session_id, sessionize
+from holdfast.operators.features import FeatureSpec, assemble, session_aggregate
+from holdfast.operators.sessions import attach_session_id, session_slots, sessionize
 from holdfast.schemas import PLAN_FEES, ActivityTables
 
 # --- fixed values of the mapping -------------------------------------------------------
@@ -55,9 +56,48 @@ def load_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _ticket_status() -> F.Column:
+    turn = F.col("event_id") % STATUS_CYCLE
+    return F.when(turn < OPEN_BELOW, "open").when(turn < ESCALATED_BELOW, "escalated").otherwise("resolved")
+
+
+def features_from_log(spark: SparkSession, sf_dir: str, spec: FeatureSpec) -> DataFrame:
+    """The feature table in one scan of the event log.
+
+    All four activity tables are views of one file here, so everything they contribute is summed per
+    user and time slot together with the slot's first and last instant, then per session, then per user.
+    """
+    seen = F.col("ts") < ntz(spec.cutoff)
+    purchase, ticket = F.col("event_type") == "purchase", F.col("event_type") == "error"
+    cents = (F.col("value").cast("decimal(8,2)") * 100).cast("bigint")
+    measures = {
+        "total_events_60d": F.count_if(seen),
+        "core_feature_usage_count": F.count_if(seen & (F.col("event_type") == spec.core_event)),
+        "spend_cents": F.sum(F.when(seen & purchase, cents)),
+        "later_orders": F.count_if(~seen & purchase),
+        "support_ticket_count": F.count_if(seen & ticket),
+        "unresolved_tickets": F.count_if(seen & ticket & _ticket_status().isin(*spec.unresolved)),
+    }
+    totals = [F.sum(m).alias(m) for m in measures]
+    slots = session_slots(
+        _read_log(spark, sf_dir), "ts", SESSION_GAP_HOURS, *(c.alias(m) for m, c in measures.items())
+    )
+    sessions = slots.groupBy("user_id", "session_no").agg(
+        F.min("first_ts").alias("session_start"), F.max("last_ts").alias("session_end"), *totals
+    )
+    per_user = session_aggregate(sessions, spec, *totals).withColumn(
+        "add_on_spend_60d", (F.col("spend_cents").cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
+    )
+    return assemble(load_users(spark, sf_dir).join(per_user, "user_id", "left"), spec)
+
+
 def load_driver_tables(spark: SparkSession, sf_dir: str, with_session_ids: bool = False) -> ActivityTables:
     """Lazy views; event rows carry their session id only on request, as that costs a join."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = _read_log(spark, sf_dir)
     events = raw.select(
         F.col("event_id"), F.col("user_id"), F.col("ts").alias("event_timestamp"),
         F.col("event_type").alias("event_name"),
@@ -71,11 +111,9 @@ def load_driver_tables(spark: SparkSession, sf_dir: str, with_session_ids: bool
         F.col("event_id").alias("order_id"), "user_id", F.col("ts").alias("order_timestamp"),
         F.col("value").cast("decimal(8,2)").alias("amount"),
     )
-    turn = F.col("event_id") % STATUS_CYCLE
     tickets = raw.filter(F.col("event_type") == "error").select(
         F.col("event_id").alias("ticket_id"), "user_id", F.col("ts").alias("created_at"),
         _pick(TICKET_CATEGORIES, F.col("event_id") % len(TICKET_CATEGORIES)).alias("category"),
-        F.when(turn < OPEN_BELOW, "open").when(turn < ESCALATED_BELOW, "escalated").otherwise("resolved")
-        .alias("status"),
+        _ticket_status().alias("status"),
     )
     return ActivityTables(load_users(spark, sf_dir), sessions, events, orders, tickets)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from holdfast.operators import explain, impact, prep, retention
 from holdfast.operators.features import build_features
 from holdfast.plans.workspace import workspace
-from holdfast.sources.driver_tables import driver_spec, load_driver_tables
+from holdfast.sources.driver_tables import driver_spec, features_from_log, load_driver_tables
 
 
 def plan(df):
@@ -30,6 +30,11 @@ def test_features_read_each_table_once(feature_plan):
     assert feature_plan.count("FileScan parquet") == 5
 
 
+def test_one_scan_plan_reads_the_log_once(spark, sf_dir):
+    text = plan(features_from_log(spark, sf_dir, driver_spec()))
+    assert text.count("FileScan parquet") == 2 and text.count("Exchange hashpartitioning") <= 3
+
+
 def test_features_push_the_cutoff_and_prune_columns(feature_plan):
     assert "LessThan(ts,2024-01-30T00:00)" in feature_plan
     assert "props" not in feature_plan and "c_name" not in feature_plan

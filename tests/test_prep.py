@@ -59,8 +59,8 @@ def test_median_survives_a_poor_sketch(spark):
     rng = random.Random(9)
     values = [rng.random() for _ in range(4001)]
     df = spark.createDataFrame([(v,) for v in values], "a double")
-    for accuracy, margin in ((2, None), (5, 0.0), (50, 0.001)):
-        assert prep.medians(df, ("a",), accuracy, margin).first()["median"] == statistics.median(values)
+    for accuracy, brackets in ((2, prep.BRACKETS), (5, (0.0, 0.5)), (50, (0.0, 0.001, 0.5))):
+        assert prep.medians(df, ("a",), accuracy, brackets).first()["median"] == statistics.median(values)
 
 
 def feature_frame(spark):
