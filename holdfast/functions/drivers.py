@@ -6,7 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from holdfast.functions.numbers import count_text, money_text, pct_text, signed_text
 
+# --- fixed values -----------------------------------------------------------------
 UP, DOWN = "UP (+)", "DOWN (-)"
+TABLE_UP, TABLE_DOWN = "Pushes Churn Risk UP (+)", "Pulls Churn Risk DOWN (-)"
+OVERALL_UP, OVERALL_DOWN = "Pushes Toward Churn (+)", "Pushes Toward Retention (-)"
+# ----------------------------------------------------------------------------------
 
 # our own wording: (value format, text around the value when risk rises, the same when it falls)
 DRIVER_TEXTS = {

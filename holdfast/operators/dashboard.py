@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from holdfast.functions.drivers import TABLE_DOWN, TABLE_UP
 from holdfast.functions.policy import POLICY, RetentionPolicy, eligible, ltv, risk_tier, share_text
 from holdfast.schemas import LABEL
 
@@ -112,7 +113,7 @@ def driver_table(frame: DataFrame) -> DataFrame:
     return frame.select("user_id", F.inline(entries)).select(
         "user_id", "driver_rank", "feature",
         F.concat(F.when(F.col("shap") < 0, "-").otherwise("+"), size).alias("shap_impact"),
-        F.when(F.col("shap") > 0, "Pushes Churn Risk UP (+)").otherwise("Pulls Churn Risk DOWN (-)").alias("direction"),
+        F.when(F.col("shap") > 0, TABLE_UP).otherwise(TABLE_DOWN).alias("direction"),
         "explanation",
     )
 

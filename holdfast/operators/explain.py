@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from holdfast.functions.drivers import direction, driver_text, short_text
+from holdfast.functions.drivers import OVERALL_DOWN, OVERALL_UP, direction, driver_text, short_text
 from holdfast.operators.models import LinearModel
 from holdfast.schemas import DRIVER_STRUCT, FEATURES, LABEL
 
@@ -63,7 +63,7 @@ def chart_rows(importance: DataFrame, n: int = 8) -> DataFrame:
 def signed_importance(attributed: DataFrame, named=NAMED_DIAGNOSTICS) -> DataFrame:
     """Mean signed attribution of the named features and which way they push overall."""
     means = attribution_means(attributed).filter(F.col("feature").isin(*named))
-    push = F.when(F.col("mean_signed_shap") > 0, "Pushes Toward Churn (+)").otherwise("Pushes Toward Retention (-)")
+    push = F.when(F.col("mean_signed_shap") > 0, OVERALL_UP).otherwise(OVERALL_DOWN)
     return means.withColumn("net_direction", push).orderBy(F.desc("mean_abs_shap"), "feature")
 
 

@@ -24,10 +24,11 @@ def confusion_matrix(classified: DataFrame, label: str = LABEL) -> DataFrame:
     )
 
 
-def classification_metrics(confusion: DataFrame) -> DataFrame:
-    """One row: accuracy, precision, recall, f1; an undefined ratio is 0."""
+def classification_metrics(confusion: DataFrame, *keep: str) -> DataFrame:
+    """One row: accuracy, precision, recall, f1 and the columns to keep; an undefined ratio is 0."""
     tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
     return confusion.select(
+        *keep,
         ratio(tp + tn, tn + fp + fn + tp).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),
@@ -65,6 +66,14 @@ def roc_auc(scored: DataFrame, probability: str = "churn_probability", label: st
     return ranked.agg(F.when((pos > 0) & (neg > 0), total / (pos * neg)).alias("roc_auc"))
 
 
+def evaluate(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: confusion matrix and all five metrics."""
+    confusion = confusion_matrix(classify(scored, threshold))
+    matrix = F.struct("tn", "fp", "fn", "tp").alias("matrix")
+    quality = classification_metrics(confusion.withColumn("matrix", matrix), "matrix")
+    return quality.select("matrix.*", *METRICS[:-1], roc_auc(scored).scalar().alias("roc_auc"))
+
+
 def metric_rows(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """All five metrics as (metric, value) rows."""
     wide = classification_metrics(confusion_matrix(classify(scored, threshold)))

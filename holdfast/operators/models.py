@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from holdfast.operators.prep import Preprocessor, fit_preprocessor, one_hot
+from holdfast.operators.prep import Preprocessor
 from holdfast.schemas import FEATURES, LABEL
 
 GAP = "avg_session_gap_days"
@@ -98,9 +98,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def prepare(features: DataFrame, split) -> tuple[DataFrame, Preprocessor]:
-    """Encoded features with `is_test`, and the preprocessor learnt from the training rows."""
-    encoded = split(one_hot(features))
-    return encoded, fit_preprocessor(encoded.filter(~F.col("is_test")))

@@ -48,6 +48,11 @@ def stratified_split(df: DataFrame, test_frac: float = 0.20, seed: int = 42, lab
     )
 
 
+def prepare(features: DataFrame, test_frac: float = 0.20, seed: int = 42) -> DataFrame:
+    """Feature table with one-hot columns and `is_test`; `fit_preprocessor` takes its training rows."""
+    return stratified_split(one_hot(features), test_frac, seed)
+
+
 # shares of the rows a median bracket may reach to either side, narrowest first; the last spans all values
 BRACKETS = (0.0004, 0.02, 0.2, 0.5)
 

@@ -18,7 +18,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from holdfast.operators.explain import PHI
-from holdfast.operators.models import GAP, GAP_MISSING, TREE_FEATURES, TREE_LOG_ODDS, load_model, save_model
+from holdfast.operators.models import (
+    GAP, GAP_MISSING, TREE_FEATURES, TREE_LOG_ODDS, load_model, predict, restore_gap, save_model,
+)
 from holdfast.session import scratch_path, ship_package
 
 
@@ -160,3 +162,9 @@ def tree_attributions(df: DataFrame, table: LeafTable, features=TREE_FEATURES) -
 def fold_gap_flag(attributed: DataFrame) -> DataFrame:
     """Counts the missing-gap flag towards the gap feature itself; the sum stays the same."""
     return attributed.withColumn(PHI + GAP, F.col(PHI + GAP) + F.col(PHI + GAP_MISSING)).drop(PHI + GAP_MISSING)
+
+
+def explain(df: DataFrame, model: PipelineModel, table: LeafTable | None = None) -> DataFrame:
+    """Scores and attributes users (from `models.tree_input`), one phi column per feature, gap flag folded in."""
+    table = table or read_leaves(df.sparkSession, model)
+    return restore_gap(fold_gap_flag(tree_attributions(predict(model, df), table)))

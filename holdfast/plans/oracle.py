@@ -636,6 +636,11 @@ def _build() -> dict[str, str]:
             count(*) FILTER (WHERE churn_label = 1 AND p >= 0.5) AS tp FROM {rows_test}""",
         "classification_metrics": f"""SELECT {', '.join(f"round(max(value) FILTER (WHERE metric = '{m}'), 6) AS {m}"
             for m in ('accuracy', 'precision', 'recall', 'f1'))} FROM ({_metric_cte(rows_test)})""",
+        "evaluation": f"""SELECT c.*, m.* FROM (SELECT count(*) FILTER (WHERE churn_label = 0 AND p < 0.5) AS tn,
+            count(*) FILTER (WHERE churn_label = 0 AND p >= 0.5) AS fp, count(*) FILTER (WHERE churn_label = 1 AND p < 0.5) AS fn,
+            count(*) FILTER (WHERE churn_label = 1 AND p >= 0.5) AS tp FROM {rows_test}) c
+            CROSS JOIN (SELECT {', '.join(f"round(max(value) FILTER (WHERE metric = '{m}'), 6) AS {m}"
+            for m in ('accuracy', 'precision', 'recall', 'f1', 'roc_auc'))} FROM ({_metric_cte(rows_test)})) m""",
         "roc_auc": f"SELECT round(roc_auc, 6) AS roc_auc FROM ({_auc(rows_test)})",
         "roc_auc_all_users": f"SELECT round(roc_auc, 6) AS roc_auc FROM ({_auc('scored_base')})",
         "model_comparison": f"""SELECT c.metric, round(b.value, 6) AS baseline, round(c.value, 6) AS challenger,

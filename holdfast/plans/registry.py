@@ -268,6 +268,11 @@ def classification_metrics(w):
     return _round(row, *row.columns)
 
 
+@query
+def evaluation(w):
+    return _round(metrics.evaluate(_test(w.scored)), *metrics.METRICS)
+
+
 @query
 def roc_auc(w):
     return _round(metrics.roc_auc(_test(w.scored)), "roc_auc")
@@ -384,7 +389,7 @@ def filled_drivers(w):
 
 def _fixed_trees(w):
     table = tree_shap.leaves_of(TREES)
-    return table, tree_shap.tree_attributions(models.tree_input(w.encoded, w.preprocessor), table)
+    return table, tree_shap.tree_attributions(w.tree_input, table)
 
 
 @query
@@ -667,7 +672,7 @@ def model_round_trip(w):
     parts = []
     for name, model, data in (
         ("logistic regression", w.lr_model, w.scaled),
-        ("boosted trees", w.gbt_model, models.tree_input(w.encoded, w.preprocessor)),
+        ("boosted trees", w.gbt_model, w.tree_input),
     ):
         path = scratch_path(w.spark, "model")
         models.save_model(model, path)

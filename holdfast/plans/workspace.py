@@ -10,9 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.operators import explain, models, prep
+from holdfast.operators import explain, models, prep, tree_shap
 from holdfast.operators.features import FeatureSpec, build_features
-from holdfast.operators.tree_shap import fold_gap_flag, read_leaves, tree_attributions
 from holdfast.plans.fixed_model import BASELINE, CHALLENGER
 from holdfast.schemas import ActivityTables
 from holdfast.sources.driver_tables import driver_spec, load_driver_tables
@@ -44,7 +43,7 @@ class Workspace:
     @cached_property
     def encoded(self) -> DataFrame:
         """One-hot features with `is_test`."""
-        return materialize(prep.stratified_split(prep.one_hot(self.features)), "encoded")
+        return materialize(prep.prepare(self.features), "encoded")
 
     @property
     def train(self) -> DataFrame:
@@ -103,7 +102,11 @@ class Workspace:
 
     @property
     def gbt_scored(self) -> DataFrame:
-        return models.predict(self.gbt_model, models.tree_input(self.encoded, self.preprocessor))
+        return models.predict(self.gbt_model, self.tree_input)
+
+    @property
+    def tree_input(self) -> DataFrame:
+        return models.tree_input(self.encoded, self.preprocessor)
 
     @property
     def lr_scored(self) -> DataFrame:
@@ -111,8 +114,8 @@ class Workspace:
 
     @cached_property
     def leaves(self):
-        return read_leaves(self.spark, self.gbt_model)
+        return tree_shap.read_leaves(self.spark, self.gbt_model)
 
     @property
     def tree_attributed(self) -> DataFrame:
-        return models.restore_gap(fold_gap_flag(tree_attributions(self.gbt_scored, self.leaves)))
+        return tree_shap.explain(self.tree_input, self.gbt_model, self.leaves)
