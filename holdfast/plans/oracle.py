@@ -677,7 +677,7 @@ def _build() -> dict[str, str]:
         "tree_shap_fixed": " UNION ALL ".join(
             f"SELECT user_id, '{f}' AS feature, {_r6('v')} AS shap_value FROM (SELECT user_id, CAST({_tree_phi(f)} AS DOUBLE) AS v FROM timp)"
             for f in FEATURES + ("gap_missing",)),
-        "tree_margin_fixed": f"""SELECT user_id, round({sum(_tree_base(t) for t in TREES)}, 6) AS base_value, {_r6('v')} AS margin
+        "tree_margin_fixed": f"""SELECT user_id, round({_double(sum(_tree_base(t) for t in TREES))}, 6) AS base_value, {_r6('v')} AS margin
             FROM (SELECT user_id, CAST({' + '.join(_tree_score(t) for t in TREES)} AS DOUBLE) AS v FROM timp)""",
         "ltv": "SELECT user_id, CAST(monthly_fee * 12 AS DOUBLE) AS ltv FROM fs",
         "discount_caps": f"""SELECT plan_tier, count(*) AS users, CAST(min(ltv) AS DOUBLE) AS lowest_ltv,

@@ -296,10 +296,10 @@ def model_comparison_no_baseline(w):
 
 @query
 def threshold_audit(w):
-    return metrics_check(w.scored)
+    return _class_check(w.scored)
 
 
-def metrics_check(scored):
+def _class_check(scored):
     return audits.threshold_audit(metrics.classify(scored))
 
 
@@ -660,10 +660,12 @@ def trained_comparison(w):
 @query
 def trained_audits(w):
     """Same test users under both models, and classes that follow from probabilities."""
-    same = audits.same_users_audit(_test(w.gbt_scored), _test(w.lr_scored)).select("check", "passed")
-    return same.unionByName(metrics_check(w.gbt_scored).select("check", "passed")).unionByName(
-        metrics_check(w.lr_scored).select("check", "passed")
+    same = audits.same_users_audit(_test(w.gbt_scored), _test(w.lr_scored)).select(
+        F.lit("both").alias("model"), "check", "passed"
     )
+    for name, scored in (("boosted trees", w.gbt_scored), ("logistic regression", w.lr_scored)):
+        same = same.unionByName(_class_check(scored).select(F.lit(name).alias("model"), "check", "passed"))
+    return same
 
 
 @query

@@ -43,6 +43,18 @@ def test_sessionize_equals_brute_force(spark, seed):
     assert found.select("session_id").distinct().count() == found.count()
 
 
+def test_a_heavy_user_collapses_before_any_window(spark):
+    events = spark.range(200_000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).alias("user_id"),
+        (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") * 7919 % 864_000).cast("decimal(18,6)")))
+        .alias("event_timestamp"),
+    )
+    slots = ses.session_slots(events, "event_timestamp", 6)
+    per_user = slots.groupBy("user_id").count()
+    assert per_user.agg(F.max("count")).first()[0] <= 10 * 24 / 6  # ten days of six-hour slots
+    assert events.filter("user_id = 0").count() > 60_000
+
+
 def test_pause_of_exactly_the_gap_splits(spark):
     rows = [r for r in make_events(1) if r[1] == 99]
     assert ses.sessionize(spark.createDataFrame(rows, EVENTS)).count() == 2
