@@ -6,6 +6,7 @@ the learnt state is a few dozen numbers or a small model.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,6 +37,11 @@ class Workspace:
     def tables(self) -> ActivityTables:
         return load_driver_tables(self.spark, self.sf_dir)
 
+    @cached_property
+    def stored_tables(self) -> ActivityTables:
+        """The raw tables with the derived sessions stored, for audits that read them several times."""
+        return replace(self.tables, sessions=materialize(self.tables.sessions, "sessions"))
+
     @cached_property
     def features(self) -> DataFrame:
         return materialize(build_features(self.tables, self.spec), "features")
@@ -45,7 +51,7 @@ class Workspace:
         """One-hot features with `is_test`."""
         return materialize(prep.prepare(self.features), "encoded")
 
-    @property
+    @cached_property
     def train(self) -> DataFrame:
         return self.encoded.filter(~F.col("is_test"))
 
@@ -53,16 +59,16 @@ class Workspace:
     def preprocessor(self) -> prep.Preprocessor:
         return prep.fit_preprocessor(self.train)
 
-    @property
+    @cached_property
     def scaled(self) -> DataFrame:
         return self.preprocessor.transform(self.encoded)
 
-    @property
+    @cached_property
     def scored(self) -> DataFrame:
         """All users under the fixed linear model."""
         return CHALLENGER.score(self.scaled)
 
-    @property
+    @cached_property
     def baseline_scored(self) -> DataFrame:
         return BASELINE.score(self.scaled)
 
@@ -70,24 +76,24 @@ class Workspace:
     def background(self) -> dict[str, float]:
         return explain.background_means(self.scaled)
 
-    @property
+    @cached_property
     def base_value(self) -> float:
         return explain.linear_base_value(CHALLENGER, self.background)
 
-    @property
+    @cached_property
     def attributed(self) -> DataFrame:
         return explain.linear_attributions(self.scored, CHALLENGER, self.background)
 
-    @property
+    @cached_property
     def explained(self) -> DataFrame:
         return explain.with_top_drivers(self.attributed)
 
-    @property
+    @cached_property
     def ranked(self) -> DataFrame:
         """All users with their drivers, without sentences."""
         return explain.ranked_drivers(self.attributed)
 
-    @property
+    @cached_property
     def records(self) -> DataFrame:
         """Explanation records of the test users."""
         return explain.local_records(self.explained.filter("is_test"), self.base_value)
@@ -100,15 +106,15 @@ class Workspace:
     def gbt_model(self):
         return models.train_gbt(models.tree_input(self.train, self.preprocessor))
 
-    @property
+    @cached_property
     def gbt_scored(self) -> DataFrame:
         return models.predict(self.gbt_model, self.tree_input)
 
-    @property
+    @cached_property
     def tree_input(self) -> DataFrame:
         return models.tree_input(self.encoded, self.preprocessor)
 
-    @property
+    @cached_property
     def lr_scored(self) -> DataFrame:
         return models.predict(self.lr_model, self.scaled)
 
@@ -116,6 +122,6 @@ class Workspace:
     def leaves(self):
         return tree_shap.read_leaves(self.spark, self.gbt_model)
 
-    @property
+    @cached_property
     def tree_attributed(self) -> DataFrame:
         return tree_shap.explain(self.tree_input, self.gbt_model, self.leaves)
