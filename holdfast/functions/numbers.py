@@ -27,10 +27,6 @@ def ratio(numerator: Column, denominator: Column, otherwise=0.0) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(otherwise))
 
 
-def round_double(value: Column, digits: int) -> Column:
-    return F.round(value.cast("double"), digits)
-
-
 def pct_text(value: Column) -> Column:
     """One-decimal percentage without the sign, e.g. 12.5."""
     return F.round(value, 1).cast("decimal(12,1)").cast("string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from holdfast.functions.drivers import DOWN, DRIVER_TEXTS, GAP_FEATURE, GAP_UNKNOWN, UP
-from holdfast.functions.policy import ADOPTION_DRIVERS, FRICTION_DRIVERS, INACTIVITY_DRIVERS, MESSAGES
+from holdfast.functions.policy import FRICTION_DRIVERS, INACTIVITY_DRIVERS, MESSAGES
 from holdfast.operators.audits import MEAN_FEATURES, PROFILE_FEATURES
 from holdfast.operators.explain import NAMED_DIAGNOSTICS
 from holdfast.plans.fixed_model import BASELINE, CHALLENGER, TREES
@@ -321,7 +321,7 @@ def _metric_cte(source: str) -> str:
               FROM {source})"""
 
 
-def _driver_pivot(source: str, flat: str = "driver_{i}") -> str:
+def _driver_pivot(source: str) -> str:
     parts = []
     for i in (1, 2, 3):
         for column in ("feature", "shap", "text"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from holdfast.functions import policy as P
 from holdfast.operators import (
@@ -44,6 +44,10 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _r6(c):
+    return F.round(c, RISK_DIGITS)
+
+
 def _round(df: DataFrame, *columns: str, digits: int = RISK_DIGITS) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -244,10 +248,6 @@ def scaled_features(w):
     return w.scaled.select("user_id", "is_test", *(_r6(F.col(f"scaled_{f}")).alias(f"scaled_{f}") for f in FEATURES))
 
 
-def _r6(c):
-    return F.round(c, RISK_DIGITS)
-
-
 @query
 def linear_score(w):
     return _round(w.scored.select("user_id", "margin", "churn_probability"), "margin", "churn_probability")
@@ -360,7 +360,7 @@ def top_drivers(w):
 @query
 def driver_window_rank(w):
     """The same ranking in long form, by a window per user."""
-    by_size = explain.Window.partitionBy("user_id").orderBy(F.desc(F.abs("shap_value")), "feature")
+    by_size = Window.partitionBy("user_id").orderBy(F.desc(F.abs("shap_value")), "feature")
     ranked = _long(w.attributed).withColumn("driver_rank", F.row_number().over(by_size))
     return ranked.filter("driver_rank <= 3").select("user_id", "feature", "driver_rank")
 
