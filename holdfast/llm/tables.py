@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from holdfast.session import scratch_path, ship_package
@@ -46,9 +48,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
 
 def text_slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that a slice holds about `most` bytes of text, or one longer row."""
-    import numpy as np
-
-    lengths = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(lengths) // most
     starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for start, end in zip(starts, starts[1:]):
