@@ -1,13 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over word counts is trained in numpy from confirmed toxic texts and unlabelled ones.
+A linear classifier over counts of words and of word beginnings is trained in numpy from confirmed toxic texts and unlabelled ones.
 With the class prior p the risk is p * R(toxic as toxic) + max(0, R(unlabelled as clean) - p * R(toxic as
 clean)): clean examples are never needed, and the part that stands for them can't become negative; where it
 would, the step goes against it. The prior is the share of toxic rows among all labelled rows that may
 be learned from.
 
 Bounds of the fit: POSITIVES and UNLABELLED texts, chosen by a hash of the id; the VOCABULARY most frequent
-words that at least MIN_TEXTS of them hold; STEPS steps. Scoring reads whole texts.
+of these features that at least MIN_TEXTS of them hold; STEPS steps. Scoring reads whole texts.
 
 A document is labelled toxic if any of its label rows is; NULL labels and ids say nothing. NULL and empty
 texts have no words and get the score of the bias. Without a toxic label all scores are 0. Repeated rows
@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from holdfast.llm.tables import held_out, map_batches, text_slices
 
-POSITIVES, UNLABELLED = 3000, 9000
-VOCABULARY, MIN_TEXTS = 30000, 5
-STEPS, RATE, RIDGE = 250, 0.05, 2e-4
+POSITIVES, UNLABELLED = 2000, 6000
+VOCABULARY, MIN_TEXTS = 30000, 20
+PREFIXES = range(3, 9)
+STEPS, RATE, RIDGE, LASSO = 200, 0.06, 5e-4, 0.05
 MOST_COUNTED = 4  # further repeats of a word in a text add nothing
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}*#%&$|<>-_"
@@ -39,27 +40,43 @@ class ToxicModel:
     weights: dict[str, float]
     bias: float
 
-    def score(self, text: str | None) -> float:
-        total = self.bias
-        counts = word_counts(text)
-        for word in counts.keys() & self.weights.keys():
-            total += self.weights[word] * min(counts[word], MOST_COUNTED)
-        return float(1 / (1 + np.exp(-min(max(total, -30.0), 30.0))))
+    def scorer(self, remembered: int = 200_000):
+        """Function from a text to its score; which features of a word matter is remembered for so many words."""
+        known: dict[str, list[str]] = {}
 
+        def score(text: str | None) -> float:
+            counts: dict[str, int] = {}
+            for word, n in Counter((text or "").lower().split()).items():
+                if (own := known.get(word)) is None:
+                    if len(known) >= remembered:
+                        known.clear()
+                    own = known[word] = [f for f in features(word) if f in self.weights]
+                for feature in own:
+                    counts[feature] = counts.get(feature, 0) + n
+            total = self.bias + sum(self.weights[f] * min(n, MOST_COUNTED) for f, n in sorted(counts.items()))
+            return float(1 / (1 + np.exp(-min(max(total, -30.0), 30.0))))
 
-def word_counts(text: str | None) -> Counter:
-    """Lower-case words without the punctuation at their ends."""
+        return score
+
+
+def features(word: str) -> list[str]:
+    """The word without punctuation at its ends, and its beginnings (marked by a hyphen) of PREFIXES letters."""
+    word = word.strip(EDGES)
+    return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)] if word else []
+
+
+def feature_counts(text: str | None) -> Counter:
     found = Counter()
     for word, n in Counter((text or "").lower().split()).items():
-        if word := word.strip(EDGES):
-            found[word] += n
+        for feature in features(word):
+            found[feature] += n
     return found
 
 
 def _words(batch: pa.RecordBatch):
     for part in text_slices(batch):
-        words = [w for text in part.column("text").to_pylist() for w in word_counts(text)]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+        words = [w for text in part.column("text").to_pylist() for w in feature_counts(text)]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["feature"])
 
 
 def _counted(places: dict[str, int]):
@@ -67,7 +84,7 @@ def _counted(places: dict[str, int]):
         for part in text_slices(batch):
             rows = []
             for text in part.column("text").to_pylist():
-                counts = word_counts(text)
+                counts = feature_counts(text)
                 known = sorted((places[w], min(counts[w], MOST_COUNTED)) for w in counts.keys() & places.keys())
                 rows.append(np.array(known, np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -94,27 +111,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     texts, prior = sample(docs, labels, positives, unlabelled)
     if not prior:
         return ToxicModel({}, -30.0)
-    words = map_batches(texts, _words, "word string").groupBy("word").count().filter(F.col("count") >= MIN_TEXTS)
-    kept = words.orderBy(F.desc("count"), "word").limit(VOCABULARY).toPandas()
-    vocabulary = kept["word"].tolist()
+    words = map_batches(texts, _words, "feature string").groupBy("feature").count().filter(F.col("count") >= MIN_TEXTS)
+    kept = words.orderBy(F.desc("count"), "feature").limit(VOCABULARY).toPandas()
+    vocabulary = kept["feature"].tolist()
     rows = map_batches(
         texts, _counted({w: i for i, w in enumerate(vocabulary)}), "doc_id bigint, positive boolean, counts binary"
     ).toPandas().sort_values(["doc_id", "positive"])
     if not rows["positive"].any():
         return ToxicModel({}, -30.0)
     pairs = [np.frombuffer(c, np.int32).reshape(-1, 2) for c in rows["counts"]]
-    inverse = np.log(len(rows) / kept["count"].to_numpy(float)).clip(0.05).astype(np.float64)
-    weights, bias = train(pairs, rows["positive"].to_numpy(bool), inverse, prior)
-    found = weights * inverse
-    return ToxicModel({w: float(v) for w, v in zip(vocabulary, found) if abs(v) > 1e-4}, float(bias))
+    weights, bias = train(pairs, rows["positive"].to_numpy(bool), len(vocabulary), prior)
+    return ToxicModel({w: float(v) for w, v in zip(vocabulary, weights) if v}, float(bias))
 
 
-def train(pairs: list[np.ndarray], positive: np.ndarray, scale: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk with the logistic loss; weights of scaled counts, and bias."""
+def train(pairs: list[np.ndarray], positive: np.ndarray, size: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk with the logistic loss; weights (shrunk towards 0) and bias."""
     row = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
     both = np.concatenate(pairs) if len(row) else np.zeros((0, 2), np.int32)
-    column, value = both[:, 0], both[:, 1] * scale[both[:, 0]]
-    n, size = len(pairs), len(scale)
+    column, value = both[:, 0], both[:, 1].astype(float)
+    n = len(pairs)
     w, bias = np.zeros(size), float(np.log(prior / (1 - min(prior, 0.999))))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     n_pos, n_un = max(1, positive.sum()), max(1, (~positive).sum())
@@ -130,6 +145,7 @@ def train(pairs: list[np.ndarray], positive: np.ndarray, scale: np.ndarray, prio
         second += 0.001 * (gradient * gradient - second)
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - RATE * LASSO, 0)
     return w, bias
 
 
@@ -137,8 +153,9 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> D
     """doc_id, held_out, score and predicted of every row."""
 
     def run(batch: pa.RecordBatch):
+        of = model.scorer()
         for part in text_slices(batch):
-            scores = np.array([model.score(text) for text in part.column("text").to_pylist()])
+            scores = np.array([of(text) for text in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
