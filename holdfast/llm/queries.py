@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import language_id, quality_rules, toxicity
+from holdfast.llm import language_id, packing, quality_rules, toxicity
 from holdfast.llm.sql import OP8
 from holdfast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -31,7 +39,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op6_language_id, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op6_language_id, op8_quality_rules)}
 
 
 def llm_sql() -> dict[str, str]:
