@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import language_id, packing, quality_rules, toxicity
+from holdfast.llm import language_id, near_dedup, packing, pieces, quality_rules, toxicity
 from holdfast.llm.sql import OP8
 from holdfast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -26,6 +27,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of every text's ids, and whether decoding them returns the text."""
+    return pieces.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_BPE)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs, language_id.fit(docs))
@@ -38,8 +44,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op6_language_id, op8_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing, op2_toxicity, op5_sentencepiece, op6_language_id, op8_quality_rules, op9_minhash_near_dedup,
+    )}
 
 
 def llm_sql() -> dict[str, str]:
