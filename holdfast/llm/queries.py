@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import language_id, near_dedup, packing, pieces, quality_rules, toxicity
-from holdfast.llm.sql import OP8
+from holdfast.llm import (
+    html_text, language_id, licenses, near_dedup, packing, pieces, quality_rules, suffix_dedup, top_k, toxicity,
+)
+from holdfast.llm.sql import OP7, OP8
 from holdfast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and checksum of every text's ids, and whether decoding them returns the text."""
     return pieces.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_BPE)
@@ -37,6 +47,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).select(
@@ -48,11 +63,17 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per license passage found in a document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op2_toxicity, op5_sentencepiece, op6_language_id, op8_quality_rules, op9_minhash_near_dedup,
+        op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_html_text, op5_sentencepiece, op6_language_id, op7_exact_top_k,
+        op8_quality_rules, op9_minhash_near_dedup, op10_license_scan,
     )}
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8}
+    return {"op7_exact_top_k": OP7, "op8_quality_rules": OP8}
