@@ -223,12 +223,13 @@ def _split_bucket(names: tuple[str, ...], last: bool):
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """doc, part, text: rows with one id are told apart by part."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc, part, text and the other columns in `row`: rows with one id are told apart by part."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*others).alias("row"))
     if rows.filter("doc IS NOT NULL").groupBy("doc").count().filter("count > 1").isEmpty():
-        return rows.select("doc", F.lit(0).cast("smallint").alias("part"), "text")
+        return rows.withColumn("part", F.lit(0).cast("smallint"))
     nth = F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1
-    return store(rows.select("doc", nth.cast("smallint").alias("part"), "text"), "numbered")
+    return store(rows.withColumn("part", nth.cast("smallint")), "numbered")
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -238,7 +239,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(64, total // BUCKET_BYTES), 1 << 16))
     packed, schema = "bucket int, open binary, done binary", "doc bigint, part int, place bigint, asked boolean"
-    usable = rows.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= DEPTH))
+    usable = rows.select("doc", "part", "text").filter(F.col("doc").isNotNull() & (F.octet_length("text") >= DEPTH))
     first = usable.mapInArrow(_gathered(buckets, ("gram", "whole"), _anchors), packed)
     found = store(first.groupBy("bucket").applyInArrow(_split_bucket(("gram", "whole"), last=False), schema), "stretches")
     dealt = rows.repartition("doc")
@@ -283,20 +284,21 @@ def digest(docs: DataFrame) -> DataFrame:
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                 ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    dealt, places = repeated(docs)
+    dealt, places = repeated(docs.select("doc_id", "text"))
     joined = dealt.join(places, ["doc", "part"], "left").select("doc", "text", "places")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """doc_id and the remaining text; bytes of characters that are cut in two are dropped."""
+    """The rows of docs with the remaining texts; bytes of characters that are cut in two are dropped."""
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, BLOCK) if batch.num_rows else ():
                 texts = [_kept(t, p)[0].decode(errors="ignore") for t, p in zip(part.column("text").to_pylist(), part.column("places").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(texts, pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     dealt, places = repeated(docs)
-    joined = dealt.join(places, ["doc", "part"], "left").select("doc", "text", "places")
-    return joined.mapInArrow(run, "doc_id bigint, text string")
+    joined = dealt.join(places, ["doc", "part"], "left").select("row", "text", "places")
+    out = joined.mapInArrow(run, f"row {dealt.schema['row'].dataType.simpleString()}, text string")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -54,3 +54,18 @@ def text_slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.Recor
     for start, end in zip(starts, starts[1:]):
         if end > start:
             yield batch.slice(start, end - start)
+
+
+def with_columns_of_text(docs: DataFrame, function: Callable[[list], list[pa.Array]], added: str) -> DataFrame:
+    """Whole rows of docs with the columns that function computes from their texts; rows stay where they are."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*others).alias("row"))
+    names = [part.split()[0] for part in added.split(",")]
+
+    def run(batch: pa.RecordBatch):
+        for part in text_slices(batch, 1 << 20):
+            extra = function(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("text"), part.column("row"), *extra], ["text", "row", *names])
+
+    out = map_batches(rows, run, f"text string, row {rows.schema['row'].dataType.simpleString()}, {added}")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns), *names)

@@ -40,6 +40,15 @@ class ToxicModel:
     weights: dict[str, float]
     bias: float
 
+    def shared_scorer(self):
+        """One scorer per copy of the model, so that its memory lasts over batches."""
+        if not hasattr(self, "_scorer"):
+            self._scorer = self.scorer()
+        return self._scorer
+
+    def __getstate__(self):
+        return {"weights": self.weights, "bias": self.bias}
+
     def scorer(self, remembered: int = 200_000):
         """Function from a text to its score; which features of a word matter is remembered for so many words."""
         known: dict[str, list[str]] = {}
@@ -153,7 +162,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> D
     """doc_id, held_out, score and predicted of every row."""
 
     def run(batch: pa.RecordBatch):
-        of = model.scorer()
+        of = model.shared_scorer()
         for part in text_slices(batch):
             scores = np.array([of(text) for text in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
