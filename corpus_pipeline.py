@@ -1,8 +1,7 @@
 """Corpus pipeline: five of the numbered operators, each stage on all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of documents. Rows with a NULL id can't be told apart and are left out by
-the stages that look decisions up by id.
+All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -11,45 +10,52 @@ import sys
 from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from holdfast.llm import language_id, near_dedup, packing, suffix_dedup, toxicity
-from holdfast.llm.tables import store, table
+from holdfast.llm.tables import store, table, with_columns_of_text
 
 # Learnt decisions and reading of sub-word ids can't be said in SQL; tests compare with brute force instead.
 ORACLE_SQL = None
 LEAST_LANGUAGE_SCORE = 0.3  # hardly over a guess among four languages
 
 
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs whose ids were decided to stay, with the columns of docs."""
-    return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language is hardly more than a guess, go."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return _only(docs, found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    model = language_id.fit(docs)
+
+    def named(texts):
+        names, scores = language_id.predict_texts(model, texts)
+        return [pa.array(names, pa.string()), pa.array(scores)]
+
+    found = with_columns_of_text(docs, named, "_language string, _score double")
+    kept = (F.col("_language") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)
+    return found.filter(kept).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted as toxic go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, toxicity.score(docs, model).filter("predicted = 0"))
+
+    def scored(texts):
+        return [pa.array(list(map(model.shared_scorer(), texts)), pa.float64())]
+
+    return with_columns_of_text(docs, scored, "_score double").filter(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return _only(docs, near_dedup.near_duplicates(docs, size=5, percent=80).filter("kept"))
+    """One document of each group of near-duplicates stays: of rows with the smallest id, all."""
+    kept = near_dedup.near_duplicates(docs, size=5, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that also lie in a document with a smaller id are cut out; n_chars follows, emptied documents go."""
-    cut = suffix_dedup.cleaned(docs).filter("text != ''").withColumnRenamed("text", "_text")
-    joined = docs.join(cut, "doc_id").withColumn("text", F.col("_text"))
-    return joined.withColumn("n_chars", F.length("_text").cast("bigint")).select(*docs.columns)
+    cut = suffix_dedup.cleaned(docs).filter("text != ''")
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
