@@ -6,11 +6,16 @@ active user does not become a straggler.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from holdfast.functions.numbers import ntz, seconds
 
 
+STAND_IN = datetime(1970, 1, 1)
+
+
 def session_slots(activity: DataFrame, ts: str, gap_hours: int, *extra: Column) -> DataFrame:
     """One row per user and occupied time slot, numbered by the session it belongs to.
 
@@ -46,13 +51,20 @@ def sessionize(activity: DataFrame, ts: str = "event_timestamp", gap_hours: int
 
 
 def attach_session_id(activity: DataFrame, ts: str = "event_timestamp", gap_hours: int = 6) -> DataFrame:
-    """Activity rows with the id of their session; joined per user and slot, so one user spreads out."""
+    """Activity rows with the id of their session; joined per user and slot, so one user spreads out.
+
+    Every row stays; one without a time or a user has no session.
+    """
     whole = Window.partitionBy("user_id", "session_no")
-    slot_ids = session_slots(activity, ts, gap_hours).select(
+    timed = activity.filter(F.col(ts).isNotNull() & F.col("user_id").isNotNull())
+    slot_ids = session_slots(timed, ts, gap_hours).select(
         "user_id", "slot",
         session_key(F.col("user_id"), F.min("first_ts").over(whole)).alias("session_id"),
     )
-    keyed = activity.withColumn("slot", F.window(ts, f"{gap_hours} hours").start)
+    # F.window drops rows without a time, so they pass under a stand-in and lose their slot again
+    at = F.coalesce(F.col(ts), ntz(STAND_IN).cast(activity.schema[ts].dataType))
+    slots = activity.withColumn("_at", at).withColumn("slot", F.window("_at", f"{gap_hours} hours").start)
+    keyed = slots.withColumn("slot", F.when(F.col(ts).isNotNull(), F.col("slot"))).drop("_at")
     return keyed.join(slot_ids, ["user_id", "slot"], "left").drop("slot")
 
 
@@ -114,7 +126,7 @@ def telescoped_gap(sessions: DataFrame, cutoff) -> DataFrame:
 
 
 def session_features_by_join(sessions: DataFrame, cutoff) -> DataFrame:
-    """Sessions LEFT JOIN the per-user gap, grouped by user and the joined value (N:1 join, then group)."""
+    """Sessions LEFT JOIN the per-user gap, per user: sessions are counted first, then joined 1:1."""
     seen = sessions.filter(F.col("session_start") < ntz(cutoff))
     return (
         seen.groupBy("user_id").agg(F.count("session_id").alias("session_count"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from holdfast.schemas import ACTION_LOG_SCHEMA, EXPLANATION_SCHEMA, FEATURE_SCHEMA, RAW_SCHEMAS, ActivityTables
 
@@ -24,9 +25,40 @@ SUMMARY_SCHEMA = """
 """
 
 
+def csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file or folder as text under the names of its header; files whose headers differ are refused."""
+    names = spark.read.option("header", True).csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def typed(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of the schema by name, in any order in the file; a cell that can't be read becomes NULL (see `load_report`)."""
+    missing = [n for n in schema.names if n not in text.columns]
+    if missing:
+        raise ValueError(f"columns missing: {', '.join(missing)}")
+    return text.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema))
+
+
 def _read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
-    reader = spark.read.schema(schema)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    if fmt == "csv":
+        return typed(csv_text(spark, path), schema)
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
+def load_report(spark: SparkSession, folder: str, suffix: str = ".csv") -> DataFrame:
+    """(table_name, rows_read, malformed_cells) of the raw CSV tables in a folder."""
+    parts = []
+    for name, schema in RAW_SCHEMAS.items():
+        text = csv_text(spark, f"{folder}/{name}{suffix}")
+        bad = [
+            F.count_if(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull())
+            for f in schema if f.name in text.columns
+        ]
+        parts.append(text.agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("rows_read"), sum(bad, F.lit(0)).cast("bigint").alias("malformed_cells")
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "csv") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from holdfast.schemas import RAW_SCHEMAS
 from holdfast.session import scratch_path
@@ -17,15 +19,20 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def save_table(df: DataFrame, name: str) -> None:
-    """Drops and recreates a managed table."""
-    df.write.mode("overwrite").option("overwriteSchema", True).saveAsTable(name)
+def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Drops and recreates a table, managed or under a path; until the new files stand, readers find none."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
-def save_tables(tables: dict[str, DataFrame], database: str = "default") -> None:
-    """Recreates the raw tables, typed by their declared schema."""
+def save_tables(tables: dict[str, DataFrame], database: str = "default", folder: str | None = None) -> DataFrame:
+    """Recreates the raw tables, typed by their declared schema, and counts what is then in them."""
+    counts = []
     for name, df in tables.items():
-        save_table(df.select(*RAW_SCHEMAS[name].names), f"{database}.{name}")
+        save_table(df.select(*RAW_SCHEMAS[name].names), f"{database}.{name}", folder and f"{folder}/{name}")
+        stored = df.sparkSession.table(f"{database}.{name}")
+        counts.append(stored.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")))
+    return reduce(DataFrame.unionByName, counts)
 
 
 def append_action_log(log: DataFrame, path: str) -> None:

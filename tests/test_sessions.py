@@ -69,6 +69,19 @@ def test_attached_session_ids_point_to_their_session(spark):
     assert inside.count() == events.count()
 
 
+def test_rows_without_a_time_or_user_keep_their_place(spark):
+    rows = make_events(5, n=50) + [(900, 0, None), (901, None, START), (902, None, None), (903, 7, datetime(1970, 1, 1))]
+    tagged = {r["event_id"]: r["session_id"] for r in ses.attach_session_id(spark.createDataFrame(rows, EVENTS)).collect()}
+    assert len(tagged) == len(rows)
+    assert tagged[900] is tagged[901] is tagged[902] is None and tagged[903].startswith("7-1970")
+
+
+def test_one_hour_of_one_user_holds_a_third(spark):
+    rows = make_events(6, n=300) + [(1000 + i, 3, START + timedelta(seconds=i)) for i in range(150)]
+    tagged = ses.attach_session_id(spark.createDataFrame(rows, EVENTS)).filter("event_id >= 1000")
+    assert tagged.select("session_id").distinct().count() == 1 and tagged.count() == 150
+
+
 def random_sessions(seed, n=400):
     rng = random.Random(seed)
     return [

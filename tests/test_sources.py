@@ -26,6 +26,26 @@ def test_csv_is_typed(spark, tmp_path):
         readers.activity_tables(found)
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "users.csv").write_text("monthly_fee,extra,plan_tier,user_id,signup_date\n29.00,x,Basic,1,2025-11-01 10:00:00\n")
+    row = readers.read_table(spark, "users", f"{tmp_path}/users.csv").first()
+    assert (row["user_id"], row["plan_tier"], str(row["monthly_fee"]), row["signup_date"].year) == (1, "Basic", "29.00", 2025)
+    (tmp_path / "short.csv").write_text("user_id,plan_tier\n1,Basic\n")
+    with pytest.raises(ValueError, match="signup_date, monthly_fee"):
+        readers.read_table(spark, "users", f"{tmp_path}/short.csv")
+
+
+def test_malformed_cells_are_counted(spark, tmp_path):
+    for name, df in sample(spark).items():
+        writers.write_csv(df, f"{tmp_path}/{name}.csv")
+    clean = {r["table_name"]: r for r in readers.load_report(spark, str(tmp_path)).collect()}
+    assert len(clean) == 5 and all(r["malformed_cells"] == 0 for r in clean.values())
+    bad = sample(spark).users.select("user_id", F.lit("soon").alias("signup_date"), "plan_tier", F.lit("a lot").alias("monthly_fee"))
+    writers.write_csv(bad, f"{tmp_path}/users.csv")
+    users = [r for r in readers.load_report(spark, str(tmp_path)).collect() if r["table_name"] == "users"][0]
+    assert users["malformed_cells"] == 2 * users["rows_read"] == 2 * clean["users"]["rows_read"]
+
+
 def test_tables_round_trip_through_csv(spark, tmp_path):
     raw = sample(spark)
     for name, df in raw.items():
@@ -39,7 +59,8 @@ def test_tables_can_be_recreated(spark):
     raw = dict(sample(spark).items())
     spark.sql("CREATE DATABASE IF NOT EXISTS churn_test")
     for _ in range(2):
-        writers.save_tables(raw, "churn_test")
+        counts = {r["table_name"]: r["row_count"] for r in writers.save_tables(raw, "churn_test").collect()}
+    assert counts == {name: df.count() for name, df in raw.items()}
     assert spark.table("churn_test.sessions").count() == raw["sessions"].count()
     writers.save_table(feat.build_features(sample(spark), SPEC), "churn_test.features")
     assert spark.table("churn_test.features").columns == FEATURE_SCHEMA.names
