@@ -9,7 +9,6 @@ model; scoring a batch is then interval tests and table lookups.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -24,6 +23,9 @@ from holdfast.operators.models import (
 from holdfast.session import scratch_path, ship_package
 
 
+MOST_PATH_FEATURES = 14
+
+
 @dataclass(frozen=True)
 class Leaf:
     """Path of one leaf: per distinct feature the admitted interval (low, high] and cover share."""
@@ -46,18 +48,20 @@ class LeafTable:
 def _pattern_table(leaf: Leaf) -> np.ndarray:
     """Attribution per (agreement pattern, path feature): the Shapley value of the product game."""
     d = len(leaf.features)
-    table = np.zeros((1 << d, d))
-    for pattern in range(1 << d):
-        agrees = [float(pattern >> j & 1) for j in range(d)]
-        for i in range(d):
-            others = [j for j in range(d) if j != i]
-            total = 0.0
-            for size in range(d):
-                weight = factorial(size) * factorial(d - size - 1) / factorial(d)
-                for known in combinations(others, size):
-                    total += weight * np.prod([agrees[j] if j in known else leaf.shares[j] for j in others])
-            table[pattern, i] = leaf.value * (agrees[i] - leaf.shares[i]) * total
-    return table
+    if d > MOST_PATH_FEATURES:
+        raise ValueError(f"a path with {d} features needs 2^{d} patterns; at most {MOST_PATH_FEATURES} features are tabulated")
+    agrees = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
+    # by_size[p, i, s]: sum over the sets of s known features among the others of their product with the shares of the rest
+    by_size = np.zeros((1 << d, d, d))
+    by_size[:, :, 0] = 1
+    for j in range(d):
+        known = np.zeros_like(by_size)
+        known[:, :, 1:] = by_size[:, :, :-1] * agrees[:, j, None, None]
+        grown = by_size * leaf.shares[j] + known
+        grown[:, j] = by_size[:, j]
+        by_size = grown
+    weights = np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
+    return leaf.value * (agrees - np.array(leaf.shares)) * (by_size @ weights)
 
 
 def leaf_table(leaves: list[Leaf]) -> LeafTable:
@@ -116,8 +120,8 @@ def read_leaves(spark: SparkSession, model: PipelineModel) -> LeafTable:
 
 
 def read_saved_leaves(spark: SparkSession, path: str) -> LeafTable:
-    fitted = load_model(path).stages[-1]
-    stage = f"{path}/stages/1_{fitted.uid}"
+    stages = load_model(path).stages
+    stage = f"{path}/stages/{len(stages) - 1}_{stages[-1].uid}"
     weights = {r["_1"]: r["_3"] for r in spark.read.parquet(f"{stage}/treesMetadata").collect()}
     node = F.col("nodeData")
     rows = spark.read.parquet(f"{stage}/data").select(

@@ -75,6 +75,25 @@ def test_equals_brute_force_shapley(attributed, table):
             assert row[PHI + name] == pytest.approx(want, abs=1e-10)
 
 
+def test_deep_paths_are_tabulated_and_bounded():
+    rng = np.random.default_rng(4)
+    shares = tuple(rng.random(8))
+    leaf = tree_shap.Leaf(2.0, tuple(range(8)), (0.0,) * 8, (1.0,) * 8, shares)
+    table = tree_shap._pattern_table(leaf)
+    for pattern in (0, 5, 170, 255):
+        agrees = [float(pattern >> j & 1) for j in range(8)]
+        for i in (0, 7):
+            others, total = [j for j in range(8) if j != i], 0.0
+            for size in range(8):
+                for known in combinations(others, size):
+                    part = np.prod([agrees[j] if j in known else shares[j] for j in others])
+                    total += factorial(size) * factorial(7 - size) / factorial(8) * part
+            assert table[pattern, i] == pytest.approx(2.0 * (agrees[i] - shares[i]) * total)
+    deep = tree_shap.Leaf(1.0, tuple(range(15)), (0.0,) * 15, (1.0,) * 15, (0.5,) * 15)
+    with pytest.raises(ValueError, match="15 features"):
+        tree_shap._pattern_table(deep)
+
+
 def test_expected_margin_is_the_base_value(table):
     constants = sum(leaf.value for leaf, _ in table.leaves if not leaf.features)
     assert conditional_margin(table, None, set()) + constants == pytest.approx(table.base_value)
