@@ -38,14 +38,18 @@ def classification_metrics(confusion: DataFrame, *keep: str) -> DataFrame:
 
 def roc_auc(scored: DataFrame, probability: str = "churn_probability", label: str = LABEL,
             buckets: int = 256) -> DataFrame:
-    """Exact area under the ROC curve, tied scores counted half. NULL when a class is absent.
+    """Exact area under the ROC curve, tied scores counted half. NULL when a class is absent or there are no rows.
+
+    Rows whose score is NULL or NaN say nothing about the order and are left out.
 
     Rows collapse to distinct scores first, so a score shared by many rows weighs as one. The
     negatives below a score are then a prefix sum in two levels, over quantile ranges of the score
     and inside each range. The ranges are fitted to the data, so none holds much more than its
     share, and where they lie does not change the result.
     """
-    scores = scored.select(F.col(probability).alias("score"), label)
+    scores = scored.select(F.col(probability).cast("double").alias("score"), label).filter("score IS NOT NULL AND NOT isnan(score)")
+    if scores.isEmpty():
+        return scores.agg(F.max("score").alias("roc_auc"))
     ranges = QuantileDiscretizer(
         numBuckets=buckets, inputCol="score", outputCol="bucket", relativeError=0.25 / buckets
     ).fit(scores)

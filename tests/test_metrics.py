@@ -44,6 +44,16 @@ def test_auc_of_a_single_class_is_null(spark):
     assert metrics.roc_auc(frame(spark, [(1, 0.2), (1, 0.9)])).first()[0] is None
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, float("nan")), (0, None)]])
+def test_auc_without_scores_is_null(spark, rows):
+    assert metrics.roc_auc(frame(spark, rows)).first()["roc_auc"] is None
+
+
+def test_auc_leaves_out_rows_without_a_score(spark):
+    rows = [(1, 0.9), (0, 0.1), (1, 0.4), (0, 0.6)]
+    assert metrics.roc_auc(frame(spark, rows + [(1, None), (0, float("nan"))])).first()["roc_auc"] == brute_auc(rows)
+
+
 def test_confusion_and_metrics(spark):
     rows = [(1, 0.9), (1, 0.5), (1, 0.1), (0, 0.7), (0, 0.2), (0, 0.4999)]
     confusion = metrics.confusion_matrix(metrics.classify(frame(spark, rows)))
