@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from holdfast.functions.numbers import ntz
+from holdfast.functions.policy import HALTED_SAFE, POLICY, RetentionPolicy, discount_cap, eligible
 from holdfast.operators.features import FeatureSpec, before
 from holdfast.schemas import LABEL, PRIMARY_KEYS, RAW_SCHEMAS, ActivityTables
 
@@ -153,7 +154,7 @@ def label_distribution(features: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def _shares(counts: DataFrame, key: str) -> DataFrame:
-    total = counts.agg(F.sum("users")).scalar()
+    total = F.sum("users").over(Window.partitionBy())  # a few groups
     return counts.select(key, "users", F.round(F.col("users") * F.lit(100.0) / total, 2).alias("share_pct"))
 
 
@@ -221,8 +222,50 @@ def same_users_audit(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def split_size_audit(split: DataFrame, share: float = 0.2, label: str = LABEL) -> DataFrame:
+    """Per label: test users against the share asked for, rounded half up."""
+    expected = F.floor(F.count("*") * share + 0.5)
+    return split.groupBy(F.col(label).alias("label")).agg(
+        F.count_if("is_test").alias("test_users"), expected.cast("bigint").alias("expected"),
+        (F.count_if("is_test") == expected).alias("passed"),
+    )
+
+
+def train_only_audit(train: DataFrame, columns, medians: dict, means: dict, deviations: dict, tolerance: float = 1e-9) -> DataFrame:
+    """(feature, statistic, passed): what was applied against a recount from the training users alone.
+
+    Statistics that were fitted with test users in them differ from the recount. The median of n values is
+    recounted as a claim about ranks: at most half of the values lie below it, at most half above.
+    """
+    known = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians.get(c, 0.0)))) for c in columns}
+
+    def close(value, applied):
+        return F.abs(value - float(applied)) <= tolerance * F.greatest(F.lit(1.0), F.abs(F.lit(float(applied))))
+
+    checks = []
+    for c in columns:
+        if c in medians:
+            x, half = F.col(c).cast("double"), F.count(c) / 2
+            ranked = (F.count_if(x < float(medians[c])) <= half) & (F.count_if(x > float(medians[c])) <= half)
+            checks.append((c, "median", ranked))
+        checks.append((c, "mean", close(F.avg(known[c]), means[c])))
+        checks.append((c, "deviation", close(F.stddev_pop(known[c]), deviations[c])))
+    wide = train.agg(*(F.struct(F.lit(c).alias("feature"), F.lit(s).alias("statistic"), v.alias("passed")).alias(f"c{k}")
+                       for k, (c, s, v) in enumerate(checks)))
+    return wide.select(F.inline(F.array(*(F.col(f"c{k}") for k in range(len(checks))))))
+
+
+def crossing_sessions(sessions: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Sessions that start before the cutoff and end after it: their length tells of the time after it."""
+    crossing = before("session_start", spec) & (F.col("session_end") >= ntz(spec.cutoff))
+    return sessions.agg(
+        F.lit("sessions across the cutoff").alias("check"), F.count_if(crossing).alias("sessions"),
+        F.count_distinct(F.when(crossing, F.col("user_id"))).alias("users"),
+    )
+
+
 def threshold_audit(classified: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The class must follow from the probability on every row."""
+    """The class that a model names by itself must follow from the probability on every row."""
     expected = (F.col("churn_probability") >= threshold).cast("int")
     wrong = ~F.col("predicted_class").eqNullSafe(expected)
     return classified.agg(
@@ -259,16 +302,16 @@ def leakage_audit(features: DataFrame, perturbed: DataFrame) -> DataFrame:
     )
 
 
-def policy_audit(decisions: DataFrame, policy_cap) -> DataFrame:
-    """Violations of the retention rules over all decisions; every count must be 0."""
-    approved = F.col("guardrail_approved")
-    safe = F.col("churn_probability") < 0.35
+def policy_audit(decisions: DataFrame, policy: RetentionPolicy = POLICY) -> DataFrame:
+    """Violations of the policy's rules over all decisions; every count must be 0."""
+    approved, policy_cap = F.col("guardrail_approved"), discount_cap(F.col("ltv"), policy)
+    safe, allowed = ~eligible(F.col("churn_probability"), policy), 1 + policy.max_retries
     rules = {
         "applied discount within cap": approved & (F.col("applied_discount_pct") > policy_cap),
-        "at most two checks": F.col("rule_checks") > 2,
-        "low risk is halted": safe & (approved | (F.col("execution_status") != "HALTED_SAFE_USER")),
+        "at most two checks": F.col("rule_checks") > allowed,
+        "low risk is halted": safe & (approved | (F.col("execution_status") != HALTED_SAFE)),
         "over-cap proposals were retried": ~safe & (F.col("proposed_discount_pct") > policy_cap)
-        & (F.col("rule_checks") != 2),
+        & (F.col("rule_checks") != F.least(F.lit(2), F.lit(allowed))),
         "priced only when approved": approved != F.col("net_impact").isNotNull(),
     }
     wide = decisions.agg(F.count("*").alias("n"), *(F.count_if(v).alias(k) for k, v in rules.items()))

@@ -16,6 +16,7 @@ from holdfast.schemas import FEATURES, LABEL
 GAP = "avg_session_gap_days"
 GAP_MISSING = "gap_missing"
 TREE_FEATURES = FEATURES + (GAP_MISSING,)
+MODEL_CLASS = "model_class"
 TREE_LOG_ODDS = 2.0  # the boosted model's probability is 1 / (1 + exp(-2 * raw score))
 
 
@@ -84,11 +85,12 @@ def train_gbt(tree_train: DataFrame, trees: int = 100, depth: int = 4, step: flo
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Adds churn_probability (class 1) and margin (log-odds), drops the model's own columns."""
+    """Adds churn_probability (class 1), margin (log-odds) and the class the model itself names; drops its other columns."""
     scale = TREE_LOG_ODDS if isinstance(model.stages[-1], GBTClassificationModel) else 1.0
     return model.transform(df).withColumns({
         "churn_probability": vector_to_array("probability")[1],
         "margin": vector_to_array("rawPrediction")[1] * scale,
+        MODEL_CLASS: F.col("prediction").cast("int"),
     }).drop("features", "rawPrediction", "probability", "prediction")
 
 

@@ -84,6 +84,26 @@ def latest_checks(checks: DataFrame) -> DataFrame:
     ).select("user_id", "rule_checks", "last.approved", "last.reason", "last.proposed_discount_pct")
 
 
+def full_trace(decisions: DataFrame) -> DataFrame:
+    """One row per step of a decision, in order: value, rule checks, and for approved ones return, message and log."""
+    done = F.col("guardrail_approved")
+
+    def step(number: int, tool: str, outcome: Column) -> Column:
+        return F.struct(F.lit(number).alias("step"), F.lit(tool).alias("tool"), outcome.cast("string").alias("outcome"))
+
+    checks = F.transform("trace", lambda c: F.struct((c["iteration"] + 1).alias("step"), F.lit("rule_check").alias("tool"), c["reason"].alias("outcome")))
+    after = F.when(done, F.array(
+        step(11, "intervention_roi", F.col("net_impact")), step(12, "retention_message", F.col("template_category")),
+        step(13, "action_log", F.col("execution_status")),
+    )).otherwise(F.array().cast("array<struct<step:int,tool:string,outcome:string>>"))
+    return decisions.select("user_id", F.inline(F.concat(F.array(step(1, "ltv", F.col("ltv"))), checks, after)))
+
+
+def latest_trace(trace: DataFrame) -> DataFrame:
+    """Last outcome of every tool per user and how often it ran, from trace rows in any order."""
+    return trace.groupBy("user_id", "tool").agg(F.max_by("outcome", "step").alias("outcome"), F.count("*").alias("entries"))
+
+
 def action_log(decisions: DataFrame, logged_at=None) -> DataFrame:
     """Log rows of the approved decisions."""
     stamp = F.current_timestamp().cast("timestamp_ntz") if logged_at is None else ntz(logged_at)

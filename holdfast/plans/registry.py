@@ -56,12 +56,19 @@ def _round(df: DataFrame, *columns: str, digits: int = RISK_DIGITS) -> DataFrame
 
 @query
 def feature_store(w):
+    """From a single scan of the event log, of which all activity tables are views."""
+    return features_from_log(w.spark, w.sf_dir, w.spec)
+
+
+@query
+def feature_store_five_tables(w):
+    """The same table from five separate raw tables."""
     return build_features(w.tables, w.spec)
 
 
 @query
 def feature_store_7d(w):
-    return build_features(w.tables, driver_spec(window_days=7))
+    return features_from_log(w.spark, w.sf_dir, driver_spec(window_days=7))
 
 
 @query
@@ -183,6 +190,29 @@ def recount_audit(w):
     return audits.recount_audit(w.features, w.tables, w.spec)
 
 
+@query
+def recount_mismatches(w):
+    return audits.recount_mismatches(w.features, w.tables, w.spec)
+
+
+@query
+def crossing_sessions(w):
+    return audits.crossing_sessions(w.tables.sessions, w.spec)
+
+
+@query
+def split_size_audit(w):
+    return audits.split_size_audit(w.encoded)
+
+
+@query
+def train_only_audit(w):
+    """Medians, means and deviations that were applied, against the training users alone."""
+    p = w.preprocessor
+    middle = {c: v for c, v in p.medians.items() if v is not None}
+    return audits.train_only_audit(w.train, FEATURES, middle, p.means, p.deviations)
+
+
 @query
 def constraint_audit(w):
     tagged = load_driver_tables(w.spark, w.sf_dir, with_session_ids=True).events
@@ -296,11 +326,12 @@ def model_comparison_no_baseline(w):
 
 @query
 def threshold_audit(w):
-    return _class_check(w.scored)
+    """The linear model names a class by the side of its hyperplane."""
+    return audits.threshold_audit(w.scored.withColumn("predicted_class", (F.col("margin") >= 0).cast("int")))
 
 
-def _class_check(scored):
-    return audits.threshold_audit(metrics.classify(scored))
+def _class_check(predicted):
+    return audits.threshold_audit(predicted.withColumnRenamed(models.MODEL_CLASS, "predicted_class"))
 
 
 @query
@@ -495,6 +526,11 @@ def latest_checks(w):
     return retention.latest_checks(retention.trace_rows(_decisions(w)))
 
 
+@query
+def latest_trace(w):
+    return retention.latest_trace(retention.full_trace(_decisions(w)))
+
+
 @query
 def action_log(w):
     return retention.action_log(_decisions(w), CUTOFF).withColumn("timestamp", F.col("timestamp").cast("string"))
@@ -502,7 +538,7 @@ def action_log(w):
 
 @query
 def policy_audit(w):
-    return audits.policy_audit(_decisions(w), P.discount_cap(F.col("ltv")))
+    return audits.policy_audit(_decisions(w))
 
 
 def _impact(w):
@@ -601,12 +637,38 @@ def risk_payload(w):
 
 @query
 def csv_round_trip(w):
-    """Raw tables written as CSV and read back under their declared schemas, then built into features."""
+    """Raw tables written as CSV with their columns in another order, read back by name, then built into features."""
+    tables = readers.activity_tables(readers.load_tables(w.spark, _raw_csv(w)))
+    return build_features(tables, w.spec)
+
+
+def _raw_csv(w):
     folder = scratch_path(w.spark, "raw-csv")
     for name, df in load_driver_tables(w.spark, w.sf_dir, with_session_ids=True).items():
-        writers.write_csv(df.select(*RAW_SCHEMAS[name].names), f"{folder}/{name}.csv")
-    tables = readers.activity_tables(readers.load_tables(w.spark, folder))
-    return build_features(tables, w.spec)
+        writers.write_csv(df.select(*reversed(RAW_SCHEMAS[name].names)), f"{folder}/{name}.csv")
+    return folder
+
+
+@query
+def load_report(w):
+    return readers.load_report(w.spark, _raw_csv(w))
+
+
+@query
+def loaded_row_counts(w):
+    """Raw tables stored as tables of a database, counted where they are stored."""
+    tables = load_driver_tables(w.spark, w.sf_dir, with_session_ids=True)
+    w.spark.sql("CREATE DATABASE IF NOT EXISTS holdfast_raw")
+    return writers.save_tables(dict(tables.items()), "holdfast_raw", scratch_path(w.spark, "raw-tables"))
+
+
+@query
+def feature_table_round_trip(w):
+    """The feature table recreated as a table under a path, and read back from there with its declared schema."""
+    path = scratch_path(w.spark, "feature-table")
+    w.spark.sql("CREATE DATABASE IF NOT EXISTS holdfast_raw")
+    writers.save_table(w.features, "holdfast_raw.features", path)
+    return readers.read_features(w.spark, path)
 
 
 @query
@@ -640,7 +702,7 @@ def action_log_append(w):
     )
 
 
-# ---- trained models (no SQL twin) ----------------------------------------------------
+# ---- trained models ----------------------------------------------------
 
 @query
 def lr_scores(w):

@@ -12,18 +12,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from holdfast.operators import explain, models, prep, tree_shap
-from holdfast.operators.features import FeatureSpec, build_features
+from holdfast.operators.features import FeatureSpec
 from holdfast.plans.fixed_model import BASELINE, CHALLENGER
 from holdfast.schemas import ActivityTables
-from holdfast.sources.driver_tables import driver_spec, load_driver_tables
+from holdfast.sources.driver_tables import driver_spec, features_from_log, load_driver_tables
 from holdfast.sources.writers import materialize
 
 _OPEN: dict[tuple, "Workspace"] = {}
 
 
-def workspace(spark: SparkSession, sf_dir: str) -> "Workspace":
+def workspace(spark: SparkSession, sf_dir: str, refresh: bool = False) -> "Workspace":
+    """The stored results of this session for a folder; refresh starts anew, as is due when its files have changed."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _OPEN:
+    if refresh or key not in _OPEN:
         _OPEN[key] = Workspace(spark, sf_dir)
     return _OPEN[key]
 
@@ -44,7 +45,8 @@ class Workspace:
 
     @cached_property
     def features(self) -> DataFrame:
-        return materialize(build_features(self.tables, self.spec), "features")
+        """All activity tables are views of one log here, so one scan of it gives the feature table."""
+        return materialize(features_from_log(self.spark, self.sf_dir, self.spec), "features")
 
     @cached_property
     def encoded(self) -> DataFrame:

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.functions.policy import discount_cap
+from holdfast.functions.policy import RetentionPolicy
 from holdfast.operators import audits, features as feat, retention
 from tests.activity import SPEC, sample
 from tests.test_policy import PROFILES, SCHEMA
@@ -74,13 +74,41 @@ def test_feature_means_ignore_nulls(built):
 
 def test_policy_audit(spark):
     decisions = retention.decide(spark.createDataFrame(PROFILES, SCHEMA))
-    cap = discount_cap(F.col("ltv"))
-    assert {r["passed"] for r in audits.policy_audit(decisions, cap).collect()} == {True}
+    assert {r["passed"] for r in audits.policy_audit(decisions).collect()} == {True}
     forged = decisions.withColumn("applied_discount_pct", F.lit(Decimal("99.0"))).withColumn("rule_checks", F.lit(3))
-    failed = {r["check"]: r["violations"] for r in audits.policy_audit(forged, cap).collect() if not r["passed"]}
+    failed = {r["check"]: r["violations"] for r in audits.policy_audit(forged).collect() if not r["passed"]}
     assert failed == {"applied discount within cap": 5, "at most two checks": 6, "over-cap proposals were retried": 2}
 
 
+def test_policy_audit_follows_the_policy(spark):
+    strict = RetentionPolicy(risk_threshold=0.86, discount_caps=((0, 5),), max_retries=0)
+    decisions = retention.decide(spark.createDataFrame(PROFILES, SCHEMA), strict)
+    assert {r["passed"] for r in audits.policy_audit(decisions, strict).collect()} == {True}
+    assert not all(r["passed"] for r in audits.policy_audit(decisions).collect())
+
+
+def test_split_size_audit_sees_a_missing_row(spark):
+    rows = [(i, i % 2, i % 10 < 2) for i in range(40)]
+    good = spark.createDataFrame(rows, "user_id bigint, churn_label int, is_test boolean")
+    assert [tuple(r) for r in audits.split_size_audit(good).orderBy("label").collect()] == [(0, 4, 4, True), (1, 4, 4, True)]
+    moved = good.withColumn("is_test", F.col("is_test") & (F.col("user_id") != 1))
+    assert {r["label"]: r["passed"] for r in audits.split_size_audit(moved).collect()} == {0: True, 1: False}
+
+
+def test_train_only_audit_sees_statistics_of_other_rows(spark):
+    train = spark.createDataFrame([(1.0, 2.0), (3.0, None), (8.0, 4.0)], "a double, b double")
+    good = dict(medians={"b": 3.0}, means={"a": 4.0, "b": 3.0}, deviations={"a": (26 / 3) ** 0.5, "b": (2 / 3) ** 0.5})
+    assert all(r["passed"] for r in audits.train_only_audit(train, ("a", "b"), **good).collect())
+    for part, value in (("medians", {"b": 4.5}), ("means", {"a": 4.1, "b": 3.0}), ("deviations", {"a": 3.0, "b": 1.0})):
+        assert not all(r["passed"] for r in audits.train_only_audit(train, ("a", "b"), **{**good, part: value}).collect())
+
+
+def test_crossing_sessions(raw, spark):
+    before = audits.crossing_sessions(raw.sessions, SPEC).first()["sessions"]
+    longer = raw.sessions.withColumn("session_end", F.col("session_end") + F.expr("interval 400 days"))
+    assert audits.crossing_sessions(longer, SPEC).first()["sessions"] > before
+
+
 def test_differences(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     b = spark.createDataFrame([(1,), (3,)], "x int")

@@ -25,7 +25,7 @@ def feature_plan(spark, sf_dir):
     return plan(build_features(load_driver_tables(spark, sf_dir), driver_spec()))
 
 
-def test_features_read_each_table_once(feature_plan):
+def test_five_table_features_scan_the_log_per_table(feature_plan):
     # customer, and one scan of the events file per raw table derived from it
     assert feature_plan.count("FileScan parquet") == 5
 
