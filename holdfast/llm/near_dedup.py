@@ -7,8 +7,9 @@
 3. A candidate's signatures are compared in batches. After n positions with m matches, the similarity has a Beta
    posterior; where the chance of reaching the threshold is under MISS, the pair is dropped. Survivors are verified
    exactly on the full sets.
-4. Links make components. In buckets that still hold several components, the members outside the largest are compared
-   with all members of other components, by 3 again, until every candidate between components is decided.
+4. Links make components. In buckets that still hold several, the members outside the largest meet, TURNS times, one member
+   of it that is drawn anew; most of a large group joins so. What candidates between components are then left, all of them,
+   are decided by 3.
 
 Sets of equal hashes are taken as equal. Documents without words (NULL or empty texts too) have no set and are linked with
 nothing; a NULL id gets component NULL and is kept. Rows with the same id count as one document: a link of any goes
@@ -33,6 +34,7 @@ BANDS, ROWS = 24, 6
 HASHES = BANDS * ROWS
 BATCH = 24
 MISS = 1e-6
+TURNS = 3
 SPREAD = 16  # parts of one centre's verification
 _SEEDS = np.random.default_rng(977)
 _FACTORS = _SEEDS.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -179,17 +181,29 @@ def _links(docs: DataFrame, signs: DataFrame, pairs: DataFrame, size: int, perce
     return store(rows.mapInArrow(_verified(size, percent), "a bigint, b bigint"), "links")
 
 
-def _across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that share a bucket and lie in different components."""
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: bucket, node, component, and the bucket's largest component."""
     labelled = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed_buckets = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
-    here = labelled.join(mixed_buckets.select("bucket", "largest"), "bucket")
+    several = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds"))
+    return store(labelled.join(several.filter("kinds > 1").select("bucket", "largest"), "bucket"), "mixed")
+
+
+def _ordered(x: str, y: str) -> tuple:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _repivoted(here: DataFrame, turn: int) -> DataFrame:
+    """Members outside their bucket's largest component, each with one member of it that is drawn anew every turn."""
+    drawn = here.filter("component = largest").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket", F.lit(turn))).alias("pivot"))
+    return here.filter("component != largest").join(drawn, "bucket").select(*_ordered("node", "pivot")).distinct()
+
+
+def _across(here: DataFrame) -> DataFrame:
+    """All pairs that share a bucket and lie in different components."""
     few = here.filter("component != largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
     many = here.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"))
-    return few.join(many, "bucket").filter("cx != cy").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-    ).distinct()
+    return few.join(many, "bucket").filter("cx != cy").select(*_ordered("x", "y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -209,12 +223,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = map_batches(signs, _banded, "bucket bigint, node bigint")
     shared = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most")
     buckets = store(rows.join(shared.select("bucket", "a"), "bucket"), "buckets")
-    stars = buckets.filter("a != node").select("a", F.col("node").alias("b")).distinct()
+    stars = store(buckets.filter("a != node").select("a", F.col("node").alias("b")).distinct(), "stars")
     links = _links(docs, signs, stars, size, percent)
     labels = components(links)
-    rest = store(_across(buckets.select("bucket", "node"), labels).join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        labels = components(links.unionByName(_links(docs, signs, rest, size, percent)))
+    tested, members = stars, buckets.select("bucket", "node")
+    for turn in range(TURNS + 1):
+        here = _mixed(members, labels)
+        if here.isEmpty():
+            break
+        found = _repivoted(here, turn) if turn < TURNS else _across(here)
+        fresh = store(found.join(tested, ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            links = links.unionByName(_links(docs, signs, fresh, size, percent))
+            tested = tested.unionByName(fresh)
+            labels = components(links)
     classed = hashed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     # Rows with one id but different texts belong together.
     own = classed.filter("doc_id IS NOT NULL AND node != doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -222,5 +244,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if not twice.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(own.join(twice, "a")))
     joined = classed.join(labels, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
