@@ -8,8 +8,8 @@
    posterior; where the chance of reaching the threshold is under MISS, the pair is dropped. Survivors are verified
    exactly on the full sets.
 4. Links make components. In buckets that still hold several, the members outside the largest meet, TURNS times, one member
-   of it that is drawn anew; most of a large group joins so. What candidates between components are then left, all of them,
-   are decided by 3.
+   of it that is drawn anew; most of a large group joins so. What candidates between components are then left are all
+   decided: at once where shingles that no other member has make the threshold unreachable, else by 3.
 
 Sets of equal hashes are taken as equal. Documents without words (NULL or empty texts too) have no set and are linked with
 nothing; a NULL id gets component NULL and is kept. Rows with the same id count as one document: a link of any goes
@@ -141,44 +141,57 @@ def _pruned(threshold: float):
     return run
 
 
-def _verified(size: int, percent: int):
-    """Rows sorted by centre; a centre's own text comes before those of its partners."""
+def _verified(percent: int):
+    """Rows sorted by centre; a centre's own set comes before those of its partners."""
 
     def run(batches):
         centre, own = None, []
         for batch in batches:
-            for part in text_slices(batch, 1 << 20) if batch.num_rows else ():
-                hashes, bounds = shingle_sets(part.column("text").to_pylist(), size)
-                found = []
-                for k, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
-                    this = hashes[bounds[k] : bounds[k + 1]]
-                    if b is None:
-                        own = [*own, this] if centre == a else [this]
-                        centre = a
-                    else:
-                        for other in own if centre == a else ():
-                            both = np.intersect1d(this, other, assume_unique=True).size
-                            if 100 * both >= percent * (this.size + other.size - both):
-                                found.append((a, b))
-                                break
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+            found = []
+            columns = (batch.column(c) for c in ("a", "b", "hashes"))
+            for a, b, packed in zip(*columns):
+                a, b, this = a.as_py(), b.as_py(), np.frombuffer(packed.as_buffer(), np.uint64)
+                if b is None:
+                    own = [*own, this] if centre == a else [this]
+                    centre = a
+                else:
+                    for other in own if centre == a else ():
+                        both = np.intersect1d(this, other, assume_unique=True).size
+                        if 100 * both >= percent * (this.size + other.size - both):
+                            found.append((a, b))
+                            break
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
     return run
 
 
-def _links(docs: DataFrame, signs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, hashes): the packed full sets of the nodes, stored, so that texts move once."""
+
+    def run(batch: pa.RecordBatch):
+        for part in text_slices(batch, 1 << 20):
+            hashes, bounds = shingle_sets(part.column("text").to_pylist(), size)
+            packed = [hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(packed, pa.binary())], ["node", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(nodes, "node")
+    return store(map_batches(texts, run, "node bigint, hashes binary").filter("octet_length(hashes) > 0"), "sets")
+
+
+def _links(sets: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar, stored."""
     with_signs = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("left")), "a").join(
         signs.select(F.col("node").alias("b"), F.col("signature").alias("right")), "b"
     )
     likely = store(map_batches(with_signs, _pruned(percent / 100), "a bigint, b bigint").distinct(), "likely")
     salt = F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int").alias("part")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    centres = likely.select("a", salt).distinct().join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
-    partners = likely.select("a", salt, "b").join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "text")
+    centres = likely.select("a", salt).distinct().join(sets.withColumnRenamed("node", "a"), "a").select(
+        "a", "part", F.lit(None).cast("bigint").alias("b"), "hashes"
+    )
+    partners = likely.select("a", salt, "b").join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "hashes")
     rows = centres.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return store(rows.mapInArrow(_verified(size, percent), "a bigint, b bigint"), "links")
+    return store(rows.mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,21 +202,54 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return store(labelled.join(several.filter("kinds > 1").select("bucket", "largest"), "bucket"), "mixed")
 
 
+def _limits(sets: DataFrame, here: DataFrame) -> DataFrame:
+    """(node, size, shared) of the nodes in `here`: set sizes, and how many shingles any other of these nodes has too.
+
+    A node with several texts gets NULL, as no limit holds for it.
+    """
+
+    def run(batch: pa.RecordBatch):
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            packed = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("hashes")]
+            nodes = np.repeat(part.column("node").to_numpy(), [len(x) for x in packed])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(packed)), pa.array(nodes)], ["shingle", "node"])
+
+    own = sets.join(here.select("node").distinct(), "node")
+    once = map_batches(own, run, "shingle bigint, node bigint").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    alone = once.groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = own.groupBy("node").agg(F.count("*").alias("texts"), F.max(F.expr("octet_length(hashes) div 8")).alias("size"))
+    single = F.col("texts") == 1
+    return store(sizes.join(alone, "node", "left").select(
+        "node", F.when(single, F.col("size")).alias("size"), F.when(single, F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")
+    ), "limits")
+
+
+def _possible(percent: int):
+    """Two sets can't share more than what either shares with any; NULL limits exclude nothing."""
+    most = F.least("shared", "other_shared")
+    return F.coalesce(100 * most >= percent * (F.col("size") + F.col("other_size") - most), F.lit(True))
+
+
 def _ordered(x: str, y: str) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _repivoted(here: DataFrame, turn: int) -> DataFrame:
-    """Members outside their bucket's largest component, each with one member of it that is drawn anew every turn."""
-    drawn = here.filter("component = largest").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket", F.lit(turn))).alias("pivot"))
-    return here.filter("component != largest").join(drawn, "bucket").select(*_ordered("node", "pivot")).distinct()
+def _paired(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components that can be similar at all."""
+    other = many.select(
+        F.col("bucket").alias("other_bucket"), F.col("node").alias("other"), F.col("component").alias("other_component"),
+        F.col("size").alias("other_size"), F.col("shared").alias("other_shared"),
+    )
+    condition = (F.col("bucket") == F.col("other_bucket")) & (F.col("component") != F.col("other_component")) & _possible(percent)
+    return few.join(other, condition).select(*_ordered("node", "other")).distinct()
 
 
-def _across(here: DataFrame) -> DataFrame:
-    """All pairs that share a bucket and lie in different components."""
-    few = here.filter("component != largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    many = here.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"))
-    return few.join(many, "bucket").filter("cx != cy").select(*_ordered("x", "y")).distinct()
+def _drawn(here: DataFrame, turn: int) -> DataFrame:
+    """One member of each bucket's largest component, another one every turn."""
+    large = here.filter("component = largest")
+    best = F.min_by(F.struct(*large.columns), F.xxhash64("node", "bucket", F.lit(turn)))
+    return large.groupBy("bucket").agg(best.alias("best")).select("best.*")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -224,17 +270,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most")
     buckets = store(rows.join(shared.select("bucket", "a"), "bucket"), "buckets")
     stars = store(buckets.filter("a != node").select("a", F.col("node").alias("b")).distinct(), "stars")
-    links = _links(docs, signs, stars, size, percent)
+    sets = _full_sets(docs, buckets.select("node").distinct(), size)
+    links = _links(sets, signs, stars, percent)
     labels = components(links)
-    tested, members = stars, buckets.select("bucket", "node")
+    tested, members, limits = stars, buckets.select("bucket", "node"), None
     for turn in range(TURNS + 1):
         here = _mixed(members, labels)
         if here.isEmpty():
             break
-        found = _repivoted(here, turn) if turn < TURNS else _across(here)
+        limits = limits or _limits(sets, here)  # later buckets are among the first, so these limits go on holding
+        here = here.join(limits, "node")
+        few = here.filter("component != largest")
+        found = _paired(few, _drawn(here, turn) if turn < TURNS else here, percent)
         fresh = store(found.join(tested, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
-            links = links.unionByName(_links(docs, signs, fresh, size, percent))
+            links = links.unionByName(_links(sets, signs, fresh, percent))
             tested = tested.unionByName(fresh)
             labels = components(links)
     classed = hashed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
