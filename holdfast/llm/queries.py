@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from holdfast.llm import (
     html_text, language_id, licenses, near_dedup, packing, pieces, quality_rules, suffix_dedup, top_k, toxicity,
 )
-from holdfast.llm.sql import OP7, OP8
+from holdfast.llm.sql import OP3, OP7, OP8, OP9
 from holdfast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,4 +76,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": OP7, "op8_quality_rules": OP8}
+    return {"op3_suffix_dedup": OP3, "op7_exact_top_k": OP7, "op8_quality_rules": OP8, "op9_minhash_near_dedup": OP9}
