@@ -39,6 +39,7 @@ CHUNK = 400_000  # anchors that a task gathers before it hands them out
 BUCKET_BYTES = 1 << 20
 # Columns of a packed table, with the bytes of each number that are kept (little-endian order).
 OPEN = {"gram": (8, range(1, 6)), "whole": (8, range(1, 8)), "doc": (8, range(8)), "part": (2, range(2)), "low": (4, range(4)), "many": (4, range(4))}
+WINDOWS = OPEN | {"whole": (8, range(1, 3))}  # one window each: with the gram's and the bucket's bits, 56 and more
 DONE = {k: OPEN[k] for k in ("doc", "part", "low", "many")}
 TYPES = {8: np.uint64, 4: np.uint32, 2: np.uint16}
 
@@ -124,8 +125,9 @@ def _least(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(values, np.flatnonzero(np.diff(groups, prepend=-1)))[groups] if len(groups) else values
 
 
-def _handed_out(found: dict[str, np.ndarray], buckets: int, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _handed_out(found: dict[str, np.ndarray], buckets: int, layout: dict) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, open, done): of each group that this task holds, only its smallest document stays open."""
+    names = ("gram", "whole")
     order = np.lexsort([found["doc"], *(found[k] for k in reversed(names))])
     found = {k: v[order] for k, v in found.items()}
     least = _least(_groups(*(found[k] for k in names)), found["doc"])
@@ -138,13 +140,13 @@ def _handed_out(found: dict[str, np.ndarray], buckets: int, names: tuple[str, ..
         part = slice(edges[k], edges[k + 1])
         mine = {c: v[part] for c, v in found.items()}
         stay = left[part]
-        rows.append((k, _pack({c: v[stay] for c, v in mine.items()}, OPEN), _pack({c: v[~stay] for c, v in mine.items()}, DONE)))
+        rows.append((k, _pack({c: v[stay] for c, v in mine.items()}, layout), _pack({c: v[~stay] for c, v in mine.items()}, DONE)))
     if rows:
         types = (pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "open", "done"])
 
 
-def _gathered(buckets: int, names: tuple[str, ...], of_batch):
+def _gathered(buckets: int, layout: dict, of_batch):
     """mapInArrow function that collects what of_batch finds and hands it out in chunks."""
 
     def run(batches):
@@ -157,10 +159,10 @@ def _gathered(buckets: int, names: tuple[str, ...], of_batch):
                     held.append(found)
                     size += len(found["doc"])
                     if size >= CHUNK:
-                        yield from _handed_out({k: np.concatenate([h[k] for h in held]) for k in held[0]}, buckets, names)
+                        yield from _handed_out({k: np.concatenate([h[k] for h in held]) for k in held[0]}, buckets, layout)
                         held, size = [], 0
         if size:
-            yield from _handed_out({k: np.concatenate([h[k] for h in held]) for k in held[0]}, buckets, names)
+            yield from _handed_out({k: np.concatenate([h[k] for h in held]) for k in held[0]}, buckets, layout)
 
     return run
 
@@ -193,11 +195,12 @@ def _asked_windows(batch: pa.RecordBatch):
             )
 
 
-def _split_bucket(names: tuple[str, ...], last: bool):
+def _split_bucket(layout: dict, last: bool):
     """All rows of a bucket: (doc, part, low, many, asked)."""
 
     def run(table: pa.Table) -> pa.Table:
-        entries = [_unpack(b, OPEN) for b in table.column("open").to_pylist()]
+        names = ("gram", "whole")
+        entries = [_unpack(b, layout) for b in table.column("open").to_pylist()]
         done = [_unpack(b, DONE) for b in table.column("done").to_pylist()]
         found = {k: np.concatenate([e[k] for e in entries]) for k in OPEN}
         order = np.lexsort([found["doc"], *(found[k] for k in reversed(names))])
@@ -240,14 +243,14 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = int(min(max(64, total // BUCKET_BYTES), 1 << 16))
     packed, schema = "bucket int, open binary, done binary", "doc bigint, part int, place bigint, asked boolean"
     usable = rows.select("doc", "part", "text").filter(F.col("doc").isNotNull() & (F.octet_length("text") >= DEPTH))
-    first = usable.mapInArrow(_gathered(buckets, ("gram", "whole"), _anchors), packed)
-    found = store(first.groupBy("bucket").applyInArrow(_split_bucket(("gram", "whole"), last=False), schema), "stretches")
+    first = usable.mapInArrow(_gathered(buckets, OPEN, _anchors), packed)
+    found = store(first.groupBy("bucket").applyInArrow(_split_bucket(OPEN, last=False), schema), "stretches")
     dealt = rows.repartition("doc")
     asked = found.filter("asked").groupBy("doc", "part").agg(F.collect_list("place").alias("asked"))
     windows = dealt.join(asked, ["doc", "part"]).select("doc", "part", "text", "asked").mapInArrow(
-        _gathered(buckets, ("gram", "whole"), _asked_windows), packed
+        _gathered(buckets, WINDOWS, _asked_windows), packed
     )
-    last = windows.groupBy("bucket").applyInArrow(_split_bucket(("gram", "whole"), last=True), schema)
+    last = windows.groupBy("bucket").applyInArrow(_split_bucket(WINDOWS, last=True), schema)
     every = found.filter("NOT asked").select("doc", "part", "place").unionByName(last.select("doc", "part", "place"))
     return dealt, every.groupBy("doc", "part").agg(F.collect_list("place").alias("places"))
 
