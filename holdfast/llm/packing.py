@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -50,23 +51,23 @@ class WordTokenizer:
     looked up apart from it, as the tokenizer splits there.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered, self.known, self.stems = remembered, {}, {}
-        self.letters = _byte_letters()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _stem(self, stem: str) -> bytes:
         if (found := self.stems.get(stem)) is None:
-            if stem.isalpha() and max(stem) <= "\xff":
-                spelt = stem.lower().encode()
-                spelt = spelt.decode() if spelt.isascii() else "".join([self.letters[b] for b in spelt])
-                ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+            if stem.isascii() and stem.isalpha():
+                ids = [t.id for t in self.model.tokenize(stem.lower())]
+            elif stem.isalpha() and max(stem) <= "\xff":
+                ids = [t.id for t in self.model.tokenize(stem.lower().encode().decode("latin-1").translate(self.letters))]
             else:
                 ids = self.tokenizer.encode(stem, add_special_tokens=False).ids
-            found = self.stems[stem] = np.array(ids, "<u4").tobytes()
+            found = self.stems[stem] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def _word(self, word: bytes) -> bytes:
