@@ -3,10 +3,11 @@
 1. Each text becomes its set of distinct word shingles (64-bit hashes), a fingerprint of the set and a MinHash signature.
    Documents with equal sets form a class; from here on only classes are compared.
 2. Classes that agree in a band of the signature share a bucket. Each bucket links its members to its smallest one,
-   so a bucket of n members gives n - 1 candidates.
+   so a bucket of n members gives n - 1 candidates. Bands and rows follow from `percent`: a pair at the threshold shares
+   no band, and so is never a candidate, with a chance of at most MISS (6.6e-7 at 80, 7.7e-7 at 85), a closer one with less.
 3. A candidate's signatures are compared in batches. After n positions with m matches, the similarity has a Beta
    posterior; where the chance of reaching the threshold is under MISS, the pair is dropped. Survivors are verified
-   exactly on the full sets.
+   exactly on the full sets. MISS bounds each of the two steps, not their sum.
 4. Links make components. In buckets that still hold several, the members outside the largest meet, TURNS times, one member
    of it that is drawn anew; most of a large group joins so. What candidates between components are then left are all
    decided: at once where shingles that no other member has make the threshold unreachable, else by 3.
@@ -20,6 +21,7 @@ are not read.
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +32,40 @@ from holdfast.llm.components import components
 from holdfast.llm.hashing import RangeHashes, mixed
 from holdfast.llm.tables import map_batches, store, text_slices
 
-BANDS, ROWS = 24, 6
-HASHES = BANDS * ROWS
+HASHES = 144  # more only where a low threshold asks for more bands
 BATCH = 24
 MISS = 1e-6
 TURNS = 3
 SPREAD = 16  # parts of one centre's verification
-_SEEDS = np.random.default_rng(977)
-_FACTORS = _SEEDS.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _SEEDS.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+@lru_cache
+def banding(percent: int, miss: float = MISS) -> tuple[int, int]:
+    """Bands and rows: as many rows as HASHES allows with a chance of at most `miss` that a pair at the threshold shares no band."""
+    if percent <= 0:
+        raise ValueError("percent must be over 0: below, sets without a common shingle are similar too")
+    if percent >= 100:
+        return 1, HASHES  # only equal sets, which agree in all
+    needed = lambda rows: ceil(log(miss) / log1p(-((percent / 100) ** rows)))
+    rows = max((r for r in range(1, HASHES + 1) if needed(r) * r <= HASHES), default=1)
+    return needed(rows), rows
+
+
+def signature_length(percent: int) -> int:
+    bands, rows = banding(percent)
+    return max(HASHES, bands * rows)
+
+
+@lru_cache
+def _functions(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and shifts of the hash functions."""
+    seeds = np.random.default_rng(977)
+    factors = seeds.integers(0, 1 << 31, length, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return factors, seeds.integers(0, 1 << 32, length, dtype=np.uint64).astype(np.uint32)
+
+
 def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after the other, and where each text's begin (and the end)."""
     parts = [(t or "").encode().lower() for t in texts]  # bytes.lower() changes A-Z alone
@@ -75,23 +98,24 @@ def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.nda
     return total, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """MinHash values of every set that is not empty: (sets, HASHES) unsigned 32-bit numbers."""
+def signatures(hashes: np.ndarray, bounds: np.ndarray, length: int = HASHES) -> np.ndarray:
+    """MinHash values of every set that is not empty: (sets, length) unsigned 32-bit numbers."""
     starts = bounds[:-1][np.diff(bounds) > 0]
     narrow = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), HASHES), np.uint32)
+    out = np.empty((len(starts), length), np.uint32)
+    factors, shifts = _functions(length)
     if len(starts):
-        for k in range(HASHES):
-            out[:, k] = np.minimum.reduceat(narrow * _FACTORS[k] + _SHIFTS[k], starts)
+        for k in range(length):
+            out[:, k] = np.minimum.reduceat(narrow * factors[k] + shifts[k], starts)
     return out
 
 
-def _hashed(size: int):
+def _hashed(size: int, length: int):
     def run(batch: pa.RecordBatch):
         for part in text_slices(batch, 1 << 19):
             hashes, bounds = shingle_sets(part.column("text").to_pylist(), size)
             counts = np.diff(bounds)
-            made = iter(signatures(hashes, bounds))
+            made = iter(signatures(hashes, bounds, length))
             prints, signs = [], []
             for k, n in enumerate(counts.tolist()):
                 prints.append(xxhash.xxh3_128_digest(hashes[bounds[k] : bounds[k + 1]].tobytes()) if n else None)
@@ -104,13 +128,19 @@ def _hashed(size: int):
     return run
 
 
-def _banded(batch: pa.RecordBatch):
-    signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), signs.shape[:2])
-    for row in range(ROWS):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + signs[:, :, row].astype(np.uint64))
-    nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
-    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)], ["bucket", "node"])
+def _banded(percent: int):
+    (bands, rows), length = banding(percent), signature_length(percent)
+
+    def run(batch: pa.RecordBatch):
+        signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, length)
+        signs = signs[:, : bands * rows].reshape(-1, bands, rows)
+        keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), signs.shape[:2])
+        for row in range(rows):
+            keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + signs[:, :, row].astype(np.uint64))
+        nodes = np.repeat(batch.column("node").to_numpy(), bands)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)], ["bucket", "node"])
+
+    return run
 
 
 @lru_cache
@@ -127,9 +157,11 @@ def fewest_matches(threshold: float, miss: float = MISS) -> np.ndarray:
     return fewest
 
 
-def _pruned(threshold: float):
+def _pruned(percent: int):
+    threshold, length = percent / 100, signature_length(percent)
+
     def run(batch: pa.RecordBatch):
-        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("left", "right"))
+        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, length) for c in ("left", "right"))
         fewest, alive, matches = fewest_matches(threshold), np.arange(len(left)), np.zeros(len(left), np.int64)
         for start in range(0, HASHES, BATCH):
             matches = matches + (left[alive, start : start + BATCH] == right[alive, start : start + BATCH]).sum(axis=1)
@@ -184,7 +216,7 @@ def _links(sets: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int) ->
     with_signs = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("left")), "a").join(
         signs.select(F.col("node").alias("b"), F.col("signature").alias("right")), "b"
     )
-    likely = store(map_batches(with_signs, _pruned(percent / 100), "a bigint, b bigint").distinct(), "likely")
+    likely = store(map_batches(with_signs, _pruned(percent), "a bigint, b bigint").distinct(), "likely")
     salt = F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int").alias("part")
     centres = likely.select("a", salt).distinct().join(sets.withColumnRenamed("node", "a"), "a").select(
         "a", "part", F.lit(None).cast("bigint").alias("b"), "hashes"
@@ -256,7 +288,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id and kept of every row."""
     hashed = store(
         map_batches(
-            docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), _hashed(size),
+            docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), _hashed(size, signature_length(percent)),
             "doc_id bigint, n_shingles bigint, print binary, signature binary",
         ), "hashed",
     )
@@ -266,7 +298,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         usable.join(classes.withColumnRenamed("node", "doc_id"), ["print", "doc_id"]).select(F.col("doc_id").alias("node"), "signature").distinct(),
         "signatures",
     )
-    rows = map_batches(signs, _banded, "bucket bigint, node bigint")
+    rows = map_batches(signs, _banded(percent), "bucket bigint, node bigint")
     shared = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most")
     buckets = store(rows.join(shared.select("bucket", "a"), "bucket"), "buckets")
     stars = store(buckets.filter("a != node").select("a", F.col("node").alias("b")).distinct(), "stars")

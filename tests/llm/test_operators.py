@@ -358,6 +358,25 @@ def test_near_duplicates_edges(spark, nothing):
     assert {r.component_id for r in out} == {2}
 
 
+@pytest.mark.parametrize("percent, shared, own, pairs", [(80, 8, 1, 12000), (50, 4, 2, 100), (10, 2, 9, 100)])
+def test_pairs_at_the_threshold_are_candidates(spark, percent, shared, own, pairs):
+    assert 100 * shared == percent * (shared + 2 * own)
+    rows = []
+    for k in range(pairs):
+        same = [f"s{k}x{j}" for j in range(shared)]
+        rows += [(2 * k + side, " ".join(same + [f"o{k}y{side}z{j}" for j in range(own)])) for side in (0, 1)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, percent)
+    assert out.filter("component_id != doc_id - doc_id % 2").count() == 0
+
+
+def test_banding_miss_at_every_threshold():
+    for percent in range(1, 101):
+        bands, rows = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= near_dedup.MISS
+    with pytest.raises(ValueError):
+        near_dedup.banding(0)
+
+
 def test_chains_join_into_one_component(spark):
     words = [f"w{k}" for k in range(400)]
     rows = [(i, " ".join(words[i * 2 : i * 2 + 120])) for i in range(60)]  # neighbours are similar, far ones are not
