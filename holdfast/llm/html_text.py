@@ -3,7 +3,8 @@
 The standard library's streaming parser gives the events of a page, which are cut into lines: one per block. Lines
 inside elements that never hold an article (menus, page headers and footers, sidebars, notices, adverts, forms, reader
 comments, scripts, styles) get ratio 0; of the others the ratio is the characters of text outside links for each
-tag. The ratios are smoothed with a Gaussian kernel, lines over their standard deviation form clusters, and
+tag. A link is an a element with href; one without its end tag counts up to the end of its line only. What can't stand in
+head ends it. The ratios are smoothed with a Gaussian kernel, lines over their standard deviation form clusters, and
 the clusters select a region: the article or main element that holds most of their text, else all lines from the first to
 the last clustered one. All lines of the region that are not excluded are the main text, also short ones.
 
@@ -31,6 +32,7 @@ BLOCKS = frozenset(
 )
 NEVER_TEXT = frozenset("head script style noscript template iframe object svg canvas audio video math textarea select button title".split())
 APART = frozenset("nav footer aside form menu dialog".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 REGIONS = frozenset(("article", "main"))
 # Words in class, id or role that mark parts which belong to the page and not to the article.
 MARKS = frozenset(
@@ -47,35 +49,69 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, excluded, region
+        self.lines: list[tuple[str, int, dict[int, int], bool, int]] = []  # characters by link
+        self.open: list[tuple[str, bool, int, int]] = []  # name, excluded, region, link
         self.text: list[str] = []
-        self.tags = self.linked = self.links = self.regions = 0
+        self.linked: dict[int, int] = {}
+        self.links: dict[int, int] = {}  # line in which a link begins
+        self.live: set[int] = set()
+        self.ended: set[int] = set()
+        self.tags = self.regions = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            excluded, region = self.open[-1][1:] if self.open else (False, 0)
+            excluded, region = self.open[-1][1:3] if self.open else (False, 0)
             self.lines.append((text, self.tags, self.linked, excluded, region))
-            self.tags = self.linked = 0
+            self.tags, self.linked = 0, {}
         self.text = []
 
+    def shut(self, k: int, alone: bool = False) -> None:
+        """Takes open elements from the k-th on, or that one alone, off the stack, and their links with them."""
+        end = k + 1 if alone else len(self.open)
+        self.live.difference_update(link for name, _, _, link in self.open[k:end] if name == "a")
+        del self.open[k:end]
+
+    def end_head(self, anyway: bool) -> None:
+        """Ends an open head, if no element is open in it or anyway."""
+        for k in range(len(self.open) - 1, -1 if anyway else max(-1, len(self.open) - 2), -1):
+            if self.open[k][0] == "head":
+                self.cut()
+                self.shut(k)
+                break
+
+    def outside_links(self, k: int) -> int:
+        """Characters of a line that are in no link; text of an unclosed one counts in the line it begins in."""
+        text, _, linked, *_ = self.lines[k]
+        return max(0, len(text) - sum(n for link, n in linked.items() if link in self.ended or self.links[link] == k))
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.cut()
+        if tag not in IN_HEAD:
+            self.end_head(tag == "body")
         self.tags += 1
         if tag in VOID:
             return
-        if tag == "a":
-            self.links += 1
+        if tag == "a":  # an open link ends where the next begins
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] == "a":
+                    self.shut(k, alone=True)
+                    break
         if tag == "p":  # an open paragraph ends where the next begins
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == "p":
-                    del self.open[k]
+                    self.shut(k, alone=True)
                     break
                 if self.open[k][0] in BLOCKS:
                     break
-        excluded, region = self.open[-1][1:] if self.open else (False, 0)
+        excluded, region, link = self.open[-1][1:] if self.open else (False, 0, 0)
+        if tag == "a":
+            link = 0
+            if any(k == "href" for k, _ in attrs):
+                link = len(self.links) + 1
+                self.links[link] = len(self.lines)
+                self.live.add(link)
         if not excluded:
             names = TOKEN.findall(" ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)) if attrs else ()
             header = tag == "header" and not region
@@ -83,7 +119,7 @@ class Lines(HTMLParser):
             if tag in REGIONS and not excluded and not region:
                 self.regions += 1
                 region = self.regions
-        self.open.append((tag, excluded, region))
+        self.open.append((tag, excluded, region, link))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -94,19 +130,22 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
-        if tag == "a" and self.links:
-            self.links -= 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                if tag == "a":
+                    self.ended.add(self.open[k][3])
+                self.shut(k, alone=tag == "a" and any(name in BLOCKS for name, *_ in self.open[k:]))
                 break
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head(False)
         if self.open and self.open[-1][0] in NEVER_TEXT:
             return
         self.text.append(data)
-        if self.links:
-            self.linked += len(data.strip())
+        link = self.open[-1][3] if self.open else 0
+        if link in self.live:
+            self.linked[link] = self.linked.get(link, 0) + len(data.strip())
 
 
 def clustered(ratios: np.ndarray) -> np.ndarray:
@@ -131,7 +170,7 @@ def main_text(html: str | None) -> str:
         return ""
     excluded = np.array([x[3] for x in lines])
     regions = np.array([x[4] for x in lines])
-    free = np.array([max(0, len(x[0]) - x[2]) for x in lines])
+    free = np.array([parser.outside_links(k) for k in range(len(lines))])
     ratios = np.where(excluded, 0.0, free / np.array([x[1] + 1 for x in lines]))
     chosen = clustered(ratios)
     if not chosen.any():

@@ -237,6 +237,26 @@ def test_pages_without_article():
     assert html_text.main_text(f"<nav><a>x</a></nav><div>{body}</div><footer>f</footer>").count("Sentence") == 5
 
 
+@pytest.mark.parametrize("before", [
+    '<body><a name="top"><div>Site</div>', '<body><a href="/x">Site<div>one</div>', '<body><div><a href="/x">Site<a href="/y">two</a></div>',
+    '<body><a href="/x">Site<div>one</div><div><a href="/y">two</a></div>', "<head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title>",
+    "<head><noscript><img src=x></noscript><link rel=x>", '<body><ul><li><a href="/x">one<li><a href="/y">two</ul>',
+])
+@pytest.mark.parametrize("region", ["article", "div"])
+@pytest.mark.parametrize("link", ["link", '<a href="/z">link</a>'])
+def test_exclusions_end(before, region, link):
+    words = [f"Sentence number {k} of the text goes on for quite a while, with a " for k in range(4)]
+    body = "".join(f"<p>{w}{link} in it.</p>" for w in words)
+    text = html_text.main_text(f"<html>{before}<{region}><h1>Head</h1>{body}</{region}></html>")
+    assert text.count("Sentence") == 4 and text.endswith("link in it.") and " T " not in f" {text} "
+
+
+def test_block_links_stay_links():
+    parser = html_text.Lines()
+    parser.feed('<div><a href="/x"><h3>Card</h3><p>Words of it</p></a><p>Free <a href="/y">link</a></p></div>')
+    assert [(x[0], parser.outside_links(k)) for k, x in enumerate(parser.lines)] == [("Card", 0), ("Words of it", 0), ("Free link", 5)]
+
+
 def test_extract_against_articles(spark, sf_dir):
     import html
 
