@@ -5,8 +5,8 @@ inside elements that never hold an article (menus, page headers and footers, sid
 comments, scripts, styles) get ratio 0; of the others the ratio is the characters of text outside links for each
 tag. A link is an a element with href; one without its end tag counts up to the end of its line only. What can't stand in
 head ends it. The ratios are smoothed with a Gaussian kernel, lines over their standard deviation form clusters, and
-the clusters select a region: the article or main element that holds most of their text, else all lines from the first to
-the last clustered one. All lines of the region that are not excluded are the main text, also short ones.
+the clusters select a region: the article or main element that holds most of their text, else the innermost container
+that encloses them all (the whole page if none does). All lines of the region that are not excluded are the main text, also short ones.
 
 NULL or empty html, and pages without text, give an empty string. Character references are decoded, white space in a
 block becomes one space, blocks are joined in page order by one space. Rows are independent of each other; repeated
@@ -30,6 +30,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+CONTAINERS = frozenset("body center details div section td".split())  # elements that can hold a whole article, other than REGIONS
 NEVER_TEXT = frozenset("head script style noscript template iframe object svg canvas audio video math textarea select button title".split())
 APART = frozenset("nav footer aside form menu dialog".split())
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
@@ -45,12 +46,13 @@ SIGMA, REACH = 1.0, 3
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, characters in links, excluded, region) of every block."""
+    """Collects (text, tags, characters in links, excluded, region, container) of every block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, dict[int, int], bool, int]] = []  # characters by link
-        self.open: list[tuple[str, bool, int, int]] = []  # name, excluded, region, link
+        self.lines: list[tuple[str, int, dict[int, int], bool, int, int]] = []  # characters by link
+        self.open: list[tuple[str, bool, int, int, int]] = []  # name, excluded, region, link, container
+        self.within = [0]  # container that each container lies in; 0 is the page
         self.text: list[str] = []
         self.linked: dict[int, int] = {}
         self.links: dict[int, int] = {}  # line in which a link begins
@@ -61,15 +63,15 @@ class Lines(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            excluded, region = self.open[-1][1:3] if self.open else (False, 0)
-            self.lines.append((text, self.tags, self.linked, excluded, region))
+            excluded, region, _, container = self.open[-1][1:] if self.open else (False, 0, 0, 0)
+            self.lines.append((text, self.tags, self.linked, excluded, region, container))
             self.tags, self.linked = 0, {}
         self.text = []
 
     def shut(self, k: int, alone: bool = False) -> None:
         """Takes open elements from the k-th on, or that one alone, off the stack, and their links with them."""
         end = k + 1 if alone else len(self.open)
-        self.live.difference_update(link for name, _, _, link in self.open[k:end] if name == "a")
+        self.live.difference_update(link for name, _, _, link, _ in self.open[k:end] if name == "a")
         del self.open[k:end]
 
     def end_head(self, anyway: bool) -> None:
@@ -105,7 +107,7 @@ class Lines(HTMLParser):
                     break
                 if self.open[k][0] in BLOCKS:
                     break
-        excluded, region, link = self.open[-1][1:] if self.open else (False, 0, 0)
+        excluded, region, link, container = self.open[-1][1:] if self.open else (False, 0, 0, 0)
         if tag == "a":
             link = 0
             if any(k == "href" for k, _ in attrs):
@@ -119,7 +121,10 @@ class Lines(HTMLParser):
             if tag in REGIONS and not excluded and not region:
                 self.regions += 1
                 region = self.regions
-        self.open.append((tag, excluded, region, link))
+        if tag in CONTAINERS or tag in REGIONS:
+            self.within.append(container)
+            container = len(self.within) - 1
+        self.open.append((tag, excluded, region, link, container))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -157,6 +162,20 @@ def clustered(ratios: np.ndarray) -> np.ndarray:
     return chosen if chosen.any() else ratios > 0
 
 
+def enclosed(within: list[int], containers: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Lines in the innermost container that holds all chosen ones; a container's number is over that of the one it lies in."""
+    common = set(containers[chosen].tolist())
+    while len(common) > 1:
+        last = max(common)
+        common.remove(last)
+        common.add(within[last])
+    best = common.pop()
+    inside = np.zeros(len(within), bool)
+    for k, outer in enumerate(within):
+        inside[k] = k == best or k > 0 and inside[outer]
+    return inside[containers]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -180,8 +199,7 @@ def main_text(html: str | None) -> str:
     if best:
         inside = regions == best
     else:
-        first, last = np.flatnonzero(chosen)[[0, -1]]
-        inside = (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last)
+        inside = enclosed(parser.within, np.array([x[5] for x in lines]), chosen)
     return " ".join(lines[k][0] for k in np.flatnonzero(inside & ~excluded))
 
 

@@ -257,6 +257,18 @@ def test_block_links_stay_links():
     assert [(x[0], parser.outside_links(k)) for k, x in enumerate(parser.lines)] == [("Card", 0), ("Words of it", 0), ("Free link", 5)]
 
 
+def test_pages_without_article_keep_short_ends():
+    lengths = (20, 600, 700, 500, 20, 25, 15)
+    lines = [("lead" if k == 0 else f"p{k}") + "x" * (n - len("lead" if k == 0 else f"p{k}")) for k, n in enumerate(lengths)]
+    body = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+    page = '<body><nav><a href="/a">Menu</a></nav><div>Site</div><div class="text">{}</div><footer>us</footer></body>'
+    assert html_text.main_text(page.format(body)) == " ".join(lines)
+    listed = f"<h1>{lines[0]}</h1><ul>" + "".join(f"<li>{x}</li>" for x in lines[1:4]) + "</ul>" + "".join(f"<p>{x}</p>" for x in lines[4:])
+    assert html_text.main_text(page.format(listed)) == " ".join(lines)
+    assert html_text.main_text(page.format("".join(f"<section><p>{x}</p></section>" for x in lines))) == " ".join(lines)
+    assert html_text.main_text(body) == " ".join(lines)
+
+
 def test_extract_against_articles(spark, sf_dir):
     import html
 
