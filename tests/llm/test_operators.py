@@ -453,6 +453,35 @@ def test_licenses_by_aligning_everywhere(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def _named(text):
+    words = licenses.words_of([text])
+    return [m[0] for m in licenses.matches(words.hashes, words.hashes, np.arange(len(words.hashes)))]
+
+
+@pytest.mark.parametrize("name, text", [
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"), ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"), ("MIT", "// SPDX-License-Identifier: MIT"),
+    ("AGPL-3.0", "// SPDX-License-Identifier: AGPL-3.0-only"),
+])
+def test_license_look_alikes(name, text):
+    assert _named(text) == _named("lorem ipsum dolor " + text + " sit amet") == [name]
+
+
+def test_unknown_licenses_are_not_named_after_neighbours():
+    for text in ("SPDX-License-Identifier: Zlib", "Licensed under the Apache License, Version 3.0.", "Licensed under CC BY 7.0.", "Released under the Foo License."):
+        assert _named(text) == []
+    assert sorted(_named("SPDX-License-Identifier: MIT OR Apache-2.0")) == ["Apache-2.0", "MIT"]
+
+
+def test_whole_license_texts():
+    for name, text in licenses.whole_texts():
+        words = licenses.words_of([text])
+        found = licenses.matches(words.hashes, words.hashes, np.arange(len(words.hashes)))
+        assert [(m[0], m[1], m[2], m[4]) for m in found] == [(name, 0, len(words.hashes) - 1, 1.0)]
+
+
 def test_license_lines_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lines = docs.filter(F.col("text").rlike("(?i)licensed? under|MIT License")).select("doc_id").distinct().count()
