@@ -469,6 +469,12 @@ def test_license_look_alikes(name, text):
     assert _named(text) == _named("lorem ipsum dolor " + text + " sit amet") == [name]
 
 
+@pytest.mark.parametrize("text", ["Released under an MIT License", "Released under the terms of the MIT License"])
+def test_short_notices_are_found_whatever_is_around(text):
+    for word in "lorem ipsum dolor sit amet consectetur under the license of".split():
+        assert _named(f"{word} {text} {word}") == _named(text) == ["MIT"]
+
+
 def test_unknown_licenses_are_not_named_after_neighbours():
     for text in ("SPDX-License-Identifier: Zlib", "Licensed under the Apache License, Version 3.0.", "Licensed under CC BY 7.0.", "Released under the Foo License."):
         assert _named(text) == []
