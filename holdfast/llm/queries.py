@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from holdfast.llm import (
-    html_text, language_id, licenses, near_dedup, packing, pieces, quality_rules, suffix_dedup, top_k, toxicity,
+    html_text, language_id, licenses, line_dedup, near_dedup, packing, pieces, quality_rules, source_audit, suffix_dedup, top_k, toxicity,
+    vector_codes,
 )
-from holdfast.llm.sql import OP3, OP7, OP8, OP9
+from holdfast.llm.sql import OP3, OP7, OP8, OP9, OP11, OP12, OP13
 from holdfast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,12 +69,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_html_text, op5_sentencepiece, op6_language_id, op7_exact_top_k,
-        op8_quality_rules, op9_minhash_near_dedup, op10_license_scan,
+        op8_quality_rules, op9_minhash_near_dedup, op10_license_scan, op11_line_dedup, op12_vector_codes, op13_source_divergence,
     )}
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": OP3, "op7_exact_top_k": OP7, "op8_quality_rules": OP8, "op9_minhash_near_dedup": OP9}
+    return {
+        "op3_suffix_dedup": OP3, "op7_exact_top_k": OP7, "op8_quality_rules": OP8, "op9_minhash_near_dedup": OP9,
+        "op11_line_dedup": OP11, "op12_vector_codes": OP12, "op13_source_divergence": OP13,
+    }

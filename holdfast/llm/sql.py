@@ -101,3 +101,94 @@ SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(c.removed, 0)::BIGINT AS n_rem
        sha256(unhex(coalesce(c.head, '') || substr(d.h, 2 * coalesce(c.last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN cut c ON c.doc_id = d.doc_id
 """
+
+OP11 = """
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, i, lines[i] AS line,
+         translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), shared AS (
+  SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), m AS (
+  SELECT l.*, shared.key IS NOT NULL AND l.doc_id > shared.first AS lost FROM l LEFT JOIN shared USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def _op12() -> str:
+    assigned = """
+a{k} AS (
+  SELECT p.vec_id, p.part, p.c, min(struct_pack(d := list_sum(list_transform(range(1, len(p.c) + 1), lambda i: (p.c[i] - b.c[i]) * (p.c[i] - b.c[i]))), e := b.entry)) AS best
+  FROM p JOIN b{k} b USING (part) GROUP BY p.vec_id, p.part, p.c
+)"""
+    replaced = """
+s{k} AS (
+  SELECT part, entry, list(floor(total::DOUBLE / n)::BIGINT ORDER BY i) AS c
+  FROM (SELECT part, best.e AS entry, i, sum(c[i]) AS total, count(*) AS n FROM a{j}, range(1, 65536) AS r(i) WHERE i <= len(c) GROUP BY ALL)
+  GROUP BY part, entry
+), b{k} AS (
+  SELECT b.part, b.entry, coalesce(s.c, b.c) AS c FROM b{j} b LEFT JOIN s{k} s USING (part, entry)
+)"""
+    steps = ",".join(replaced.format(k=k, j=k - 1) + "," + assigned.format(k=k) for k in (1, 2))
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT vec_id, part, c[part * len(c) // 16 + 1 : (part + 1) * len(c) // 16] AS c FROM (SELECT vec_id, c, unnest(range(16)) AS part FROM v)
+), b0 AS (
+  SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1)::BIGINT AS entry, c
+  FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+),{assigned.format(k=0)},{steps}
+, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id)
+"""
+
+
+OP12 = _op12()
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), w AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), counts AS (
+  SELECT lang, source, term, count(*) AS c FROM w GROUP BY ALL
+), full_counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(x.c, 0) AS c, k.c AS lang_c
+  FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term
+), totals AS (
+  SELECT *, sum(c) OVER g AS n, sum(lang_c) OVER g AS lang_n, count(*) OVER g AS v FROM full_counts WINDOW g AS (PARTITION BY lang, source)
+), p AS (
+  SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lang_c + 5)) // (lang_n + 5 * v) AS q
+  FROM totals
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), both_parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM both_parts QUALIFY part = 'pair' OR rank <= 50
+"""
