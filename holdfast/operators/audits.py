@@ -106,45 +106,60 @@ def recount_audit(features: DataFrame, tables: ActivityTables, spec: FeatureSpec
     return wide.select(F.inline(F.array(*(F.col(m) for m in RECOUNTED))))
 
 
-def constraint_audit(tables: ActivityTables, event_sessions: DataFrame | None = None) -> DataFrame:
-    """(table_name, rule, violations) for keys, references and NOT NULL columns.
+REFERENCES = {"sessions": {"user_id": "users"}, "events": {"user_id": "users", "session_id": "sessions"},
+              "orders": {"user_id": "users"}, "support_tickets": {"user_id": "users"}}
+
+
+def _key_entries(name: str, df: DataFrame, roles: dict[tuple[str, str], int]) -> DataFrame:
+    """Every row of a table as tagged keys, in one read: its own key, the keys it refers to, and its NULL columns.
 
-    `event_sessions` supplies the events' session ids where the events table itself lacks them.
+    `space` names the table whose key it is ('null' for a column without a value), `owned` is 1 for the table's own
+    key, `refs` has the bit of the referring column.
     """
-    frames = dict(tables.items())
-    if event_sessions is None and "session_id" in frames["events"].columns:
-        event_sessions = frames["events"]
-    checks = []
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
-    def report(name, rule, rows):
-        checks.append(rows.agg(
-            F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), F.count("*").alias("violations")
-        ))
+    def entry(space, key, owned, refs):
+        return F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"), owned.alias("owned"), refs.alias("refs"))
 
-    def not_null(name, df, columns):
-        wide = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
-        checks.append(wide.select(F.inline(F.array(*(
-            F.struct(
-                F.lit(name).alias("table_name"), F.lit(f"not null {c}").alias("rule"), F.col(c).alias("violations")
-            ) for c in columns
-        )))))
+    entries = [entry(name, F.col(PRIMARY_KEYS[name]), one, none)]
+    for column, parent in REFERENCES.get(name, {}).items():
+        if column in df.columns:
+            bit = F.lit(1 << roles[name, column]).cast("bigint")
+            entries.append(F.when(F.col(column).isNotNull(), entry(parent, F.col(column), none, bit)))
+    for column in (c for c in RAW_SCHEMAS[name].names if c in df.columns):
+        entries.append(F.when(F.col(column).isNull(), entry("null", F.lit(f"{name}.{column}"), one, none)))
+    return df.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
 
-    def reference(name, df, parent, column):
-        # distinct keys first: a parent lookup per key, not per row
-        keys = df.select(column).filter(F.col(column).isNotNull()).distinct()
-        report(name, f"{column} in {parent}", keys.join(frames[parent].select(column), column, "left_anti"))
 
+def constraint_audit(tables: ActivityTables) -> DataFrame:
+    """(table_name, rule, violations) for keys, references and NOT NULL columns.
+
+    Each table is read once. Its rows become tagged keys, which are grouped once: how often a key is owned tells duplicates,
+    a reference to a key that nobody owns is an orphan, and NULLs are counted under their column's name. Tasks group
+    their own keys before the shuffle, so a user or a column with very many rows arrives as one row per task. Duplicate and missing
+    keys count once each; NULL keys of a table are one key, NULL references refer to nothing. Rules of columns that a table
+    lacks are left out.
+    """
+    frames = dict(tables.items())
+    roles = {pair: bit for bit, pair in enumerate((n, c) for n, own in REFERENCES.items() for c in own)}
+    entries = _union(_key_entries(name, df, roles) for name, df in frames.items())
+    keys = entries.groupBy("space", "key").agg(F.sum("owned").alias("owned"), F.bit_or("refs").alias("refs"))
+    rules = []
     for name, df in frames.items():
-        key = PRIMARY_KEYS[name]
-        report(name, f"unique {key}", df.groupBy(key).count().filter("count > 1"))
-        not_null(name, df, [c for c in RAW_SCHEMAS[name].names if c in df.columns])
-        if name != "users":
-            reference(name, df, "users", "user_id")
-    if event_sessions is not None:
-        if "session_id" not in frames["events"].columns:
-            not_null("events", event_sessions, ["session_id"])
-        reference("events", event_sessions, "sessions", "session_id")
-    return _union(checks)
+        here, key = F.col("space") == name, PRIMARY_KEYS[name]
+        rules.append((name, f"unique {key}", F.count_if(here & (F.col("owned") > 1))))
+        for c in (c for c in RAW_SCHEMAS[name].names if c in df.columns):
+            empty = (F.col("space") == "null") & (F.col("key") == f"{name}.{c}")
+            rules.append((name, f"not null {c}", F.coalesce(F.sum(F.when(empty, F.col("owned"))), F.lit(0))))
+        for column, parent in REFERENCES.get(name, {}).items():
+            if column in df.columns:
+                asked = F.col("refs").bitwiseAND(F.lit(1 << roles[name, column])) != 0
+                rules.append((name, f"{column} in {parent}", F.count_if((F.col("space") == parent) & asked & (F.col("owned") == 0))))
+    wide = keys.agg(*(v.cast("bigint").alias(f"r{k}") for k, (_, _, v) in enumerate(rules)))
+    return wide.select(F.inline(F.array(*(
+        F.struct(F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), F.col(f"r{k}").alias("violations"))
+        for k, (name, rule, _) in enumerate(rules)
+    ))))
 
 
 def label_distribution(features: DataFrame, label: str = LABEL) -> DataFrame:

@@ -215,8 +215,7 @@ def train_only_audit(w):
 
 @query
 def constraint_audit(w):
-    tagged = load_driver_tables(w.spark, w.sf_dir, with_session_ids=True).events
-    return audits.constraint_audit(w.stored_tables, tagged)
+    return audits.constraint_audit(w.stored_tables)
 
 
 @query

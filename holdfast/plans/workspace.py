@@ -40,8 +40,9 @@ class Workspace:
 
     @cached_property
     def stored_tables(self) -> ActivityTables:
-        """The raw tables with the derived sessions stored, for audits that read them several times."""
-        return replace(self.tables, sessions=materialize(self.tables.sessions, "sessions"))
+        """The raw tables with what had to be derived stored: sessions, and events with their session ids."""
+        tagged = load_driver_tables(self.spark, self.sf_dir, with_session_ids=True).events
+        return replace(self.tables, sessions=materialize(self.tables.sessions, "sessions"), events=materialize(tagged, "events"))
 
     @cached_property
     def features(self) -> DataFrame:

@@ -56,6 +56,18 @@ def test_constraints_hold_and_break(raw):
         ("events", "session_id in sessions"): 1, ("support_tickets", "not null status"): 2}
 
 
+def test_constraints_on_null_keys_and_repeated_orphans(raw, spark):
+    """A NULL key is one key, an orphan counts once however many rows refer to it, NULL references refer to nothing."""
+    nobody = raw.sessions.limit(1).withColumns({"user_id": F.lit(None).cast("bigint"), "session_id": F.lit(None).cast("string")})
+    lost = raw.sessions.limit(2).withColumns({"user_id": F.lit(500).cast("bigint"), "session_id": F.concat(F.lit("x"), "session_id")})
+    found = audits.constraint_audit(replace(raw, sessions=raw.sessions.union(nobody).union(nobody).union(lost), users=raw.users.union(raw.users)))
+    assert {(r["table_name"], r["rule"]): r["violations"] for r in found.collect() if r["violations"]} == {
+        ("users", "unique user_id"): 7, ("sessions", "unique session_id"): 1, ("sessions", "not null session_id"): 2,
+        ("sessions", "not null user_id"): 2, ("sessions", "user_id in users"): 1}
+    nothing = audits.constraint_audit(replace(raw, **{n: df.limit(0) for n, df in raw.items()}))
+    assert {r["violations"] for r in nothing.collect()} == {0} and nothing.count() == len(audits.constraint_audit(raw).collect())
+
+
 def test_profiles(built):
     row = audits.dataset_profile(built).first()
     assert (row["total_rows"], row["total_columns"], row["active_users"], row["churned_users"]) == (7, 15, 3, 4)

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.operators import explain, impact, prep, retention
+from holdfast.operators import audits, explain, impact, prep, retention
 from holdfast.operators.features import build_features
 from holdfast.plans.workspace import workspace
 from holdfast.sources.driver_tables import driver_spec, features_from_log, load_driver_tables
@@ -83,6 +83,12 @@ def test_no_plan_has_a_cross_product(spark, sf_dir, ws):
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
 
 
+def test_constraints_read_each_table_once(ws):
+    text = plan(audits.constraint_audit(ws.stored_tables))
+    assert text.count("FileScan parquet") == 5 and "Join" not in text
+    assert len(re.findall("Exchange hashpartitioning", text)) == 1 and "props" not in text
+
+
 def test_importance_is_one_small_exchange(ws):
     text = plan(explain.global_importance(ws.attributed))
     assert "hashpartitioning" not in text
