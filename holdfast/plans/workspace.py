@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.operators import explain, models, prep, tree_shap
+from holdfast.operators import explain, models, prep, tree_nodes, tree_shap
 from holdfast.operators.features import FeatureSpec
 from holdfast.plans.fixed_model import BASELINE, CHALLENGER
 from holdfast.schemas import ActivityTables
@@ -128,3 +128,12 @@ class Workspace:
     @cached_property
     def tree_attributed(self) -> DataFrame:
         return tree_shap.explain(self.tree_input, self.gbt_model, self.leaves)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """The boosted trees as a table of nodes."""
+        return tree_nodes.exported_nodes(self.spark, self.gbt_model)
+
+    @cached_property
+    def node_paths(self) -> DataFrame:
+        return materialize(tree_nodes.paths(self.nodes), "tree-paths")
