@@ -170,7 +170,7 @@ def first_books(rows: DataFrame, parts: int, entries: int) -> dict[int, np.ndarr
     few = sorted(ranked.filter(F.col("r") <= entries).select("dim", "r", "embedding").collect())
     books = {}
     for dim in {r["dim"] for r in few}:
-        own = np.array([r["embedding"] for r in few if r["dim"] == dim], float).reshape(-1, dim)
+        own = np.array([r["embedding"] for r in few if r["dim"] == dim], float).reshape(sum(r["dim"] == dim for r in few), dim)
         books[dim] = integers(own, parts).reshape(len(own), parts, -1)
     return books
 
