@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from holdfast.llm.tables import store
+
 LEAST_CHARS, LEAST_DOCS = 10, 2
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,8 +60,10 @@ def _without_shared(docs: DataFrame, least_chars: int, least_docs: int) -> DataF
     """others, lines, and kept: the places that stay in rising order, NULL where none is lost."""
     rows = _rows(docs)
     lines = _hashed_lines(rows, least_chars)
-    lost = lines.join(shared_keys(lines, least_docs), ["h1", "h2"]).filter("doc > first")
-    places = lost.groupBy(*ROW).agg(F.collect_set("place").alias("lost"))
+    # Both small sides are written first: their size is then known, and hot keys of the other side can be split.
+    shared = store(shared_keys(lines, least_docs), "shared-lines")
+    lost = lines.join(shared, ["h1", "h2"]).filter("doc > first")
+    places = store(lost.groupBy(*ROW).agg(F.collect_set("place").alias("lost")), "lost-lines")
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     return rows.join(places, ROW, "left").withColumn("kept", F.when(F.col("lost").isNotNull(), F.array_except(every, F.col("lost"))))
 
