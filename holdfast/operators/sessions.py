@@ -1,6 +1,6 @@
 """Sessions from raw activity, and the gap between consecutive sessions.
 
-Both work without ever sorting one user's raw rows in one task, so a single very
+Both work without ever meeting one user's raw rows in one task, so a single very
 active user does not become a straggler.
 """
 
@@ -8,9 +8,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from holdfast.functions.numbers import ntz, seconds
+from holdfast.session import ship_package
+from holdfast.sources.writers import materialize
 
 
 STAND_IN = datetime(1970, 1, 1)
@@ -68,30 +73,55 @@ def attach_session_id(activity: DataFrame, ts: str = "event_timestamp", gap_hour
     return keyed.join(slot_ids, ["user_id", "slot"], "left").drop("slot")
 
 
-def lag_starts(sessions: DataFrame, cutoff=None, slice_width: str = "1 hour") -> DataFrame:
+def _lag_inside(batches):
+    """Rows of one range in order, each with the start before it; `edge` marks the first row, which may have one elsewhere."""
+    number, user, start = TaskContext.get().partitionId(), None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        users, starts = batch.column("user_id").to_numpy(), batch.column("session_start")
+        ticks = starts.cast(pa.int64()).to_numpy()
+        edge = np.zeros(batch.num_rows, bool)
+        edge[0] = user is None
+        same = np.r_[users[:1] == user if user is not None else np.zeros(1, bool), users[1:] == users[:-1]]
+        before = np.r_[[start if user is not None else 0], ticks[:-1]]
+        user, start = users[-1], ticks[-1]
+        yield pa.RecordBatch.from_arrays([
+            *(batch.column(c) for c in ("session_id", "user_id", "session_start")),
+            pa.array(before, pa.int64(), mask=~same).cast(starts.type), pa.array(edge), pa.array([number] * batch.num_rows, pa.int32()),
+        ], ["session_id", "user_id", "session_start", "prev_session_start", "edge", "range_no"])
+
+
+def lag_ranges(sessions: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Sessions dealt by (user, start, id) into ranges of even size, with the lag inside each range; written once."""
+    order = ["user_id", "session_start", "session_id"]
+    rows = sessions.select("session_id", "user_id", "session_start")
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    start = rows.schema["session_start"].dataType.simpleString()
+    ship_package(sessions.sparkSession)
+    return materialize(dealt.mapInArrow(_lag_inside, f"{kinds}, prev_session_start {start}, edge boolean, range_no int"), "lag-ranges")
+
+
+def lag_starts(sessions: DataFrame, cutoff=None, ranges: int | None = None) -> DataFrame:
     """Sessions with `prev_session_start`, i.e. LAG(session_start) per user in start order.
 
-    The lag is taken inside (user, hour) slices; only a slice's first row looks back, to
-    the last start of the user's previous non-empty slice. The per-user window therefore
-    runs over hours, not over sessions.
+    Rows are sorted into ranges of (user, start, id) of even size, so neither a user nor an hour of a user that holds very
+    many of them meets in one task. The lag is taken inside the ranges; only the first row of a range looks back, to the last
+    row of the range before it, so one row per range is exchanged. Rows without a user or a start have no predecessor.
     """
     rows = sessions if cutoff is None else sessions.filter(F.col("session_start") < ntz(cutoff))
-    rows = rows.select(
-        "session_id", "user_id", "session_start", F.window("session_start", slice_width).start.alias("slice")
-    )
-    inside = Window.partitionBy("user_id", "slice").orderBy("session_start", "session_id")
-    before = (
-        rows.groupBy("user_id", "slice").agg(F.max("session_start").alias("slice_last"))
-        .select(
-            "user_id", "slice",
-            F.lag("slice_last").over(Window.partitionBy("user_id").orderBy("slice")).alias("carried"),
-        )
-    )
-    local = rows.withColumn("local_prev", F.lag("session_start").over(inside))
-    return local.join(before, ["user_id", "slice"]).select(
-        "session_id", "user_id", "session_start",
-        F.coalesce("local_prev", "carried").alias("prev_session_start"),
+    placed = F.col("user_id").isNotNull() & F.col("session_start").isNotNull()
+    lagged = lag_ranges(rows.filter(placed), ranges)
+    names = ("session_id", "user_id", "session_start", "prev_session_start")
+    here = F.struct("user_id", "session_start", "session_id")
+    ends = lagged.groupBy("range_no").agg(F.max(here).alias("last"))  # one row per range
+    borders = ends.select("range_no", F.lag("last").over(Window.orderBy("range_no")).alias("before"))
+    first = lagged.filter("edge").drop("prev_session_start").join(borders, "range_no").withColumn(
+        "prev_session_start", F.when(F.col("before.user_id") == F.col("user_id"), F.col("before.session_start"))
     )
+    apart = rows.filter(~placed).select("session_id", "user_id", "session_start").withColumn("prev_session_start", F.lit(None).cast(rows.schema["session_start"].dataType))
+    return lagged.filter("NOT edge").select(*names).unionByName(first.select(*names)).unionByName(apart)
 
 
 DAY_SECONDS = 86400

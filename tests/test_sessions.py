@@ -104,6 +104,35 @@ def test_lag_equals_brute_force(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_lag_over_any_number_of_ranges(spark, ranges):
+    """Ties in start, ranges with one user, users over many ranges, and rows without a user or a start."""
+    rows = random_sessions(8, 200) + [(f"t{i}", 5, START) for i in range(60)]
+    lost = [("x1", None, START), ("x2", None, START), ("x3", 5, None), ("x4", None, None)]
+    frame = spark.createDataFrame(rows + lost, "session_id string, user_id bigint, session_start timestamp_ntz").repartition(3)
+    got = {r["session_id"]: r["prev_session_start"] for r in ses.lag_starts(frame, ranges=ranges).collect()}
+    want = {sid: None for sid, _, _ in lost}
+    for user in {r[1] for r in rows}:
+        previous = None
+        for sid, _, ts in sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0])):
+            want[sid], previous = previous, ts
+    assert got == want
+    assert ses.lag_starts(frame.limit(0), ranges=ranges).count() == 0
+
+
+def test_an_hour_with_a_third_of_the_rows_spreads_over_ranges(spark):
+    """30,000 sessions, a third of them of one user in one hour: no task gets more than twice the median."""
+    ids = spark.range(30_000)
+    hot = F.col("id") % 3 == 0
+    offset = F.when(hot, F.col("id") % 3600).otherwise(F.col("id") * 7919 % 2_592_000)
+    frame = ids.select(
+        F.concat(F.lit("s"), "id").alias("session_id"), F.when(hot, 1).otherwise(F.col("id") % 997).cast("bigint").alias("user_id"),
+        (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(secs=offset.cast("decimal(18,6)"))).alias("session_start"),
+    )
+    sizes = sorted(r["count"] for r in ses.lag_ranges(frame, ranges=16).groupBy("range_no").count().collect())
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+
+
 def test_both_gap_plans_agree(spark):
     frame = spark.createDataFrame(random_sessions(7), "session_id string, user_id bigint, session_start timestamp_ntz")
     cutoff = START + timedelta(days=10)
