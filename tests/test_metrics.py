@@ -76,6 +76,37 @@ def test_comparison(spark):
     assert alone["accuracy"]["baseline"] == 0 and alone["accuracy"]["delta"] == 1
 
 
+def test_all_models_from_one_table(spark):
+    """Several models at once give what each gives alone, an empty one included, whatever the number of ranges."""
+    frames = {"a": frame(spark, random_rows(5)), "b": frame(spark, random_rows(6, 77)), "none": frame(spark, []), "odd": frame(spark, [(1, None), (0, float("nan")), (1, 0.5), (0, 0.5), (None, 0.9)])}
+    for ranges in (2, 64):
+        rows = {r["model"]: r for r in metrics.measured(frames, 0.5, ranges=ranges).collect()}
+        assert set(rows) == set(frames)
+        for name, seed, n in (("a", 5, 400), ("b", 6, 77)):
+            data, r = random_rows(seed, n), rows[name]
+            assert r["roc_auc"] == pytest.approx(brute_auc(data), abs=1e-12)
+            assert (r["tn"], r["fp"], r["fn"], r["tp"]) == tuple(
+                sum(l == actual and (p >= 0.5) == risky for l, p in data) for actual, risky in ((0, False), (0, True), (1, False), (1, True)))
+        assert (rows["none"]["tn"], rows["none"]["tp"], rows["none"]["roc_auc"]) == (0, 0, None)
+        assert (rows["odd"]["fp"], rows["odd"]["tp"], rows["odd"]["roc_auc"]) == (2, 1, 0.5)
+
+
+def test_nothing_runs_while_building_and_frames_are_read_once(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in "ab"]
+    for k, path in enumerate(paths):
+        frame(spark, random_rows(k)).write.parquet(path)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("metrics-build", "building")
+    built = metrics.compare_models(*(spark.read.schema(SCORED).parquet(p) for p in paths))
+    assert len(tracker.getJobIdsForGroup("metrics-build")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert built.count() == 5
+    execution = built._jdf.queryExecution()
+    execution.executedPlan().executeCollect()
+    final = execution.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 2 and "ReusedExchange" in final
+
+
 def test_threshold_audit(spark):
     good = metrics.classify(frame(spark, [(1, 0.5), (0, 0.49)]))
     assert audits.threshold_audit(good).first()["passed"]
