@@ -22,7 +22,7 @@ from holdfast.plans.workspace import workspace
 from holdfast.session import local_session
 
 HEADLINE = (
-    "feature_store", "feature_store_one_scan", "churn_summary", "session_features", "lag_gap", "recount_audit", "constraint_audit",
+    "feature_store", "feature_store_five_tables", "churn_summary", "session_features", "lag_gap", "recount_audit", "constraint_audit",
     "feature_means", "stratified_split", "median_imputation", "linear_score", "roc_auc", "model_comparison",
     "global_importance", "local_explanations", "retention_decision", "impact_rows", "portfolio_summary",
     "dashboard_frame", "user_lookup", "tree_shap_values", "tree_importance", "lr_scores", "gbt_scores",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.functions.drivers import TABLE_DOWN, TABLE_UP
 from holdfast.functions.policy import POLICY, RetentionPolicy, eligible, ltv, risk_tier, share_text
@@ -30,22 +30,30 @@ def flatten_drivers(df: DataFrame) -> DataFrame:
     return df.select("*", *flat)
 
 
-def dashboard_frame(frame: DataFrame, precomputed: DataFrame | None = None,
-                    policy: RetentionPolicy = POLICY) -> DataFrame:
+def dashboard_frame(frame: DataFrame, precomputed: DataFrame | None = None, policy: RetentionPolicy = POLICY,
+                    missing: Column | None = None) -> DataFrame:
     """Every user with features, probability, three drivers and risk tier.
 
     `frame` is the feature table, scored or not, with `drivers` or without; the label stands in for
     a missing probability. Where `precomputed` has a user, its drivers win over those in the frame.
+    `missing` is the expression of a `drivers` array (see `explain.top_drivers`) for users without stored drivers; it
+    stands in the branch of the misses, so nothing is ranked or worded for the others.
     """
     if "churn_probability" not in frame.columns:
         frame = frame.withColumn("churn_probability", F.col(LABEL).cast("double"))
+    if precomputed is not None:
+        stored = precomputed.select("user_id", F.struct(*DRIVER_COLUMNS).alias("stored"))
+        frame = frame.join(stored, "user_id", "left")
+        known = F.col("stored.driver_1_feature").isNotNull()
+        if missing is not None:
+            frame = frame.withColumn("drivers", F.when(~known, missing))
+    elif missing is not None:
+        frame = frame.withColumn("drivers", missing)
     if "drivers" in frame.columns:
         frame = flatten_drivers(frame).drop("drivers")
     frame = with_missing_columns(frame, {c: "double" if c.endswith("shap") else "string" for c in DRIVER_COLUMNS})
     if precomputed is not None:
-        stored = precomputed.select("user_id", F.struct(*DRIVER_COLUMNS).alias("stored"))
-        known = F.col("stored.driver_1_feature").isNotNull()
-        frame = frame.join(stored, "user_id", "left").withColumns({
+        frame = frame.withColumns({
             c: F.when(known, F.col(f"stored.{c}")).otherwise(F.col(c)) for c in DRIVER_COLUMNS
         }).drop("stored")
     return frame.withColumn("risk_tier", risk_tier(F.col("churn_probability"), policy))
@@ -118,23 +126,47 @@ def driver_table(frame: DataFrame) -> DataFrame:
     )
 
 
-def lookup(frame: DataFrame, requests: DataFrame) -> DataFrame:
+CARD_COLUMNS = ("user_id", "risk_tier", "plan_tier", "churn_probability")
+
+
+def write_cards(frame: DataFrame, path: str, files: int | None = None, row_group_bytes: int | None = None) -> DataFrame:
+    """Stores what a lookup shows, laid out for it: sorted by id, with a Bloom filter of the ids in every row group.
+
+    An id that is asked for then opens only the row groups whose range and filter admit it.
+    """
+    users = frame.select(*CARD_COLUMNS)
+    sorted_cards = users.repartitionByRange(*([files] if files else []), "user_id").sortWithinPartitions("user_id")
+    writer = sorted_cards.write.option("parquet.bloom.filter.enabled#user_id", "true")
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
+    return frame.sparkSession.read.schema(users.schema).parquet(path)
+
+
+def find_users(cards: DataFrame, ids: list[int]) -> DataFrame:
+    """The stored cards of a few ids, by a filter that reaches the files."""
+    return cards.filter(F.col("user_id").isin([int(i) for i in ids]))
+
+
+SPREAD = 64
+
+
+def lookup(cards: DataFrame, requests: DataFrame) -> DataFrame:
     """Answers typed-in user ids: outcome `found`, `not_found` or `invalid`, with the match if any.
 
-    `requests` has request_id and user_text; blanks around the number are ignored.
+    `requests` has request_id and user_text and is read once; blanks around the number are ignored. Unreadable ids
+    match nothing; a second key deals them over many partitions, where NULLs alone would pile up in one.
     """
-    parsed = requests.select("request_id", F.expr("try_cast(trim(user_text) as bigint)").alias("wanted_id"))
-    cards = frame.select(
-        F.col("user_id").alias("wanted_id"), "risk_tier", "plan_tier", "churn_probability",
-        F.lit("found").alias("outcome"),
+    wanted = F.expr("try_cast(trim(user_text) as bigint)")
+    parsed = requests.select("request_id", wanted.alias("wanted_id")).withColumn(
+        "spread", F.when(F.col("wanted_id").isNull(), F.pmod(F.xxhash64("request_id"), F.lit(SPREAD))).otherwise(F.lit(0).cast("bigint"))
+    )
+    known = cards.select(
+        F.col("user_id").cast("bigint").alias("wanted_id"), F.col("user_id").cast("bigint").bitwiseAND(F.lit(0).cast("bigint")).alias("spread"),
+        *CARD_COLUMNS[1:], F.lit(True).alias("hit"),
     )
-    answer = ("request_id", "wanted_id", "outcome", "risk_tier", "plan_tier", "churn_probability")
-    answered = parsed.filter("wanted_id is not null").join(cards, "wanted_id", "left").withColumn(
-        "outcome", F.coalesce("outcome", F.lit("not_found"))
-    ).select(*answer)
-    # unreadable input has no key to be matched on and must not pile up in one join partition
-    invalid = parsed.filter("wanted_id is null").withColumn("outcome", F.lit("invalid"))
-    return answered.unionByName(invalid, allowMissingColumns=True)
+    outcome = F.when(F.col("wanted_id").isNull(), "invalid").when(F.col("hit"), "found").otherwise("not_found")
+    return parsed.join(known, ["wanted_id", "spread"], "left").select("request_id", "wanted_id", outcome.alias("outcome"), *CARD_COLUMNS[1:])
 
 
 def risk_payload(frame: DataFrame) -> DataFrame:

@@ -87,8 +87,8 @@ def driver_rows(attributed: DataFrame, k: int = 3, features=FEATURES, text=drive
     )
 
 
-def with_top_drivers(attributed: DataFrame, k: int = 3, features=FEATURES, text=driver_text) -> DataFrame:
-    """Adds `drivers`: the k strongest features of the row, strongest first, ties by name.
+def top_drivers(k: int = 3, features=FEATURES, text=driver_text) -> Column:
+    """The k strongest features of an attributed row, strongest first, ties by name.
 
     The candidates are sorted as an array inside the row, so nothing is shuffled. Without a `text`
     function the entries carry no sentence.
@@ -101,7 +101,17 @@ def with_top_drivers(attributed: DataFrame, k: int = 3, features=FEATURES, text=
             direction(phi).alias("direction"), *sentence,
         )
 
-    return attributed.withColumn("drivers", F.transform(_strongest(k, features), describe))
+    return F.transform(_strongest(k, features), describe)
+
+
+def short_drivers(k: int = 3, features=FEATURES) -> Column:
+    """`top_drivers` with the generic sentence, as used where no stored record has a user."""
+    return top_drivers(k, features, short_text)
+
+
+def with_top_drivers(attributed: DataFrame, k: int = 3, features=FEATURES, text=driver_text) -> DataFrame:
+    """Adds `drivers`, see `top_drivers`."""
+    return attributed.withColumn("drivers", top_drivers(k, features, text))
 
 
 def ranked_drivers(attributed: DataFrame, k: int = 3, features=FEATURES) -> DataFrame:

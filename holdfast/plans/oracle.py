@@ -554,7 +554,6 @@ def _build() -> dict[str, str]:
     rows_test = "scored_test"
     sql = {
         "feature_store": f"SELECT {_feature_out()} FROM fs",
-        "feature_store_one_scan": f"SELECT {_feature_out()} FROM fs",
         "feature_store_7d": f"SELECT {_feature_out()} FROM fs_7d",
         "filter_profile": " UNION ALL ".join(_filter_profile(*x) for x in (
             ("sessions", "a_sessions", "session_start"), ("events", "a_events", "event_timestamp"),
@@ -807,6 +806,8 @@ def _build() -> dict[str, str]:
             FROM (SELECT o_orderkey AS request_id, TRY_CAST(trim(CASE WHEN o_orderstatus = 'P' THEN o_orderpriority
                          ELSE '  ' || o_orderkey || ' ' END) AS BIGINT) AS wanted_id FROM orders) r
             LEFT JOIN scored s ON s.user_id = r.wanted_id""",
+        "feature_cards": f"""SELECT user_id, {_tier('p')} AS risk_tier, plan_tier, round(p, 6) AS churn_probability FROM scored
+            WHERE user_id IN ((SELECT min(user_id) FROM scored), (SELECT max(user_id) FROM scored))""",
         "risk_payload": _payload(),
         "csv_round_trip": f"SELECT {_feature_out()} FROM fs",
         "explanation_round_trip": f"SELECT {RECORD_OUT} FROM records",

@@ -71,12 +71,6 @@ def feature_store_7d(w):
     return features_from_log(w.spark, w.sf_dir, driver_spec(window_days=7))
 
 
-@query
-def feature_store_one_scan(w):
-    """The same table from a single scan of the event log."""
-    return features_from_log(w.spark, w.sf_dir, w.spec)
-
-
 @query
 def filter_profile(w):
     return feat.filter_profile(w.tables, w.spec)
@@ -408,7 +402,7 @@ def highest_risk_user(w):
 
 
 def _dashboard(w):
-    return dashboard.dashboard_frame(explain.with_short_drivers(w.attributed), explain.flat_records(w.records))
+    return dashboard.dashboard_frame(w.attributed, w.stored_records, missing=explain.short_drivers())
 
 
 @query
@@ -660,7 +654,14 @@ def user_lookup(w):
         F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
         .otherwise(F.concat(F.lit("  "), F.col("o_orderkey").cast("string"), F.lit(" "))).alias("user_text"),
     )
-    return _round(dashboard.lookup(dashboard.dashboard_frame(w.scored), requests), "churn_probability")
+    return _round(dashboard.lookup(w.cards, requests), "churn_probability")
+
+
+@query
+def feature_cards(w):
+    """Cards of the lowest and highest user and of an id that nobody has, found in the stored layout by pushed filters."""
+    ends = w.cards.agg(F.min("user_id").alias("low"), F.max("user_id").alias("high")).first()  # two numbers
+    return _round(dashboard.find_users(w.cards, [ends["low"], ends["high"], ends["high"] + 1]), "churn_probability")
 
 
 @query

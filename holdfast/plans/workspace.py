@@ -11,10 +11,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.operators import explain, models, prep, tree_nodes, tree_shap
+from holdfast.operators import dashboard, explain, models, prep, tree_nodes, tree_shap
 from holdfast.operators.features import FeatureSpec
 from holdfast.plans.fixed_model import BASELINE, CHALLENGER
 from holdfast.schemas import ActivityTables
+from holdfast.session import scratch_path
 from holdfast.sources.driver_tables import driver_spec, features_from_log, load_driver_tables
 from holdfast.sources.writers import materialize
 
@@ -101,6 +102,16 @@ class Workspace:
         """Explanation records of the test users."""
         return explain.local_records(self.explained.filter("is_test"), self.base_value)
 
+    @cached_property
+    def stored_records(self) -> DataFrame:
+        """The same records flat and stored, as a nightly job leaves them."""
+        return materialize(explain.flat_records(self.records), "records")
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        """What a lookup shows of every user, stored in its layout."""
+        return dashboard.write_cards(dashboard.dashboard_frame(self.scored), scratch_path(self.spark, "cards"))
+
     @cached_property
     def lr_model(self):
         return models.train_lr(self.preprocessor.transform(self.train))

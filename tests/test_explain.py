@@ -105,6 +105,10 @@ def test_dashboard_fills_missing_drivers(attributed, records, scored):
     assert len(rows) == 12
     assert {u for u, r in rows.items() if r["driver_1_text"] == "stored"} == {0, 1, 2}
     assert all(r["driver_1_feature"] is not None for r in rows.values())
+    late = dashboard.dashboard_frame(attributed, stored, missing=explain.short_drivers(3, NAMES))
+    assert {r["user_id"]: r["driver_1_text"] for r in late.collect()} == {u: r["driver_1_text"] for u, r in rows.items()}
+    everyone = dashboard.dashboard_frame(attributed, missing=explain.short_drivers(3, NAMES))
+    assert everyone.filter("driver_1_text IS NULL OR driver_1_text = 'stored'").isEmpty() and everyone.count() == 12
     plain = dashboard.dashboard_frame(scored.select("user_id", "churn_label"))
     assert {(r["churn_probability"], r["driver_1_feature"], r["risk_tier"]) for r in plain.collect()} == {
         (0.0, None, "Low Risk"), (1.0, None, "High Risk")}
@@ -117,6 +121,57 @@ def test_lookup_outcomes(spark):
     assert got == {1: ("found", "High Risk"), 2: ("not_found", None), 3: ("invalid", None), 4: ("invalid", None)}
 
 
+def test_drivers_are_made_for_missing_users_only(spark, attributed, records):
+    """Rows with a stored record never evaluate the fallback: one that fails on them does no harm."""
+    stored = explain.flat_records(records).filter("user_id < 3")
+    kind = "array<struct<feature: string, shap_value: double, explanation: string>>"
+    failing = F.when(F.col("user_id") < 3, F.raise_error(F.lit("made for a stored user")).cast(kind)).otherwise(explain.short_drivers(3, NAMES).cast(kind))
+    with pytest.raises(Exception, match="made for a stored user"):
+        dashboard.dashboard_frame(attributed, missing=failing).collect()
+    frame = dashboard.dashboard_frame(attributed, stored, missing=explain.short_drivers(3, NAMES))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    branch = plan.index("array_sort") if "array_sort" in plan else plan.index("sort_array")
+    assert plan.rindex("CASE WHEN", 0, branch) >= 0 and plan.index("LeftOuter") > branch  # above the join, inside a branch
+
+
+def scanned_rows(df) -> int:
+    """Rows that the scan of a finished query handed on: those of the row groups it opened."""
+    execution = df._jdf.queryExecution()
+    plan = execution.executedPlan()
+    plan.executeCollect()
+    while not plan.children().isEmpty():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_lookup_of_an_id_opens_few_row_groups(spark, tmp_path):
+    frame = spark.range(0, 200_000, 2).select(
+        F.col("id").alias("user_id"), F.concat(F.lit("tier"), F.xxhash64("id").cast("string")).alias("risk_tier"),
+        F.lit("Pro").alias("plan_tier"), F.rand(1).alias("churn_probability"))
+    cards = dashboard.write_cards(frame, str(tmp_path / "cards"), files=4, row_group_bytes=1 << 18)
+    hit, miss = dashboard.find_users(cards, [100_000]), dashboard.find_users(cards, [100_001])
+    assert [r["user_id"] for r in hit.collect()] == [100_000] and miss.count() == 0
+    assert 0 < scanned_rows(hit) <= 100_000 / 8
+    assert scanned_rows(miss) == 0  # inside a row group's range, but not in its Bloom filter
+
+
+def test_lookup_reads_requests_once_and_spreads_unreadable_ids(spark, tmp_path):
+    path = str(tmp_path / "requests")
+    spark.range(1000).select(F.col("id").alias("request_id"), F.when(F.col("id") % 3 > 0, "word").otherwise(" 7 ").alias("user_text")).write.parquet(path)
+    cards = spark.createDataFrame([(7, "High Risk", "Pro", 0.9)], "user_id bigint, risk_tier string, plan_tier string, churn_probability double")
+    found = dashboard.lookup(cards, spark.read.schema("request_id bigint, user_text string").parquet(path))
+    assert {r["outcome"]: r["count"] for r in found.groupBy("outcome").count().collect()} == {"found": 334, "invalid": 666}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = dashboard.lookup(cards, spark.read.schema("request_id bigint, user_text string").parquet(path))
+        keys = again._jdf.queryExecution().executedPlan().toString()
+        assert "spread" in keys.split("Exchange hashpartitioning(")[1].split(")")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_risk_payload(spark, records, scored):
     import json
 
