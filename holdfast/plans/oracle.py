@@ -552,6 +552,7 @@ def _payload() -> str:
 def _build() -> dict[str, str]:
     roi = _costs("ltv", "cap")
     rows_test = "scored_test"
+    raw_tables = (("users", "u_users"), ("sessions", "a_sessions"), ("events", "a_events"), ("orders", "a_orders"), ("support_tickets", "a_tickets"))
     sql = {
         "feature_store": f"SELECT {_feature_out()} FROM fs",
         "feature_store_7d": f"SELECT {_feature_out()} FROM fs_7d",
@@ -597,8 +598,15 @@ def _build() -> dict[str, str]:
             ("users", "u_users"), ("sessions", "a_sessions"), ("events", "a_events"), ("orders", "a_orders"),
             ("support_tickets", "a_tickets"))),
         "load_report": " UNION ALL ".join(
-            f"SELECT '{n}' AS table_name, count(*) AS rows_read, CAST(0 AS BIGINT) AS malformed_cells FROM {t}" for n, t in (
-                ("users", "u_users"), ("sessions", "a_sessions"), ("events", "a_events"), ("orders", "a_orders"), ("support_tickets", "a_tickets"))),
+            f"""SELECT '{n}' AS table_name, count(*) AS rows_read, 0::BIGINT AS malformed_cells, 0::BIGINT AS too_few_cells,
+                0::BIGINT AS too_many_cells FROM {t}""" for n, t in raw_tables),
+        "broken_load_report": " UNION ALL ".join(
+            f"""SELECT '{n}' AS table_name, count(*) AS rows_read, count(*) FILTER (WHERE user_id % 7 = 3) AS malformed_cells,
+                count(*) FILTER (WHERE user_id % 7 = 2) AS too_few_cells, count(*) FILTER (WHERE user_id % 7 = 1) AS too_many_cells FROM {t}"""
+            for n, t in raw_tables),
+        "quarantine": " UNION ALL ".join(
+            f"""SELECT '{n}' AS table_name, CASE user_id % 7 WHEN 1 THEN 'too many cells' WHEN 2 THEN 'too few cells' WHEN 3 THEN 'bad value'
+                ELSE 'taken' END AS reason, count(*) AS lines FROM {t} GROUP BY ALL""" for n, t in raw_tables),
         "loaded_row_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {t}" for n, t in (
             ("users", "u_users"), ("sessions", "a_sessions"), ("events", "a_events"), ("orders", "a_orders"),
             ("support_tickets", "a_tickets"))),

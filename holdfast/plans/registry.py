@@ -13,7 +13,7 @@ from holdfast.operators import (
 from holdfast.operators.features import build_features
 from holdfast.plans.fixed_model import TREES
 from holdfast.plans.workspace import Workspace, workspace
-from holdfast.schemas import FEATURES, NUMERIC_FEATURES, RAW_SCHEMAS
+from holdfast.schemas import FEATURE_SCHEMA, FEATURES, NUMERIC_FEATURES, RAW_SCHEMAS
 from holdfast.session import scratch_path
 from holdfast.sources import readers, writers
 from holdfast.sources.driver_tables import CUTOFF, driver_spec, features_from_log, load_driver_tables
@@ -689,11 +689,42 @@ def _raw_csv(w):
     return folder
 
 
+def _broken_csv(w):
+    """The raw tables as CSV lines of which some, by user, run over, break off or hold a word where a number belongs."""
+    folder = scratch_path(w.spark, "broken-csv")
+    for name, df in load_driver_tables(w.spark, w.sf_dir, with_session_ids=True).items():
+        names = RAW_SCHEMAS[name].names
+        kind = F.col("user_id") % 7
+        cells = [F.col(c).cast("string") for c in names]
+        worded = [F.when(kind == 3, F.concat(F.lit("no"), c)).otherwise(c) if n == "user_id" else c for n, c in zip(names, cells)]
+        line = F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in worded))
+        line = F.when(kind == 1, F.concat(line, F.lit(",more"))).when(kind == 2, F.regexp_replace(line, ",[^,]*$", "")).otherwise(line)
+        writers.write_lines(df.select(line.alias("line")), ",".join(names), f"{folder}/{name}.csv")
+    return folder
+
+
 @query
 def load_report(w):
     return readers.load_report(w.spark, _raw_csv(w))
 
 
+@query
+def broken_load_report(w):
+    return readers.load_report(w.spark, _broken_csv(w))
+
+
+@query
+def quarantine(w):
+    """Lines set aside while loading, through the quarantine sink and back: how many per table and reason, beside those taken."""
+    tables, rejected = readers.load_checked(w.spark, _broken_csv(w))
+    path = scratch_path(w.spark, "quarantine")
+    writers.write_json(rejected, path)
+    counts = readers.read_quarantine(w.spark, path).groupBy("table_name", "reason").agg(F.count("*").alias("lines"))
+    for name, df in tables.items():
+        counts = counts.unionByName(df.agg(F.lit(name).alias("table_name"), F.lit("taken").alias("reason"), F.count("*").alias("lines")))
+    return counts
+
+
 @query
 def loaded_row_counts(w):
     """Raw tables stored as tables of a database, counted where they are stored."""
@@ -704,11 +735,12 @@ def loaded_row_counts(w):
 
 @query
 def feature_table_round_trip(w):
-    """The feature table recreated as a table under a path, and read back from there with its declared schema."""
+    """The feature table published under a path in place of an empty version, and read back with its declared schema."""
     path = scratch_path(w.spark, "feature-table")
     w.spark.sql("CREATE DATABASE IF NOT EXISTS holdfast_raw")
+    writers.save_table(w.features.limit(0), "holdfast_raw.features", path)
     writers.save_table(w.features, "holdfast_raw.features", path)
-    return readers.read_features(w.spark, path)
+    return readers.read_published(w.spark, path, FEATURE_SCHEMA)
 
 
 @query
@@ -731,11 +763,11 @@ def summary_round_trip(w):
 
 @query
 def action_log_append(w):
-    """Two appends to one log, read back: entries per status, with totals."""
+    """Two batches appended to one log, one of them twice, read back: entries per status, with totals."""
     path = scratch_path(w.spark, "actions")
     log = retention.action_log(_decisions(w))
-    writers.append_action_log(log, path)
-    writers.append_action_log(log, path)
+    for batch in ("day-1", "day-1", "day-2"):  # the second call repeats the first
+        writers.append_action_log(log, path, batch)
     return readers.read_action_log(w.spark, path).groupBy("execution_status").agg(
         F.count("*").alias("entries"), F.count_distinct("user_id").alias("users"),
         F.sum("ltv").alias("ltv"), F.sum("net_roi").alias("net_roi"),

@@ -123,6 +123,117 @@ def test_action_log_grows(spark, tmp_path):
     assert {r["action_name"] for r in back.collect()} == {'Call, "urgent"'}
 
 
+def broken_users(tmp_path):
+    """Nine lines: whole ones, also with a quoted comma and quote and an empty cell, and one of each way to be wrong."""
+    lines = ["user_id,signup_date,plan_tier,monthly_fee", "1,2025-11-01 10:00:00,Basic,29.00", '2,2025-11-01 10:00:00,"Pro, or ""so""",99.00',
+             "3,2025-11-01 10:00:00,Basic", "4,2025-11-01 10:00:00,Basic,29.00,more", '5,2025-11-01 10:00:00,"a,b,c",1.00,more,"x,y"',
+             "six,soon,Basic,29.00", "7,,,", "8", '9,2025-11-01 10:00:00,"a,b",']
+    (tmp_path / "users.csv").write_text("\n".join(lines) + "\n")
+    return lines[1:]
+
+
+def test_broken_lines_are_told_apart(spark, tmp_path):
+    lines = broken_users(tmp_path)
+    rows = readers.checked_csv(spark, f"{tmp_path}/users.csv", RAW_SCHEMAS["users"]).collect()
+    reasons = {r["line"]: (r["reason"], r["bad_cells"]) for r in rows if r["reason"]}
+    assert reasons == {
+        lines[2]: ("too few cells", 0), lines[3]: ("too many cells", 0), lines[4]: ("too many cells", 0),
+        lines[5]: ("bad value", 2), lines[7]: ("too few cells", 0)}
+    assert sorted(r["user_id"] for r in rows if r["reason"] is None) == ["1", "2", "7", "9"]
+
+
+def test_quarantine_keeps_every_line(spark, tmp_path):
+    for name, df in sample(spark).items():
+        writers.write_csv(df, f"{tmp_path}/{name}.csv")
+    before = {r["table_name"]: tuple(r)[1:] for r in readers.load_report(spark, str(tmp_path)).collect()}
+    assert before["users"] == (7, 0, 0, 0)
+    (tmp_path / "other").mkdir()
+    for name, df in sample(spark).items():
+        if name != "users":
+            writers.write_csv(df, f"{tmp_path}/other/{name}.csv")
+    lines = broken_users(tmp_path / "other")
+    report = {r["table_name"]: tuple(r)[1:] for r in readers.load_report(spark, f"{tmp_path}/other").collect()}
+    assert report["users"] == (9, 2, 2, 2) and report["orders"] == before["orders"]
+    tables, rejected = readers.load_checked(spark, f"{tmp_path}/other")
+    writers.write_json(rejected, f"{tmp_path}/quarantine")
+    back = readers.read_quarantine(spark, f"{tmp_path}/quarantine")
+    assert {r["line"] for r in back.collect()} == {lines[k] for k in (2, 3, 4, 5, 7)} and {r["table_name"] for r in back.collect()} == {"users"}
+    assert tables["users"].schema == RAW_SCHEMAS["users"] and sorted(r["user_id"] for r in tables["users"].collect()) == [1, 2, 7, 9]
+    assert readers.activity_tables(tables).orders.count() == 4
+
+
+FEATURES_OF = "user_id bigint, x double"
+
+
+def failing(spark, n=50):
+    return spark.range(n, numPartitions=5).select(
+        F.col("id").alias("user_id"), F.when(F.col("id") == n - 1, F.raise_error(F.lit("write fails")).cast("double")).otherwise(9.0).alias("x"))
+
+
+def test_readers_keep_the_old_rows_while_an_overwrite_fails(spark, tmp_path):
+    folder, schema = f"{tmp_path}/features", spark.createDataFrame([], FEATURES_OF).schema
+    old = spark.createDataFrame([(1, 1.0), (2, 2.0)], FEATURES_OF)
+    writers.publish(old, folder)
+    with pytest.raises(Exception, match="write fails"):
+        writers.publish(failing(spark), folder)
+    assert sorted(readers.read_published(spark, folder, schema).collect()) == [(1, 1.0), (2, 2.0)]
+    opened = readers.read_published(spark, folder, schema)
+    writers.publish(spark.createDataFrame([(3, 3.0)], FEATURES_OF), folder)
+    assert sorted(opened.collect()) == [(1, 1.0), (2, 2.0)]  # opened before, read after
+    assert readers.read_published(spark, folder, schema).collect() == [(3, 3.0)]
+    writers.publish(old, folder)
+    versions = [p.name for p in (tmp_path / "features").glob("version-*")]
+    assert len([v for v in versions if (tmp_path / "features" / v / "_SUCCESS").exists()]) == 2  # now and before
+
+
+def test_a_table_keeps_its_rows_while_an_overwrite_fails(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS churn_test")
+    name, path = "churn_test.published", f"{tmp_path}/published"
+    writers.save_table(spark.createDataFrame([(1, 1.0)], FEATURES_OF), name, path)
+    with pytest.raises(Exception, match="write fails"):
+        writers.save_table(failing(spark), name, path)
+    assert spark.table(name).collect() == [(1, 1.0)]
+    planned = spark.table(name)
+    writers.save_table(spark.createDataFrame([(2, 2.0)], FEATURES_OF), name, path)
+    assert spark.table(name).collect() == [(2, 2.0)] and planned.count() == 1
+    writers.save_table(spark.createDataFrame([(2, "other")], "user_id bigint, y string"), name, path)
+    assert spark.table(name).columns == ["user_id", "y"]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def log_rows(spark, n):
+    row = spark.range(n).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name != "user_id" else F.col("id").alias("user_id") for f in ACTION_LOG_SCHEMA))
+    return row.withColumn("reason", F.lit("ok"))
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    assert readers.read_action_log(spark, path).count() == 0
+    assert writers.append_action_log(log_rows(spark, 3), path, "monday")
+    assert not writers.append_action_log(log_rows(spark, 3), path, "monday")
+    assert writers.append_action_log(log_rows(spark, 2), path, "tuesday")
+    assert readers.read_action_log(spark, path).count() == 5
+    with pytest.raises(ValueError, match="names a file"):
+        writers.append_action_log(log_rows(spark, 1), path, "../up")
+
+
+def test_an_append_that_failed_is_unseen_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/log"
+    writers.append_action_log(log_rows(spark, 3), path, "monday")
+    wrong = log_rows(spark, 4).withColumn("reason", F.when(F.col("user_id") == 3, F.raise_error(F.lit("write fails")).cast("string")).otherwise("ok"))
+    with pytest.raises(Exception, match="write fails"):
+        writers.append_action_log(wrong, path, "tuesday")
+    assert readers.read_action_log(spark, path).count() == 3
+    # two writers of one batch: both have written their rows, the first to sign the ledger wins
+    known = writers.folders.exists
+    monkeypatch.setattr(writers.folders, "exists", lambda spark, p: False if p.endswith("wednesday") else known(spark, p))
+    assert writers.append_action_log(log_rows(spark, 4), path, "wednesday")
+    assert not writers.append_action_log(log_rows(spark, 4), path, "wednesday")
+    monkeypatch.undo()
+    assert writers.append_action_log(log_rows(spark, 4), path, "tuesday")
+    assert readers.read_action_log(spark, path).count() == 11
+
+
 def test_materialize_cuts_the_lineage(spark):
     df = writers.materialize(spark.range(10).withColumn("x", F.rand(1)), "numbers")
     assert df.count() == 10
