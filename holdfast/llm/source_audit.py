@@ -118,7 +118,7 @@ class Audit:
     def placed(self) -> DataFrame:
         """lang, term, its word (three numbers) and bit."""
         band = F.length(F.bin("lang_n"))
-        sizes = self.terms.groupBy("lang", band.alias("band")).agg(F.ceil(F.count("*") / PART).alias("parts"))
+        sizes = store(self.terms.groupBy("lang", band.alias("band")).agg(F.ceil(F.count("*") / PART).alias("parts")), "band-sizes")
         dealt = self.terms.withColumn("band", band).join(sizes, ["lang", "band"])
         dealt = dealt.withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts")))
         number = F.row_number().over(Window.partitionBy("lang", "band", "part").orderBy("term")) - 1
