@@ -8,6 +8,10 @@ head ends it. The ratios are smoothed with a Gaussian kernel, lines over their s
 the clusters select a region: the article or main element that holds most of their text, else the innermost container
 that encloses them all (the whole page if none does). All lines of the region that are not excluded are the main text, also short ones.
 
+Words in class, id or role, and forms, exclude softly: on a page that they leave with next to no text (a layout called "has-sidebar",
+a page in one form), the outermost of these elements with most of the text is taken for a wrapper and no longer excludes, and so
+on inwards. Elements that are never an article (nav, footer, aside and the like) always exclude.
+
 NULL or empty html, and pages without text, give an empty string. Character references are decoded, white space in a
 block becomes one space, blocks are joined in page order by one space. Rows are independent of each other; repeated
 rows, NULL ids and ties change nothing, an empty table gives an empty result; only page_id, url and html are read.
@@ -16,6 +20,7 @@ rows, NULL ids and ties change nothing, an empty table gives an empty result; on
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -43,28 +48,35 @@ MARKS = frozenset(
 )
 TOKEN = re.compile(r"[a-z0-9]+")
 SIGMA, REACH = 1.0, 3
+NEXT_TO_NOTHING = 0.05  # share of a marked element's text
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, characters in links, excluded, region, container) of every block."""
+    """Collects (text, tags, characters in links, mark, region, container) of every block.
+
+    A mark is an element that excludes its text, numbered from 1; 0 is none. Marks, containers and regions know what they lie in.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, dict[int, int], bool, int, int]] = []  # characters by link
-        self.open: list[tuple[str, bool, int, int, int]] = []  # name, excluded, region, link, container
+        self.lines: list[tuple[str, int, dict[int, int], int, int, int]] = []  # characters by link
+        self.open: list[tuple[str, int, int, int, int]] = []  # name, mark, region, link, container
+        self.count: Counter[str] = Counter()  # open elements by name
         self.within = [0]  # container that each container lies in; 0 is the page
+        self.marks = [(0, False)]  # mark that each mark lies in, and whether it excludes softly
+        self.regions = [0]  # mark that each region lies in
         self.text: list[str] = []
         self.linked: dict[int, int] = {}
         self.links: dict[int, int] = {}  # line in which a link begins
         self.live: set[int] = set()
         self.ended: set[int] = set()
-        self.tags = self.regions = 0
+        self.tags = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            excluded, region, _, container = self.open[-1][1:] if self.open else (False, 0, 0, 0)
-            self.lines.append((text, self.tags, self.linked, excluded, region, container))
+            mark, region, _, container = self.open[-1][1:] if self.open else (0, 0, 0, 0)
+            self.lines.append((text, self.tags, self.linked, mark, region, container))
             self.tags, self.linked = 0, {}
         self.text = []
 
@@ -72,15 +84,21 @@ class Lines(HTMLParser):
         """Takes open elements from the k-th on, or that one alone, off the stack, and their links with them."""
         end = k + 1 if alone else len(self.open)
         self.live.difference_update(link for name, _, _, link, _ in self.open[k:end] if name == "a")
+        self.count.subtract(name for name, *_ in self.open[k:end])
         del self.open[k:end]
 
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a name that is open."""
+        k = len(self.open) - 1
+        while self.open[k][0] != tag:
+            k -= 1
+        return k
+
     def end_head(self, anyway: bool) -> None:
         """Ends an open head, if no element is open in it or anyway."""
-        for k in range(len(self.open) - 1, -1 if anyway else max(-1, len(self.open) - 2), -1):
-            if self.open[k][0] == "head":
-                self.cut()
-                self.shut(k)
-                break
+        if self.count["head"] and (anyway or self.open[-1][0] == "head"):
+            self.cut()
+            self.shut(self.last("head"))
 
     def outside_links(self, k: int) -> int:
         """Characters of a line that are in no link; text of an unclosed one counts in the line it begins in."""
@@ -95,36 +113,36 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        if tag == "a":  # an open link ends where the next begins
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == "a":
-                    self.shut(k, alone=True)
-                    break
-        if tag == "p":  # an open paragraph ends where the next begins
+        if tag == "a" and self.count["a"]:  # an open link ends where the next begins
+            self.shut(self.last("a"), alone=True)
+        if tag == "p" and self.count["p"]:  # an open paragraph ends where the next begins
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == "p":
                     self.shut(k, alone=True)
                     break
                 if self.open[k][0] in BLOCKS:
                     break
-        excluded, region, link, container = self.open[-1][1:] if self.open else (False, 0, 0, 0)
+        mark, region, link, container = self.open[-1][1:] if self.open else (0, 0, 0, 0)
         if tag == "a":
             link = 0
             if any(k == "href" for k, _ in attrs):
                 link = len(self.links) + 1
                 self.links[link] = len(self.lines)
                 self.live.add(link)
-        if not excluded:
-            names = TOKEN.findall(" ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)) if attrs else ()
-            header = tag == "header" and not region
-            excluded = tag in APART or tag in NEVER_TEXT or header or bool(MARKS.intersection(names)) and tag not in ("html", "body", *REGIONS)
-            if tag in REGIONS and not excluded and not region:
-                self.regions += 1
-                region = self.regions
+        names = TOKEN.findall(" ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)) if attrs else ()
+        header = tag == "header" and not region
+        never = tag in APART and tag != "form" or tag in NEVER_TEXT or header
+        if never or tag == "form" or bool(MARKS.intersection(names)) and tag not in ("html", "body", *REGIONS):
+            self.marks.append((mark, not never))
+            mark = len(self.marks) - 1
+        if tag in REGIONS and not region:
+            self.regions.append(mark)
+            region = len(self.regions) - 1
         if tag in CONTAINERS or tag in REGIONS:
             self.within.append(container)
             container = len(self.within) - 1
-        self.open.append((tag, excluded, region, link, container))
+        self.open.append((tag, mark, region, link, container))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -135,12 +153,12 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if tag == "a":
-                    self.ended.add(self.open[k][3])
-                self.shut(k, alone=tag == "a" and any(name in BLOCKS for name, *_ in self.open[k:]))
-                break
+        if not self.count[tag]:
+            return
+        k = self.last(tag)
+        if tag == "a":
+            self.ended.add(self.open[k][3])
+        self.shut(k, alone=tag == "a" and any(name in BLOCKS for name, *_ in self.open[k:]))
 
     def handle_data(self, data):
         if self.open and self.open[-1][0] == "head" and data.strip():
@@ -176,6 +194,24 @@ def enclosed(within: list[int], containers: np.ndarray, chosen: np.ndarray) -> n
     return inside[containers]
 
 
+def _selected(parser: Lines, free: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    """Lines of the main text, if marks hide as given."""
+    lines = parser.lines
+    excluded = hidden[[x[3] for x in lines]]
+    regions = np.array([0 if hidden[parser.regions[x[4]]] else x[4] for x in lines])
+    ratios = np.where(excluded, 0.0, free / np.array([x[1] + 1 for x in lines]))
+    chosen = clustered(ratios)
+    if not chosen.any():
+        return chosen
+    weight = np.bincount(regions[chosen], free[chosen])
+    best = int(weight.argmax())
+    if best:
+        inside = regions == best
+    else:
+        inside = enclosed(parser.within, np.array([x[5] for x in lines]), chosen)
+    return inside & ~excluded
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -187,20 +223,30 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    excluded = np.array([x[3] for x in lines])
-    regions = np.array([x[4] for x in lines])
     free = np.array([parser.outside_links(k) for k in range(len(lines))])
-    ratios = np.where(excluded, 0.0, free / np.array([x[1] + 1 for x in lines]))
-    chosen = clustered(ratios)
-    if not chosen.any():
-        return ""
-    weight = np.bincount(regions[chosen], free[chosen])
-    best = int(weight.argmax())
-    if best:
-        inside = regions == best
-    else:
-        inside = enclosed(parser.within, np.array([x[5] for x in lines]), chosen)
-    return " ".join(lines[k][0] for k in np.flatnonzero(inside & ~excluded))
+    own = np.bincount([x[3] for x in lines], free, len(parser.marks))
+    total, heaviest = own.copy(), [0] * len(parser.marks)  # text of a mark with those in it, and the one in it with most text
+    for mark in range(len(parser.marks) - 1, 0, -1):
+        outer = parser.marks[mark][0]
+        total[outer] += total[mark]
+        if outer and parser.marks[mark][1] and total[mark] > (total[heaviest[outer]] if heaviest[outer] else 0):
+            heaviest[outer] = mark
+    lifted: set[int] = set()
+    while True:
+        # A mark lies in marks of smaller numbers; the outermost one that hides a line counts its text.
+        outermost = [0] * len(parser.marks)
+        for mark, (outer, _) in enumerate(parser.marks):
+            outermost[mark] = outermost[outer] or (mark if mark not in lifted else 0)
+        selected = _selected(parser, free, np.array(outermost) > 0)
+        held = np.bincount(outermost, own, len(parser.marks))
+        held[[k for k, (_, soft) in enumerate(parser.marks) if not soft]] = 0
+        wrapper = int(held.argmax())
+        if free[selected].sum() > NEXT_TO_NOTHING * held[wrapper] or not held[wrapper]:
+            return " ".join(lines[k][0] for k in np.flatnonzero(selected))
+        lifted.add(wrapper)
+        while heaviest[wrapper] and total[heaviest[wrapper]] >= (1 - NEXT_TO_NOTHING) * total[wrapper]:
+            wrapper = heaviest[wrapper]
+            lifted.add(wrapper)
 
 
 def extract(pages: DataFrame) -> DataFrame:
