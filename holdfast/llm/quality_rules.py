@@ -87,12 +87,12 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations",
               "n_stop_words", "n_bullet_lines", "n_ellipsis_lines")
     docs = docs.drop(*(c for c in (*counts, "base_failed", "kept") if c != text))
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    names = docs.columns
     body = F.coalesce(F.col(text), F.lit(""))
     stripped = F.btrim(body, F.lit(" \t\n\x0b\f\r"))
     long = "bigint"
     step = docs.select(
-        *own, body.alias("_body"),
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), body.alias("_body"),
         F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, SPACE + "+")).alias("_words"),
         F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
     )
@@ -117,5 +117,5 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
         "base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     )
     return step.withColumn("kept", ~F.col("base_failed") & _verdict(rules)).select(
-        *own, *counts, "base_failed", "kept"
+        *(F.col(f"_row.`{c}`").alias(c) for c in names), *counts, "base_failed", "kept"
     )
