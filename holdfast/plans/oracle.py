@@ -8,12 +8,50 @@ from __future__ import annotations
 
 import re
 
-from holdfast.functions.drivers import DOWN, DRIVER_TEXTS, GAP_FEATURE, GAP_UNKNOWN, UP
-from holdfast.functions.policy import FRICTION_DRIVERS, INACTIVITY_DRIVERS, MESSAGES
-from holdfast.operators.audits import MEAN_FEATURES, PROFILE_FEATURES
-from holdfast.operators.explain import NAMED_DIAGNOSTICS
-from holdfast.plans.fixed_model import BASELINE, CHALLENGER, TREES
-from holdfast.schemas import FEATURES, NUMERIC_FEATURES, ONE_HOT_FEATURES
+from holdfast.plans.fixed_model import BASELINE, CHALLENGER, TREES  # the models that both sides are given
+
+# --- fixed values, written out again so that a wrong list on one side shows ----------
+UP, DOWN = "UP (+)", "DOWN (-)"
+NUMERIC_FEATURES = (
+    "monthly_fee", "total_spend_60d", "days_since_last_session", "sessions_recent_14d", "sessions_previous_14d", "session_drop_pct",
+    "total_events_60d", "core_feature_usage_count", "avg_session_duration_minutes", "avg_session_gap_days", "support_ticket_count",
+    "unresolved_tickets",
+)
+ONE_HOT_FEATURES = ("plan_tier_Basic", "plan_tier_Pro", "plan_tier_Enterprise")
+FEATURES = NUMERIC_FEATURES + ONE_HOT_FEATURES
+MEAN_FEATURES = (
+    "days_since_last_session", "sessions_recent_14d", "sessions_previous_14d", "session_drop_pct", "total_events_60d",
+    "avg_session_gap_days", "support_ticket_count", "unresolved_tickets", "total_spend_60d",
+)
+PROFILE_FEATURES = ("plan_tier", *NUMERIC_FEATURES)
+NAMED_DIAGNOSTICS = (
+    "sessions_recent_14d", "support_ticket_count", "days_since_last_session", "total_events_60d", "core_feature_usage_count",
+)
+INACTIVITY_DRIVERS = ("sessions_recent_14d", "days_since_last_session", "session_drop_pct")
+FRICTION_DRIVERS = ("support_ticket_count", "unresolved_tickets")
+GAP_FEATURE, GAP_UNKNOWN = "avg_session_gap_days", "Too few sessions to measure pauses"
+# how the value is shown; the text around it when risk rises, and when it falls
+DRIVER_TEXTS = {
+    "sessions_recent_14d": ("count", ("Only ", " sessions in the recent window"), ("Busy: ", " sessions in the recent window")),
+    "support_ticket_count": ("count", ("Raised ", " support tickets"), ("Just ", " support tickets")),
+    "days_since_last_session": ("count", ("Away for ", " days"), ("Last seen ", " days ago")),
+    "session_drop_pct": ("pct", ("Sessions fell by ", "%"), ("Sessions held up, change ", "%")),
+    "core_feature_usage_count": ("count", ("Core features used only ", " times"), ("Core features used ", " times")),
+    "unresolved_tickets": ("count", ("Waiting on ", " open tickets"), ("Little left open: ", " tickets")),
+    "total_events_60d": ("count", ("Light use: ", " events"), ("Heavy use: ", " events")),
+    "avg_session_gap_days": ("pct", ("Long pauses of ", " days between sessions"), ("Short pauses of ", " days between sessions")),
+}
+# drivers, category, subject, text
+MESSAGES = (
+    (INACTIVITY_DRIVERS, "Re-engagement", "Let's get you going again",
+     "your team has been quiet lately, so a specialist is ready to walk you through the next steps"),
+    (FRICTION_DRIVERS, "Friction Resolution", "News on your support requests",
+     "not everything has run smoothly for you so far, and putting that right comes first"),
+    (("core_feature_usage_count", "total_events_60d"), "Feature Adoption", "More to gain from your plan",
+     "there are workflows in your plan that could save your team time"),
+    ((), "General Appreciation", "Thanks for staying with us", "we value working with you and would like to hear what you need next"),
+)
+# ----------------------------------------------------------------------------------
 
 DAY = 86400000000
 CUTOFF = "TIMESTAMP '2024-01-30 00:00:00'"
@@ -555,6 +593,8 @@ def _build() -> dict[str, str]:
     raw_tables = (("users", "u_users"), ("sessions", "a_sessions"), ("events", "a_events"), ("orders", "a_orders"), ("support_tickets", "a_tickets"))
     sql = {
         "feature_store": f"SELECT {_feature_out()} FROM fs",
+        "feature_store_from_state": f"SELECT {_feature_out()} FROM fs",
+        "cutoff_audit": """SELECT unnest(['2024-01-29', '2024-01-30']) AS cutoff, 0::BIGINT AS only_left, 0::BIGINT AS only_right""",
         "feature_store_7d": f"SELECT {_feature_out()} FROM fs_7d",
         "filter_profile": " UNION ALL ".join(_filter_profile(*x) for x in (
             ("sessions", "a_sessions", "session_start"), ("events", "a_events", "event_timestamp"),

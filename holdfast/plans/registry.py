@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from holdfast.functions import policy as P
 from holdfast.operators import (
-    audits, dashboard, explain, features as feat, impact, metrics, models, prep, retention, sessions, tree_nodes, tree_shap,
+    audits, daily_state, dashboard, explain, features as feat, impact, metrics, models, prep, retention, sessions, tree_nodes, tree_shap,
 )
 from holdfast.operators.features import build_features
 from holdfast.plans.fixed_model import TREES
@@ -17,6 +19,7 @@ from holdfast.schemas import FEATURE_SCHEMA, FEATURES, NUMERIC_FEATURES, RAW_SCH
 from holdfast.session import scratch_path
 from holdfast.sources import readers, writers
 from holdfast.sources.driver_tables import CUTOFF, driver_spec, features_from_log, load_driver_tables
+from holdfast.sources.writers import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -66,6 +69,35 @@ def feature_store_five_tables(w):
     return build_features(w.tables, w.spec)
 
 
+def _next_day(w):
+    """Specs of the day before the cutoff and of the cutoff, with the features of both from one store of days."""
+    today, path = w.spec, scratch_path(w.spark, "days")
+    yesterday = replace(today, cutoff=today.cutoff - timedelta(days=1), as_of=today.as_of - timedelta(days=1))
+    daily_state.store_days(daily_state.day_partials(w.stored_tables, today), path)
+    before = materialize(daily_state.advanced(None, daily_state.stored_days(w.spark, path, None, yesterday.cutoff), yesterday), "state")
+    now = daily_state.advanced(before, daily_state.stored_days(w.spark, path, yesterday.cutoff, today.cutoff), today)
+    return [
+        (spec, daily_state.features_at(w.tables.users, state, daily_state.stored_days(w.spark, path, spec.cutoff), spec))
+        for spec, state in ((yesterday, before), (today, now))
+    ]
+
+
+@query
+def feature_store_from_state(w):
+    """The same table from the stored state of the day before and one more day."""
+    return _next_day(w)[1][1]
+
+
+@query
+def cutoff_audit(w):
+    """Features of two cutoffs from one store of days against full builds: rows that either side lacks, which must be none."""
+    parts = []
+    for spec, found in _next_day(w):
+        apart = audits.differences(found, build_features(w.stored_tables, spec))
+        parts.append(apart.select(F.lit(str(spec.cutoff.date())).alias("cutoff"), "only_left", "only_right"))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def feature_store_7d(w):
     return features_from_log(w.spark, w.sf_dir, driver_spec(window_days=7))
