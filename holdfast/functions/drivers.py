@@ -41,7 +41,7 @@ def _patterns() -> dict[str, str]:
     found = {}
     for name, (_, rising, falling) in DRIVER_TEXTS.items():
         for way, (lead, tail) in ((UP, rising), (DOWN, falling)):
-            found[name + way] = (lead + "\0" + tail).replace("%", "%%").replace("\0", "%1$s") + _EFFECT[way]
+            found[name + way] = lead.replace("%", "%%") + "%1$s" + tail.replace("%", "%%") + _EFFECT[way]
     return found
 
 

@@ -6,8 +6,6 @@ active user does not become a straggler.
 
 from __future__ import annotations
 
-from datetime import datetime
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,9 +16,6 @@ from holdfast.session import ship_package
 from holdfast.sources.writers import materialize
 
 
-STAND_IN = datetime(1970, 1, 1)
-
-
 def session_slots(activity: DataFrame, ts: str, gap_hours: int, *extra: Column) -> DataFrame:
     """One row per user and occupied time slot, numbered by the session it belongs to.
 
@@ -61,16 +56,16 @@ def attach_session_id(activity: DataFrame, ts: str = "event_timestamp", gap_hour
     Every row stays; one without a time or a user has no session.
     """
     whole = Window.partitionBy("user_id", "session_no")
-    timed = activity.filter(F.col(ts).isNotNull() & F.col("user_id").isNotNull())
+    placed = F.col(ts).isNotNull() & F.col("user_id").isNotNull()
+    timed = activity.filter(placed)
     slot_ids = session_slots(timed, ts, gap_hours).select(
         "user_id", "slot",
         session_key(F.col("user_id"), F.min("first_ts").over(whole)).alias("session_id"),
     )
-    # F.window drops rows without a time, so they pass under a stand-in and lose their slot again
-    at = F.coalesce(F.col(ts), ntz(STAND_IN).cast(activity.schema[ts].dataType))
-    slots = activity.withColumn("_at", at).withColumn("slot", F.window("_at", f"{gap_hours} hours").start)
-    keyed = slots.withColumn("slot", F.when(F.col(ts).isNotNull(), F.col("slot"))).drop("_at")
-    return keyed.join(slot_ids, ["user_id", "slot"], "left").drop("slot")
+    keyed = timed.withColumn("slot", F.window(ts, f"{gap_hours} hours").start)
+    known = keyed.join(slot_ids, ["user_id", "slot"], "left").select(*activity.columns, "session_id")
+    # rows that can't match pass by, else all of them would meet under one NULL key
+    return known.unionByName(activity.filter(~placed).withColumn("session_id", F.lit(None).cast("string")))
 
 
 def _lag_inside(batches):
