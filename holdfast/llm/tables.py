@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from holdfast.session import scratch_path, ship_package
+from holdfast.sources import folders
 
 HELD_OUT = 2
 
@@ -27,14 +29,41 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+_OPEN: list[list[str]] = []  # folders written in the blocks of `intermediate` that are open
+
+
+def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes below the shared folder and reads back: lineage ends in files that survive lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
+@contextmanager
+def intermediate(spark: SparkSession):
+    """Deletes what is stored in this block when it ends, but for tables stored with `keep`; nothing else may be read later."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            folders.delete(spark, path)
+
+
+def hashed_sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` of the distinct rows, those with the smallest hashes of all columns; stored, as models read it several times.
+
+    The bound holds whatever repeats: only hashes are ranked, and equal rows come together before they move.
+    """
+    hashed = rows.withColumn("sample_hash", F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)))
+    border = hashed.select("sample_hash").distinct().orderBy("sample_hash").limit(most).agg(F.max("sample_hash")).first()[0]
+    low = hashed.filter(F.col("sample_hash") <= F.lit(border)) if border is not None else hashed.limit(0)
+    return store(low.groupBy("sample_hash").agg(*(F.first(f"`{c}`").alias(c) for c in rows.columns)).drop("sample_hash"), "sample")
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str | T.StructType) -> DataFrame:
     """Applies function to every Arrow batch; the package is shipped to the workers first."""
     ship_package(df.sparkSession)
 
@@ -67,5 +96,17 @@ def with_columns_of_text(docs: DataFrame, function: Callable[[list], list[pa.Arr
             extra = function(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("text"), part.column("row"), *extra], ["text", "row", *names])
 
-    out = map_batches(rows, run, f"text string, row {rows.schema['row'].dataType.simpleString()}, {added}")
+    out = map_batches(rows, run, T.StructType([*rows.schema, *T.StructType.fromDDL(added)]))
     return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns), *names)
+
+
+def kept_by_text(docs: DataFrame, function: Callable[[list], pa.Array]) -> DataFrame:
+    """Those whole rows of docs for whose text the function says true, whatever their columns are called."""
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+    def run(batch: pa.RecordBatch):
+        for part in text_slices(batch, 1 << 20):
+            yield part.filter(function(part.column("text").to_pylist()))
+
+    out = map_batches(rows, run, rows.schema)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
