@@ -9,8 +9,10 @@
    posterior; where the chance of reaching the threshold is under MISS, the pair is dropped. Survivors are verified
    exactly on the full sets. MISS bounds each of the two steps, not their sum.
 4. Links make components. In buckets that still hold several, the members outside the largest meet, TURNS times, one member
-   of it that is drawn anew; most of a large group joins so. What candidates between components are then left are all
-   decided: at once where shingles that no other member has make the threshold unreachable, else by 3.
+   of it that is drawn anew; most of a large group joins so. The rest is decided by the full sets of all members that still
+   share a bucket with another component: shingles are put into one order, rarest first, and two sets are compared by 3 only if
+   they share a shingle so early in both that the threshold can still be reached. This loses no pair, and members whose
+   own shingles fill their prefix meet nobody, however large their bucket is.
 
 Sets of equal hashes are taken as equal. Documents without words (NULL or empty texts too) have no set and are linked with
 nothing; a NULL id gets component NULL and is kept. Rows with the same id count as one document: a link of any goes
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from holdfast.llm.components import components
 from holdfast.llm.hashing import RangeHashes, mixed
-from holdfast.llm.tables import map_batches, store, text_slices
+from holdfast.llm.tables import intermediate, map_batches, store, text_slices
 
 HASHES = 144  # more only where a low threshold asks for more bands
 BATCH = 24
@@ -263,6 +265,47 @@ def _possible(percent: int):
     return F.coalesce(100 * most >= percent * (F.col("size") + F.col("other_size") - most), F.lit(True))
 
 
+def _exploded(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set_id, size and shingle of the sets of some nodes; a node with several texts has several sets."""
+
+    def run(batch: pa.RecordBatch):
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            packed = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("hashes")]
+            sizes = np.array([len(x) for x in packed])
+            repeated = [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in ("node", "set_id")]
+            yield pa.RecordBatch.from_arrays(
+                [*repeated, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(packed))], ["node", "set_id", "size", "shingle"]
+            )
+
+    own = sets.join(nodes, "node").select("node", F.xxhash64("hashes").alias("set_id"), "hashes")
+    return map_batches(own, run, "node bigint, set_id bigint, size bigint, shingle bigint")
+
+
+def _prefixes(sets: DataFrame, here: DataFrame, percent: int) -> DataFrame:
+    """node, component, size, shingle and its place in the set's order, as far as a similar set must share one of them."""
+    nodes = here.select("node", "component").distinct()
+    rows = _exploded(sets, nodes.select("node"))
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = rows.join(store(held, "held"), "shingle")
+    ordered = shared.groupBy("node", "set_id", "size").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("order"))
+    alone = F.col("size") - F.size("order")  # shingles of no other set come first and are shared with nobody
+    most = F.floor(F.col("size") * (100 - percent) / 100) + 1 - alone
+    early = ordered.filter(most > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), most.cast("int"))).alias("k", "entry"))
+    return early.select("node", "size", F.col("entry.shingle").alias("shingle"), (F.col("alone") + F.col("k")).alias("place")).join(nodes, "node")
+
+
+def _early_pairs(sets: DataFrame, here: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes in different components that share a shingle early enough to be similar."""
+    left = store(_prefixes(sets, here, percent), "prefixes")
+    right = left.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "place")))
+    most = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))  # shingles from here on
+    reach = (100 + percent) * most >= percent * (F.col("size") + F.col("other_size"))
+    apart = (F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component"))
+    met = left.alias("x").join(right.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & apart & reach)
+    return met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+
+
 def _ordered(x: str, y: str) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -285,7 +328,12 @@ def _drawn(here: DataFrame, turn: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, n_shingles, component_id and kept of every row; stored, what led to it is deleted."""
+    with intermediate(docs.sparkSession):
+        return store(_near_duplicates(docs, size, percent), "near-duplicates", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     hashed = store(
         map_batches(
             docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), _hashed(size, signature_length(percent)),
@@ -312,8 +360,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             break
         limits = limits or _limits(sets, here)  # later buckets are among the first, so these limits go on holding
         here = here.join(limits, "node")
-        few = here.filter("component != largest")
-        found = _paired(few, _drawn(here, turn) if turn < TURNS else here, percent)
+        if turn < TURNS:
+            found = _paired(here.filter("component != largest"), _drawn(here, turn), percent)
+        else:
+            found = _early_pairs(sets, here, percent)
         fresh = store(found.join(tested, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
             links = links.unionByName(_links(sets, signs, fresh, percent))
