@@ -6,11 +6,11 @@ clean)): clean examples are never needed, and the part that stands for them can'
 would, the step goes against it. The prior is the share of toxic rows among all labelled rows that may
 be learned from.
 
-Bounds of the fit: POSITIVES and UNLABELLED texts, chosen by a hash of the id; the VOCABULARY most frequent
+Bounds of the fit: POSITIVES and UNLABELLED distinct texts, chosen by a hash of id and text; the VOCABULARY most frequent
 of these features that at least MIN_TEXTS of them hold; STEPS steps. Scoring reads whole texts.
 
 A document is labelled toxic if any of its label rows is; NULL labels and ids say nothing. NULL and empty
-texts have no words and get the score of the bias. Without a toxic label all scores are 0. Repeated rows
+texts have no words and get the score of the bias. Without a toxic label all scores are next to 0 (about 1e-13). Repeated rows
 get repeated answers, an empty table an empty result; only id and text of documents and id and toxic of labels
 are read, so other columns have no influence.
 """
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.llm.tables import held_out, map_batches, text_slices
+from holdfast.llm.tables import hashed_sample, held_out, map_batches, text_slices
 
 POSITIVES, UNLABELLED = 2000, 6000
 VOCABULARY, MIN_TEXTS = 30000, 20
@@ -104,16 +104,20 @@ def _counted(places: dict[str, int]):
 
 
 def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
-    """Texts (doc_id, positive, text) to learn from, and the class prior."""
+    """Texts (doc_id, positive, text) to learn from, and the class prior.
+
+    Unlabelled texts are those of labelled ids with the label left off, so that the prior holds for them.
+    """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")
     )
     total, toxic = usable.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     order = (F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    first = usable.filter("toxic = 1").orderBy(*order).limit(positives).select("doc_id", F.lit(True).alias("positive"))
-    second = usable.orderBy(*order).limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    chosen = first.unionByName(second)  # at most positives + unlabelled ids: bounded, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), toxic / max(1, total)
+    parts = []
+    for ids, most, positive in ((usable.filter("toxic = 1"), positives, True), (usable, unlabelled, False)):
+        few = F.broadcast(ids.orderBy(*order).limit(most).select("doc_id"))  # bounded ids; their rows are bounded next
+        parts.append(hashed_sample(docs.select("doc_id", "text").join(few, "doc_id"), most).withColumn("positive", F.lit(positive)))
+    return parts[0].unionByName(parts[1]).select("doc_id", "positive", "text"), toxic / max(1, total)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicModel:
