@@ -4,7 +4,7 @@ Filters of several widths run over learnt byte vectors, the strongest answer of
 is kept (max pooling), and a softmax names the language. A text is cut into windows of WINDOW bytes, the
 last one filled up; its languages' probabilities are averaged over all its windows by their bytes.
 
-Training reads a bounded sample: about SAMPLE_DOCS documents chosen by a hash of the id, at most
+Training reads a bounded sample: at most SAMPLE_DOCS distinct rows chosen by a hash of id, text and language, at most
 WINDOWS_PER_DOC windows of each, the same number of steps at every size. Prediction reads every byte.
 
 NULL texts and texts without a letter get `und` and score 0; so does every text if no labelled row is
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.llm.tables import held_out, map_batches, text_slices
+from holdfast.llm.tables import hashed_sample, held_out, map_batches, text_slices
 
 WINDOW = 240  # a multiple of every width
 WIDTHS = (2, 3, 4)
@@ -144,10 +144,8 @@ def _sample(batch: pa.RecordBatch):
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> ByteCnn | None:
     """Learns from text and lang of the rows that are not held out; None without such a row."""
-    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = usable.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    chosen = usable.filter(part <= (1 << 20) * min(1.0, sample_docs / max(1, count)))
+    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    chosen = hashed_sample(usable, sample_docs)
     rows = map_batches(chosen.select("text", "lang"), _sample, "bytes binary, lang string").toPandas()
     if not len(rows):
         return None
