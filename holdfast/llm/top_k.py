@@ -1,8 +1,9 @@
 """Exact top-k inner products over vectors in buckets of similar length.
 
 Components become floor(256 * x). Vectors are grouped by dimension and by the logarithm of their length, and groups that
-are large are cut into chunks by a hash, so no group has to fit into one task. Queries are packed into blocks, and every
-block meets every chunk of its dimension by an equality join on the block's number.
+are large are cut into chunks by a hash, so no group has to fit into one task. Queries are packed into blocks. Of every
+(chunk, block) first only the figures meet: if no query of the block can reach its threshold even with the chunk's greatest length, nothing is
+moved. For the others the block, the smaller of the two, is sent to its chunks, and the work is spread over the chunks.
 
 A query's threshold is its k-th best product with the SEEDS longest vectors of its dimension. In a chunk it becomes a local
 cosine threshold: threshold / (query's length * the chunk's greatest length). Over 1, the chunk is skipped. If it is high,
@@ -12,7 +13,8 @@ and the best k of all chunks remain. Ties in score go to the smaller id.
 
 NULL vectors, vectors with NULL or non-finite components and rows with NULL ids take no part. Vectors of different
 dimension are not compared. Repeated rows are candidates each; a query row leaves out all rows with its own id.
-An empty table gives an empty result; other columns are not read. Scores are 64-bit integers.
+An empty table gives an empty result; other columns are not read. Scores are 64-bit integers; vectors so large that a product could
+leave them are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from holdfast.llm.tables import map_batches
+from holdfast.llm.tables import map_batches, store
 from holdfast.session import ship_package
 
 CHUNK, BLOCK, SEEDS = 2048, 1024, 1024
@@ -94,7 +96,12 @@ def _packed(table: pa.Table) -> pa.Table:
     values = vectors.flatten().to_numpy().reshape(-1, dim) if dim else np.zeros((table.num_rows, 0), np.int64)
     order = np.argsort(-table.column("length").to_numpy(), kind="stable")
     blob = values[order].astype(np.int64).tobytes() if dim else bytes(table.num_rows)
+    lengths, thresholds = table.column("length").to_numpy(), table.column("threshold").to_numpy().astype(float)
+    if dim and float(lengths.max()) ** 2 >= 2.0**62:
+        raise ValueError("vectors are too long for exact products in 64 bits")
+    reach = np.divide(thresholds, lengths, out=np.full(len(lengths), -np.inf), where=lengths > 0)
     return pa.table({
+        "longest": pa.array([float(lengths.max())]), "reach": pa.array([float(reach.min())]),
         "dim": pa.array([dim], pa.int32()), "part": pa.array([table.column("part")[0].as_py()], pa.int64()),
         "ids": pa.array([table.column("vec_id").to_numpy()[order].tobytes()], pa.binary()), "vectors": pa.array([blob], pa.binary()),
         "lengths": pa.array([table.column("length").to_numpy()[order].tobytes()], pa.binary()),
@@ -102,7 +109,7 @@ def _packed(table: pa.Table) -> pa.Table:
     })
 
 
-PACKED = "dim int, part bigint, ids binary, vectors binary, lengths binary, thresholds binary"
+PACKED = "longest double, reach double, dim int, part bigint, ids binary, vectors binary, lengths binary, thresholds binary"
 
 
 def _met(k: int):
@@ -168,14 +175,18 @@ def top_k(table: DataFrame, is_query, k: int = 5) -> DataFrame:
         blocks = F.when(F.col("dim") == dim, -(-n // BLOCK)).otherwise(blocks)
     none = F.lit(0.0).alias("threshold")
     chunks = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).select("vec_id", "dim", "bucket", "part", "v", "length", none)
-    chunks = chunks.groupBy("dim", "bucket", "part").applyInArrow(_packed, PACKED)
+    chunks = store(chunks.groupBy("dim", "bucket", "part").applyInArrow(_packed, PACKED).withColumn("chunk", F.xxhash64("dim", "ids", "vectors")), "chunks")
     ready = map_batches(
         queries.select("vec_id", "dim", "v", "length"), _with_thresholds(seeds, k), "vec_id bigint, dim int, v array<bigint>, length double, threshold double"
     ).withColumn("part", F.pmod(F.xxhash64("vec_id"), blocks))
-    packed = ready.groupBy("dim", "part").applyInArrow(_packed, PACKED).select(
-        "dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("thresholds").alias("q_thresholds")
-    )
-    spread = chunks.select("dim", "ids", "vectors", "lengths", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("bigint"))).alias("block"))
-    met = map_batches(spread.join(packed, ["dim", "block"]), _met(k), "query_id bigint, vec_id bigint, score bigint")
+    packed = store(ready.groupBy("dim", "part").applyInArrow(_packed, PACKED).select(
+        "dim", F.col("part").alias("block"), "reach", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("thresholds").alias("q_thresholds")
+    ), "blocks")
+    # A threshold is at most query length * chunk length * cosine 1, so shorter chunks can't reach it.
+    figures = chunks.select("dim", "chunk", "longest", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("bigint"))).alias("block"))
+    possible = figures.join(packed.select("dim", "block", "reach"), ["dim", "block"]).filter(F.col("longest") * (1 + 1e-9) >= F.col("reach"))
+    sent = possible.select("dim", "block", "chunk").join(packed.drop("reach"), ["dim", "block"])
+    both = sent.join(chunks.select("dim", "chunk", "ids", "vectors", "lengths"), ["dim", "chunk"])
+    met = map_batches(both, _met(k), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
