@@ -1,4 +1,4 @@
-"""Line dedup, vector codes and the source audit on small awkward tables, each against plain brute force."""
+"""Line dedup, vector codes and the source audit on small awkward tables, each against plain brute force; hard cases of the others."""
 
 from __future__ import annotations
 
@@ -6,14 +6,15 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.llm import line_dedup, source_audit, vector_codes
-from tests.llm.samples import SCHEMA, messy_documents
+from holdfast.llm import html_text, language_id, line_dedup, near_dedup, quality_rules, source_audit, suffix_dedup, tables, toxicity, vector_codes
+from tests.llm.samples import SCHEMA, messy_documents, near_components
 
 CLASHING = ("doc", "text_hash", "lines", "others", "place", "line", "key", "h1", "h2", "first", "last", "lost", "kept", "left_text", "n_lines", "kept_sha256")
 
@@ -243,3 +244,131 @@ def test_long_texts_in_pieces(monkeypatch):
     text = "Über the LONG text; with words_and 12 numbers\x00x" * 5 + "y" * 50
     assert [w for words in source_audit._pieces(text.encode()) for w in words] == [
         w.encode() for w in TERMS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))]
+
+
+# ---- earlier operators: cases of the last review -----------------------------------------
+
+BODY = "".join(f"<p>Paragraph number {k} has a fair amount of ordinary text in it.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout has-sidebar">{}</div>', '<div class="post no-comments">{}</div>', '<div id="content" class="with-sidebar">{}</div>',
+    '<div class="ad-free">{}</div>', '<div class="content social-science">{}</div>', '<section class="banner-off"><main>{}</main></section>',
+    '<div class="search-result-page"><article>{}</article></div>', "<form>{}</form>", '<form><div class="ad"><div class="x share">{}</div></div></form>',
+])
+def test_wrappers_named_like_side_parts_hold_the_article(wrapper):
+    page = f'<body><nav class="menu"><a href="/">Home</a></nav>{wrapper.format(BODY)}<div class="comments"><p>Nice page.</p></div><footer>foot</footer></body>'
+    assert html_text.main_text(page) == " ".join(re.findall("<p>(.*?)</p>", BODY))
+
+
+def test_pages_of_side_parts_alone_stay_empty():
+    for tag in ("nav", "footer", "aside", "dialog"):
+        assert html_text.main_text(f"<body><{tag}>{BODY}</{tag}></body>") == ""
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 50_000 + "<p>" * 50_000 + "x", "<div class=ad>" * 20_000 + BODY, "<body>" * 50_000, "<a href=x><b><b>" * 20_000,
+])
+def test_unclosed_elements_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_quality_rules_carry_columns_of_any_name(spark):
+    names = ("_words", "_body", "_lines", "_hashes", "_pairs", "_again", "_distinct", "_row", "with.dot")
+    docs = spark.createDataFrame(messy_documents(), SCHEMA).withColumns({c: F.lit(c) for c in names})
+    out = quality_rules.quality_rules(docs.withColumns({"kept": F.lit("x"), "n_words": F.lit("y")}))
+    assert out.filter(" OR ".join(f"`{c}` != '{c}'" for c in names)).isEmpty()
+    plain = quality_rules.quality_rules(spark.createDataFrame(messy_documents(), SCHEMA)).select("doc_id", "n_words", "n_repeat_words", "kept")
+    assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_samples_stay_at_their_bound(spark):
+    """A third of NULL ids, and one id in very many rows: no fit reads more rows than its parameter says."""
+    many = spark.range(60_000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 4).cast("bigint").alias("doc_id"), F.concat(F.lit("some words and number "), (F.col("id") % 9000).cast("string")).alias("text"),
+        F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    assert tables.hashed_sample(many, 500).count() == 500
+    assert tables.hashed_sample(many.limit(30).unionByName(many.limit(30)), 500).distinct().count() == tables.hashed_sample(many.limit(30), 500).count() <= 30
+    assert tables.hashed_sample(many.limit(0), 500).count() == 0
+    texts, prior = toxicity.sample(many, spark.createDataFrame([(0, 1), (1, 0), (3, 1)], "doc_id bigint, toxic int"), 40, 70)
+    assert texts.count() <= 110 and prior > 0
+    model = language_id.fit(many, sample_docs=60, steps=5)
+    assert model.languages == ["de", "en"]
+
+
+def test_whole_language_gradient_by_differences():
+    """Byte vectors, filters, biases and the last layer of the network, each against differences of a plain forward pass."""
+    rng = np.random.default_rng(3)
+    windows, labels = rng.integers(97, 120, (5, language_id.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+    model = language_id.train(windows, labels, ["a", "b", "c"], 3)
+    wide = lambda x: x.astype(float)
+    model.vectors, model.out, model.out_bias = map(wide, (model.vectors, model.out, model.out_bias))
+    model.filters, model.biases = ({w: wide(x) for w, x in d.items()} for d in (model.filters, model.biases))
+
+    def loss() -> float:
+        total = 0.0
+        for window, label in zip(windows, labels):
+            seen = model.vectors[window]
+            pooled = [max_of(np.array([seen[k : k + w].ravel() @ model.filters[w] for k in range(len(window) - w + 1)])) + model.biases[w] for w in language_id.WIDTHS]
+            raw = np.maximum(np.concatenate(pooled), 0) @ model.out + model.out_bias
+            total += np.log(np.exp(raw - raw.max()).sum()) + raw.max() - raw[label]
+        return total / len(windows)
+
+    max_of = lambda answers: answers.max(axis=0)
+    parts = [model.vectors, *model.filters.values(), *model.biases.values(), model.out, model.out_bias]
+    for part, gradient in zip(parts, language_id._gradients(model, windows, labels)):
+        used = np.argwhere(np.abs(gradient) > 0)
+        for at in map(tuple, rng.permutation(used)[:4]):
+            before = part[at]
+            part[at] = before + 1e-6
+            up = loss()
+            part[at] = before - 1e-6
+            down = loss()
+            part[at] = before
+            assert gradient[at] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-7)
+
+
+def test_suffixes_of_many_rows_of_one_id(spark):
+    """40,000 rows of one id and 40,000 of NULL, beside rows that repeat a passage of it."""
+    passage = "a passage that is long enough to be found again wherever it stands in a text"
+    many = spark.range(80_000).select(
+        F.when(F.col("id") < 40_000, 7).cast("bigint").alias("doc_id"), F.concat(F.lit(passage + " "), (F.col("id") % 3).cast("string")).alias("text"))
+    others = spark.createDataFrame([(3, "before " + passage), (9, passage + " after"), (7, "")], "doc_id bigint, text string")
+    out = suffix_dedup.digest(many.unionByName(others))
+    n = len(passage)
+    found = {(r.doc_id, r.n_removed): r["count"] for r in out.groupBy("doc_id", "n_removed").count().collect()}
+    assert found == {(None, 0): 40_000, (7, n): 40_000, (7, 0): 1, (3, 0): 1, (9, n + 1): 1}
+
+
+def test_near_copies_in_one_large_group(spark):
+    """Many texts of one kind, most of them under the threshold to each other: links equal those of all pairs."""
+    rng = random.Random(12)
+    base, words = [f"w{k}" for k in range(60)], [f"v{k}" for k in range(30)]
+    rows = []
+    for k in range(400):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 5, 6])):
+            own[rng.randrange(60)] = rng.choice(words)
+        rows.append((k, " ".join(own), None, None, 0, 0.0, 0, ""))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=3, percent=85)
+    assert {r.doc_id: r.component_id for r in out.collect()} == near_components(rows, 3, 85)
+
+
+def test_only_the_result_of_near_dedup_stays_on_disk(spark, monkeypatch):
+    gone, real = [], tables.folders.delete
+    monkeypatch.setattr(tables.folders, "delete", lambda spark, path: (gone.append(path), real(spark, path)))
+    out = near_dedup.near_duplicates(spark.createDataFrame(messy_documents(), SCHEMA), 3, 85)
+    assert len(gone) > 8 and out.count() == len(messy_documents())
+
+
+def test_pipeline_stages_carry_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline
+
+    names = ("_score", "_language", "_id", "id", "row", "doc", "part", "places", "with.dot")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).withColumns({c: F.lit(c) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() > 0, name
+        assert out.filter(" OR ".join(f"`{c}` != '{c}'" for c in names)).isEmpty(), name
