@@ -48,10 +48,10 @@ class WordTokenizer:
 
     Ids of words are remembered. An unseen word of letters up to U+00FF goes to the model directly, spelt in
     byte letters; any other takes the whole way of normalizing and splitting. Signs at the end of a word are
-    looked up apart from it, as the tokenizer splits there.
+    looked up apart from it, as the tokenizer splits there; only such words are also kept without their signs.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,15 +59,18 @@ class WordTokenizer:
         self.remembered, self.known, self.stems = remembered, {}, {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
+    def _made(self, stem: str) -> bytes:
+        if stem.isascii() and stem.isalpha():
+            ids = [t.id for t in self.model.tokenize(stem.lower())]
+        elif stem.isalpha() and max(stem) <= "\xff":
+            ids = [t.id for t in self.model.tokenize(stem.lower().encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(stem, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _stem(self, stem: str) -> bytes:
         if (found := self.stems.get(stem)) is None:
-            if stem.isascii() and stem.isalpha():
-                ids = [t.id for t in self.model.tokenize(stem.lower())]
-            elif stem.isalpha() and max(stem) <= "\xff":
-                ids = [t.id for t in self.model.tokenize(stem.lower().encode().decode("latin-1").translate(self.letters))]
-            else:
-                ids = self.tokenizer.encode(stem, add_special_tokens=False).ids
-            found = self.stems[stem] = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.stems[stem] = self._made(stem)
         return found
 
     def _word(self, word: bytes) -> bytes:
@@ -75,7 +78,7 @@ class WordTokenizer:
         stem = text.rstrip(TAIL)
         if stem != text and stem.isalpha():
             return self._stem(stem) + self._stem(text[len(stem) :])
-        return self._stem(text)
+        return self.stems.get(text) or self._made(text)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
