@@ -11,7 +11,9 @@ begin at those anchors, about one position in sixteen. Their digits are taken fr
    no further; equal groups are exactly the repeated windows.
 
 Each task first keeps the smallest document alone of every group it holds itself, so a passage in very many
-documents reaches a bucket once per task. Digits are compared by hashes of at least 56 bits within groups.
+documents reaches a bucket once per task. Digits are compared by hashes within groups: stretches by more than 90
+bits, single windows by 56 bits and those of their bucket, about 72 at 64 GB of text. Bytes are not compared again: with n windows in
+doubt the expected number of false matches is n^2 / 2^73, below one up to some 10^11 such windows.
 
 A byte goes if a window of DEPTH bytes that covers it also starts in a document with a smaller id. Windows never cross
 documents and are judged on the input. NULL texts count as empty; texts shorter than DEPTH stay whole, as do
@@ -27,21 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from holdfast.llm.hashing import RangeHashes, mixed
-from holdfast.llm.tables import store, text_slices
+from holdfast.llm.tables import intermediate, store, text_slices
 from holdfast.session import ship_package
 
 DEPTH, GRAM = 50, 22
 BLOCK = 1 << 20  # bytes hashed at once
-CHUNK = 400_000  # anchors that a task gathers before it hands them out
+CHUNK = 300_000  # anchors that a task gathers before it hands them out
 BUCKET_BYTES = 1 << 20
 # Columns of a packed table, with the bytes of each number that are kept (little-endian order).
-OPEN = {"gram": (8, range(1, 6)), "whole": (8, range(1, 8)), "doc": (8, range(8)), "part": (2, range(2)), "low": (4, range(4)), "many": (4, range(4))}
+OPEN = {"gram": (8, range(1, 6)), "whole": (8, range(1, 8)), "doc": (8, range(8)), "part": (8, range(8)), "low": (4, range(4)), "many": (4, range(4))}
 WINDOWS = OPEN | {"whole": (8, range(1, 3))}  # one window each: with the gram's and the bucket's bits, 56 and more
 DONE = {k: OPEN[k] for k in ("doc", "part", "low", "many")}
-TYPES = {8: np.uint64, 4: np.uint32, 2: np.uint16}
+TYPES = {8: np.uint64, 4: np.uint32}
 
 
 def _pack(columns: dict[str, np.ndarray], layout: dict) -> bytes:
@@ -131,13 +133,13 @@ def _handed_out(found: dict[str, np.ndarray], buckets: int, layout: dict) -> Ite
     order = np.lexsort([found["doc"], *(found[k] for k in reversed(names))])
     found = {k: v[order] for k, v in found.items()}
     least = _least(_groups(*(found[k] for k in names)), found["doc"])
-    bucket = ((found["gram"] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+    bucket = ((found["gram"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((found["low"], found["part"], found["doc"], bucket))
     found, bucket, left = {k: v[order] for k, v in found.items()}, bucket[order], (found["doc"] == least)[order]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    numbers, starts = np.unique(bucket, return_index=True)
     rows = []
-    for k in np.unique(bucket).tolist():
-        part = slice(edges[k], edges[k + 1])
+    for k, start, end in zip(numbers.tolist(), starts, np.append(starts[1:], len(bucket))):
+        part = slice(start, end)
         mine = {c: v[part] for c, v in found.items()}
         stay = left[part]
         rows.append((k, _pack({c: v[stay] for c, v in mine.items()}, layout), _pack({c: v[~stay] for c, v in mine.items()}, DONE)))
@@ -218,7 +220,7 @@ def _split_bucket(layout: dict, last: bool):
         out = {k: np.concatenate([found[k][stay], *(d[k] for d in done)]) for k in DONE}
         flags = np.concatenate([asked[stay], np.zeros(sum(len(d["doc"]) for d in done), bool)])
         return pa.table({
-            "doc": pa.array(out["doc"], pa.int64()), "part": pa.array(out["part"].astype(np.int32)),
+            "doc": pa.array(out["doc"], pa.int64()), "part": pa.array(out["part"].astype(np.uint64).view(np.int64)),
             "place": pa.array(out["low"].astype(np.int64) << 20 | out["many"].astype(np.int64)), "asked": pa.array(flags),
         })
 
@@ -226,33 +228,38 @@ def _split_bucket(layout: dict, last: bool):
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """doc, part, text and the other columns in `row`: rows with one id are told apart by part."""
+    """doc, part, text and the other columns in `row`: part tells texts of one id apart.
+
+    Rows of one id with equal texts may share a part, as they lose the same bytes. Rows with a NULL id take no part; theirs
+    spreads them.
+    """
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*others).alias("row"))
-    if rows.filter("doc IS NOT NULL").groupBy("doc").count().filter("count > 1").isEmpty():
-        return rows.withColumn("part", F.lit(0).cast("smallint"))
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1
-    return store(rows.withColumn("part", nth.cast("smallint")), "numbered")
+    unique = rows.filter("doc IS NOT NULL").groupBy("doc").count().filter("count > 1").isEmpty()
+    of_text = F.xxhash64("text")
+    return rows.withColumn("part", F.when(F.col("doc").isNull(), of_text).otherwise(F.lit(0).cast("bigint")) if unique else of_text)
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows, dealt by doc, and (doc, part, places): packed stretches whose windows all repeat."""
+    """The rows with their part, dealt by doc and part, and (doc, part, places): packed stretches whose windows all repeat."""
     ship_package(docs.sparkSession)
     rows = _numbered(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(max(64, total // BUCKET_BYTES), 1 << 16))
-    packed, schema = "bucket int, open binary, done binary", "doc bigint, part int, place bigint, asked boolean"
+    buckets = int(min(max(64, total // BUCKET_BYTES), (1 << 31) - 1))
+    packed, schema = "bucket int, open binary, done binary", "doc bigint, part bigint, place bigint, asked boolean"
     usable = rows.select("doc", "part", "text").filter(F.col("doc").isNotNull() & (F.octet_length("text") >= DEPTH))
     first = usable.mapInArrow(_gathered(buckets, OPEN, _anchors), packed)
-    found = store(first.groupBy("bucket").applyInArrow(_split_bucket(OPEN, last=False), schema), "stretches")
-    dealt = rows.repartition("doc")
-    asked = found.filter("asked").groupBy("doc", "part").agg(F.collect_list("place").alias("asked"))
-    windows = dealt.join(asked, ["doc", "part"]).select("doc", "part", "text", "asked").mapInArrow(
-        _gathered(buckets, WINDOWS, _asked_windows), packed
-    )
-    last = windows.groupBy("bucket").applyInArrow(_split_bucket(WINDOWS, last=True), schema)
-    every = found.filter("NOT asked").select("doc", "part", "place").unionByName(last.select("doc", "part", "place"))
-    return dealt, every.groupBy("doc", "part").agg(F.collect_list("place").alias("places"))
+    with intermediate(docs.sparkSession):
+        found = store(first.groupBy("bucket").applyInArrow(_split_bucket(OPEN, last=False), schema), "stretches")
+        dealt = rows.repartition("doc", "part")
+        asked = found.filter("asked").groupBy("doc", "part").agg(F.collect_set("place").alias("asked"))
+        windows = dealt.join(asked, ["doc", "part"]).select("doc", "part", "text", "asked").mapInArrow(
+            _gathered(buckets, WINDOWS, _asked_windows), packed
+        )
+        last = windows.groupBy("bucket").applyInArrow(_split_bucket(WINDOWS, last=True), schema)
+        every = found.filter("NOT asked").select("doc", "part", "place").unionByName(last.select("doc", "part", "place"))
+        places = store(every.groupBy("doc", "part").agg(F.collect_set("place").alias("places")), "places", keep=True)
+    return dealt, places
 
 
 def _removed(size: int, places: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -303,5 +310,5 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
     dealt, places = repeated(docs)
     joined = dealt.join(places, ["doc", "part"], "left").select("row", "text", "places")
-    out = joined.mapInArrow(run, f"row {dealt.schema['row'].dataType.simpleString()}, text string")
+    out = joined.mapInArrow(run, joined.select("row", "text").schema)
     return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
