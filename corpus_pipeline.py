@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from holdfast.llm import language_id, near_dedup, packing, suffix_dedup, toxicity
-from holdfast.llm.tables import store, table, with_columns_of_text
+from holdfast.llm.tables import kept_by_text, store, table
 
 # Learnt decisions and reading of sub-word ids can't be said in SQL; tests compare with brute force instead.
 ORACLE_SQL = None
@@ -27,35 +27,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language is hardly more than a guess, go."""
     model = language_id.fit(docs)
 
-    def named(texts):
+    def kept(texts):
         names, scores = language_id.predict_texts(model, texts)
-        return [pa.array(names, pa.string()), pa.array(scores)]
+        return pa.array([n != language_id.UNKNOWN and s >= LEAST_LANGUAGE_SCORE for n, s in zip(names, scores)], pa.bool_())
 
-    found = with_columns_of_text(docs, named, "_language string, _score double")
-    kept = (F.col("_language") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)
-    return found.filter(kept).select(*docs.columns)
+    return kept_by_text(docs, kept)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted as toxic go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
 
-    def scored(texts):
-        return [pa.array(list(map(model.shared_scorer(), texts)), pa.float64())]
+    def kept(texts):
+        return pa.array([score < toxicity.THRESHOLD for score in map(model.shared_scorer(), texts)], pa.bool_())
 
-    return with_columns_of_text(docs, scored, "_score double").filter(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return kept_by_text(docs, kept)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: of rows with the smallest id, all."""
-    kept = near_dedup.near_duplicates(docs, size=5, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    kept = near_dedup.near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that also lie in a document with a smaller id are cut out; n_chars follows, emptied documents go."""
-    cut = suffix_dedup.cleaned(docs).filter("text != ''")
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    cut = suffix_dedup.cleaned(docs).filter(F.col("text") != "")
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
