@@ -222,5 +222,6 @@ def digest(table: DataFrame) -> DataFrame:
     """Codes with their errors, and each row's label total (NULL labels are one group)."""
     coded, _ = compress(table)
     totals = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "own_label")
+    totals = store(totals, "label-errors")  # so that a label with very many rows can be split in the join
     joined = coded.join(totals, F.col("label").eqNullSafe(F.col("own_label")), "left")
     return joined.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
