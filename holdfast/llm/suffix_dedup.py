@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from holdfast.llm.hashing import RangeHashes, mixed
-from holdfast.llm.tables import intermediate, store, text_slices
+from holdfast.llm.tables import intermediate, release_memory, store, text_slices
 from holdfast.session import ship_package
 
 DEPTH, GRAM = 50, 22
@@ -152,6 +152,7 @@ def _gathered(buckets: int, layout: dict, of_batch):
     """mapInArrow function that collects what of_batch finds and hands it out in chunks."""
 
     def run(batches):
+        release_memory()
         held, size = [], 0
         for batch in batches:
             if not batch.num_rows:

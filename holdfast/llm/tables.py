@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -52,6 +53,14 @@ def intermediate(spark: SparkSession):
             folders.delete(spark, path)
 
 
+def release_memory() -> None:
+    """Gives back what a Python worker has freed but still holds: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def hashed_sample(rows: DataFrame, most: int) -> DataFrame:
     """At most `most` of the distinct rows, those with the smallest hashes of all columns; stored, as models read it several times.
 
@@ -68,6 +77,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
     ship_package(df.sparkSession)
 
     def run(batches):
+        release_memory()
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch)

@@ -49,7 +49,7 @@ class ToxicModel:
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias}
 
-    def scorer(self, remembered: int = 200_000):
+    def scorer(self, remembered: int = 100_000):
         """Function from a text to its score; which features of a word matter is remembered for so many words."""
         known: dict[str, list[str]] = {}
 
