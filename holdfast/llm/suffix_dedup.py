@@ -36,7 +36,7 @@ from holdfast.llm.tables import intermediate, release_memory, store, text_slices
 from holdfast.session import ship_package
 
 DEPTH, GRAM = 50, 22
-BLOCK = 1 << 20  # bytes hashed at once
+BLOCK = 1 << 18  # bytes hashed at once: their arrays stay in a core's cache
 CHUNK = 300_000  # anchors that a task gathers before it hands them out
 BUCKET_BYTES = 1 << 20
 # Columns of a packed table, with the bytes of each number that are kept (little-endian order).
