@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.llm.tables import hashed_sample, held_out, map_batches, text_slices
+from holdfast.llm.tables import hashed_sample, held_out, map_batches, release_memory, text_slices
 
 WINDOW = 240  # a multiple of every width
 WIDTHS = (2, 3, 4)
@@ -152,7 +152,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) ->
     rows = rows.sort_values(["lang", "bytes"])
     languages = sorted(rows["lang"].unique())
     windows = np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(-1, WINDOW)
-    return train(windows, np.searchsorted(languages, rows["lang"].to_numpy()), languages, steps)
+    labels = np.searchsorted(languages, rows["lang"].to_numpy())
+    del rows
+    model = train(windows, labels, languages, steps)
+    release_memory()
+    return model
 
 
 def predict_texts(model: ByteCnn | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.llm.tables import hashed_sample, held_out, map_batches, text_slices
+from holdfast.llm.tables import hashed_sample, held_out, map_batches, release_memory, text_slices
 
 POSITIVES, UNLABELLED = 2000, 6000
 VOCABULARY, MIN_TEXTS = 30000, 20
 PREFIXES = range(3, 9)
 STEPS, RATE, RIDGE, LASSO = 200, 0.06, 5e-4, 0.05
+PART = 500  # texts that a step of the training computes at once
 MOST_COUNTED = 4  # further repeats of a word in a text add nothing
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}*#%&$|<>-_"
@@ -129,31 +130,46 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     vocabulary = kept["feature"].tolist()
     rows = map_batches(
         texts, _counted({w: i for i, w in enumerate(vocabulary)}), "doc_id bigint, positive boolean, counts binary"
-    ).toPandas().sort_values(["doc_id", "positive"])
-    if not rows["positive"].any():
+    ).toArrow().sort_by([("doc_id", "ascending"), ("positive", "ascending"), ("counts", "ascending")])
+    positive = rows.column("positive").to_numpy()
+    if not positive.any():
         return ToxicModel({}, -30.0)
-    pairs = [np.frombuffer(c, np.int32).reshape(-1, 2) for c in rows["counts"]]
-    weights, bias = train(pairs, rows["positive"].to_numpy(bool), len(vocabulary), prior)
+    pairs = [np.frombuffer(c.as_buffer(), np.int32).reshape(-1, 2) for c in rows.column("counts")]
+    weights, bias = train(pairs, positive.astype(bool), len(vocabulary), prior)
+    del rows, pairs
+    release_memory()
     return ToxicModel({w: float(v) for w, v in zip(vocabulary, weights) if v}, float(bias))
 
 
+def _parts(pairs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, value) of PART texts each, in few bytes: what a step computes from them is never held for all at once."""
+    parts = []
+    for start in range(0, len(pairs), PART):
+        own = pairs[start : start + PART]
+        both = np.concatenate(own)
+        row = np.repeat(np.arange(start, start + len(own), dtype=np.int32), [len(p) for p in own])
+        parts.append((row, both[:, 0].copy(), both[:, 1].astype(np.int8)))
+    return parts
+
+
 def train(pairs: list[np.ndarray], positive: np.ndarray, size: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the non-negative risk with the logistic loss; weights (shrunk towards 0) and bias."""
-    row = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-    both = np.concatenate(pairs) if len(row) else np.zeros((0, 2), np.int32)
-    column, value = both[:, 0], both[:, 1].astype(float)
-    n = len(pairs)
+    n, parts = len(pairs), _parts(pairs)
     w, bias = np.zeros(size), float(np.log(prior / (1 - min(prior, 0.999))))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     n_pos, n_un = max(1, positive.sum()), max(1, (~positive).sum())
     for step in range(1, steps + 1):
-        margin = np.bincount(row, value * w[column], n) + bias
+        margin = np.full(n, bias)
+        for row, column, value in parts:
+            margin += np.bincount(row, value * w[column], n)
         p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
         as_clean = np.logaddexp(0, margin)
         rest = as_clean[~positive].sum() / n_un - prior * as_clean[positive].sum() / n_pos
         negative_part = np.where(positive, -prior * p / n_pos, p / n_un)
         slope = np.where(positive, prior * (p - 1) / n_pos, 0) + negative_part if rest >= 0 else -negative_part
-        gradient = np.append(np.bincount(column, value * slope[row], size) + RIDGE * w, slope.sum())
+        gradient = np.append(RIDGE * w, slope.sum())
+        for row, column, value in parts:
+            gradient[:-1] += np.bincount(column, value * slope[row], size)
         first += 0.1 * (gradient - first)
         second += 0.001 * (gradient * gradient - second)
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
