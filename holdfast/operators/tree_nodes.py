@@ -146,22 +146,37 @@ def pattern_attributions(leaf_paths: DataFrame) -> DataFrame:
     return by_feature.groupBy("tree", "leaf", "pattern").agg(F.collect_list(F.struct("feature", "phi")).alias("phi"))
 
 
+def _longest_path(leaf_paths: DataFrame) -> int:
+    """Most features on a path; one number, 0 without paths."""
+    return leaf_paths.groupBy("tree", "leaf").count().agg(F.max("count")).first()[0] or 0
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly: a few files of users become very many rows of leaves, which a task per file would make alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def attributions(df: DataFrame, nodes: DataFrame, leaf_paths: DataFrame, features=TREE_FEATURES) -> DataFrame:
-    """user_id, feature, shap_value for every row and input feature."""
-    leaves = _leaf_rows(leaf_paths).groupBy("tree").agg(F.collect_list(F.struct("leaf", "path")).alias("leaves"))  # a tree's leaves
-    at = _inputs(df, nodes, features).join(leaves, "tree").select("user_id", "x", "tree", F.inline("leaves"))
-
-    def agrees(mask, step, j):
-        value = F.get(F.col("x"), step["feature"])
-        inside = F.coalesce((value > step["low"]) & (value <= step["high"]), step["high"] == float("inf"))
-        return mask.bitwiseOR(F.when(inside, F.call_function("shiftleft", F.lit(1), j)).otherwise(F.lit(0)))
-
-    steps = F.transform("path", lambda step, j: F.struct(step.alias("step"), j.alias("j")))
-    pattern = F.aggregate(steps, F.lit(0), lambda mask, s: agrees(mask, s["step"], s["j"]))
-    met = at.select("user_id", "tree", "leaf", pattern.alias("pattern")).join(pattern_attributions(leaf_paths), ["tree", "leaf", "pattern"])
+    """user_id, feature, shap_value for every row and input feature.
+
+    The model's leaves and patterns are broadcast, rows times trees or features never, whatever is estimated of their sizes.
+    """
+    arrays = F.struct("leaf", *(F.col(f"path.{c}").alias(c) for c in ("feature", "low", "high")))
+    leaves = _leaf_rows(leaf_paths).groupBy("tree").agg(F.collect_list(arrays).alias("leaves"))  # a tree's leaves
+    at = _inputs(_spread(df), nodes, features).join(F.broadcast(leaves), "tree").select("user_id", "x", "tree", F.inline("leaves"))
+
+    def agrees(j):  # no bit beyond the end of a path, where all is NULL
+        feature, low, high = (F.get(c, F.lit(j)) for c in ("feature", "low", "high"))
+        value = F.get("x", feature)
+        inside = F.coalesce((value > low) & (value <= high), high == float("inf"))
+        return F.when(inside, F.lit(1 << j)).otherwise(F.lit(0))
+
+    pattern = reduce(Column.bitwiseOR, map(agrees, range(_longest_path(leaf_paths))), F.lit(0))
+    by_pattern = F.broadcast(pattern_attributions(leaf_paths))
+    met = at.select("user_id", "tree", "leaf", pattern.alias("pattern")).join(by_pattern, ["tree", "leaf", "pattern"])
     sums = met.select("user_id", F.inline("phi")).groupBy("user_id", "feature").agg(F.sum("phi").alias("shap_value"))
     every = df.select("user_id", F.inline(F.array(*(F.struct(F.lit(k).alias("feature"), F.lit(f).alias("name")) for k, f in enumerate(features)))))
-    return every.join(sums, ["user_id", "feature"], "left").select(
+    return every.join(sums.hint("merge"), ["user_id", "feature"], "left").select(
         "user_id", F.col("name").alias("feature"), F.coalesce("shap_value", F.lit(0.0)).alias("shap_value")
     )
 

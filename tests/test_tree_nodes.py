@@ -1,6 +1,6 @@
 """Trained trees checked from outside: over their exported nodes, by joins here and by recursive SQL in another engine."""
 
-from itertools import combinations
+from itertools import combinations, takewhile
 from math import factorial
 
 import duckdb
@@ -164,6 +164,28 @@ def test_walk_moves_no_rows_and_survives_nothing(spark, predicted, nodes, paths)
     assert tree_nodes.attributions(predicted.limit(0), nodes, paths, NAMES).count() == 0
 
 
+def broadcast_plans(df):
+    """What is broadcast, as the plan lines below each broadcast."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            yield "\n".join(x for _, x in takewhile(lambda y: y[0] > depth[i], zip(depth[i + 1:], lines[i + 1:])))
+
+
+def test_only_the_model_is_broadcast(spark, data, attributed, nodes, paths, tmp_path):
+    """Few rows in files are estimated as small however many rows of trees or features are made of them."""
+    few = "user_id % 50 = 0"
+    for name, df in (("rows", data.filter(few)), ("stated", attributed.filter(few)), ("paths", paths)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    rows, stated, stored = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("rows", "stated", "paths"))
+    audit = tree_nodes.attribution_audit(stated, rows, nodes, stored, NAMES)
+    found = list(broadcast_plans(audit))
+    assert found and not any("user_id" in plan for plan in found)
+    assert set(verdicts(audit).values()) == {(True, 0, 6)}
+    assert not any("user_id" in plan for plan in broadcast_plans(audit))  # nor by the sizes met while running
+
+
 def test_null_inputs_go_right(spark, nodes, paths):
     """A NULL input takes the right branch both in scores and in attributions, so they still add up."""
     row = spark.createDataFrame([(1, None, 2.0, 5.0, None)], "user_id bigint, a double, b double, c double, d double")
